@@ -25,7 +25,7 @@ def bounded_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES where they are higher."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        held = str(spark.conf.get(name, "0") or "0").rstrip("bB")
+        held = spark.conf.get(name).rstrip("bB")
         if not held.isdigit() or not 0 < int(held) <= most:
             spark.conf.set(name, str(most))
 
