@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .token_counts import token_counts
 
 
@@ -15,8 +18,62 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op4_source_mix": op4_source_mix,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP4_SQL = r"""
+with sizes as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    (cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), chr(0)) || chr(31) || 'mix'), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u
+  from documents),
+by_source as (select source, cast(sum(size) as bigint) as source_size from sizes group by source),
+weighed as (
+  select *, 3 * source_size as most, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from by_source),
+leveled as (
+  select *, most::double / w as ratio, row_number() over by_ratio as i,
+    (sum(source_size) over () - coalesce(sum(most) over (by_ratio rows between unbounded preceding and 1 preceding), 0))::double
+      / (sum(w) over () - coalesce(sum(w) over (by_ratio rows between unbounded preceding and 1 preceding), 0))::double as level
+  from weighed window by_ratio as (order by most::double / w, source nulls last)),
+open as (select arg_min(level, i) as level from leveled where level < ratio),
+targets as (
+  select source, source_size, coalesce(least(most::double, open.level * w), most::double) as target
+  from leveled left join open on true),
+rates as (
+  select *, case when source_size > 0 then target / source_size else 0.0 end as rate, cast(least(floor(case when source_size > 0 then target / source_size else 0.0 end), 3) as bigint) as whole from targets),
+ranked as (
+  select s.doc_id, s.size, r.source_size, r.target, r.whole, r.target - (r.whole * r.source_size)::double as rest, s.source,
+    case when r.rate - r.whole > 0 then (u / (1 - u)) / ((r.rate - r.whole) / (1 - (r.rate - r.whole))) end as q
+  from sizes s join rates r on s.source is not distinct from r.source),
+filled as (
+  select *, sum(size) over (partition by source, q is null order by q, doc_id, size rows between unbounded preceding and current row) - size / 2.0 as upto from ranked)
+select doc_id, size, source_size, target, cast(whole + case when q is not null and rest > 0 and upto <= rest then 1 else 0 end as int) as copies,
+  cast(size * (whole + case when q is not null and rest > 0 and upto <= rest then 1 else 0 end) as bigint) as taken
+from filled
+"""
+
+_OP10_SQL = r"""
+with docs as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (select doc_id, unnest(range(1, len(parts) + 1)) as pos, unnest(parts) as line from docs),
+stripped as (
+  select doc_id, pos, line, regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') as bare from lines),
+keyed as (
+  select doc_id, pos, line, translate(bare, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from stripped),
+repeated as (
+  select key, max(doc_id) as keep from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5)
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (keep is not null and keep <> doc_id) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (keep is null or keep = doc_id), '')) as kept_sha256
+from keyed left join repeated using (key) group by doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_source_mix": _OP4_SQL, "op10_line_dedup": _OP10_SQL}
