@@ -12,6 +12,7 @@ from .common import documents
 from .fingerprints import edited_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .simhash import simhash_groups
 from .token_counts import token_counts
 
 
@@ -19,6 +20,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir), size=3, distance=2)
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mix": op4_source_mix,
     "op10_line_dedup": op10_line_dedup,
