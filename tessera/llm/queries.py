@@ -12,6 +12,7 @@ from .common import documents
 from .fingerprints import edited_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .quality import fit, quality_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
 
@@ -32,6 +33,13 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    model = fit(docs, labels, train=fold != 0)
+    return quality_scores(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -41,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mix": op4_source_mix,
+    "op7_quality": op7_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
