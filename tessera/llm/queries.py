@@ -12,6 +12,7 @@ from .common import documents
 from .fingerprints import edited_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .pieces import round_trip
 from .quality import fit, quality_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
@@ -33,6 +34,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mix": op4_source_mix,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_quality": op7_quality,
     "op10_line_dedup": op10_line_dedup,
 }
