@@ -13,6 +13,7 @@ from .fingerprints import edited_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .pieces import round_trip
+from .pii import pii_report
 from .quality import fit, quality_scores
 from .simhash import simhash_groups
 from .token_counts import token_counts
@@ -38,6 +39,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_report(documents(spark, sf_dir))
+    return found.select("doc_id", *[f"n_{k}" for k in ("email", "ip", "card", "phone")], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mix": op4_source_mix,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op10_line_dedup": op10_line_dedup,
 }
