@@ -16,6 +16,7 @@ from .pieces import round_trip
 from .pii import pii_report
 from .quality import fit, quality_scores
 from .simhash import simhash_groups
+from .substrings import substring_dedup
 from .token_counts import token_counts
 
 
@@ -51,6 +52,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
 
