@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import bounded_batches
 
@@ -198,3 +199,22 @@ def round_trip(df: DataFrame, path: str, text: str = "text", key: str = "doc_id"
         return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == (t or "")
 
     return _per_text(df, text, key, "n_pieces long, ids_sha256 string, decoded_sha256 string, same boolean", row, ["n_pieces", "ids_sha256", "decoded_sha256", "same"], [pa.int64(), pa.string(), pa.string(), pa.bool_()], path)
+
+
+def encode_rows(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Every row of ``df`` with ``ids``, ``n_pieces`` and ``same`` (decoding gives the text back) in the place of any such columns, and without its text."""
+    bounded_batches(df.sparkSession)
+    rows = df.drop(*[c for c in df.columns if c in ("ids", "n_pieces", "same")])
+    others = [c for c in rows.columns if c != text]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(path)
+        for b in batches:
+            texts = b.column(len(others)).to_pylist()
+            ids = [model.encode(t) for t in texts]
+            found = [pa.array([np.frombuffer(i, np.int32) for i in ids], pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array([model.decode(i) == (t or "") for i, t in zip(ids, texts)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], *found], names=[*others, "ids", "n_pieces", "same"])
+
+    more = [StructField("ids", ArrayType(IntegerType())), StructField("n_pieces", LongType()), StructField("same", BooleanType())]
+    kept = rows.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`"))
+    return kept.mapInArrow(run, StructType([*(df.schema[c] for c in others), *more]))

@@ -163,11 +163,13 @@ class Thresholds:
         return out
 
 
-def hamming_links(points: DataFrame, distance: int) -> DataFrame:
-    """``points`` (fp distinct long, node long) -> links (a, b: the nodes) of all pairs that differ in 1 to ``distance`` bits, each once.
+_ROW = "part tinyint, value long, probe boolean, fp long, node long"
+
 
-    The number of partitions follows from the number of points, so that partition values stay rare. Index rows number m per point, probe rows
-    what the thresholds ask for; the distance is part of the join's condition, so that only links leave it.
+def _signatures(points: DataFrame, distance: int) -> DataFrame:
+    """Index rows (each partition's value of each point) and probe rows (what lies within the point's own thresholds).
+
+    The number of partitions follows from the number of points, so that partition values stay rare.
     """
     n = points.count()
     m = max(2, min(distance + 1, int(64 / max(1.0, math.log2(max(n, 2))))))
@@ -177,6 +179,9 @@ def hamming_links(points: DataFrame, distance: int) -> DataFrame:
     held = [np.uint64(sum(1 << b for b in p)) for p in parts]
     steps = {(i, e): np.array([sum(1 << b for b in c) for d in range(e + 1) for c in combinations(p, d)], np.uint64) for i, p in enumerate(parts) for e in range(distance + 1)}
 
+    def rows(i: int, value: np.ndarray, probe: bool, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int8)), pa.array(value.view(np.int64)), pa.array(np.full(len(value), probe)), pa.array(fp.view(np.int64)), pa.array(node)], names=["part", "value", "probe", "fp", "node"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             all_fp, all_node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
@@ -184,26 +189,103 @@ def hamming_links(points: DataFrame, distance: int) -> DataFrame:
                 fp, node = all_fp[at : at + 4096].view(np.uint64), all_node[at : at + 4096]
                 wanted = thresholds.choose(fp, n)
                 for i in range(m):
-                    yield rows(i, False, fp & held[i], fp, node)
+                    yield rows(i, fp & held[i], False, fp, node)
                     for e in range(distance + 1):
                         if (q := np.flatnonzero(wanted[:, i] == e)).size:
                             step = steps[i, e]
                             for part in np.array_split(q, math.ceil(q.size * len(step) / 500_000)):
-                                yield rows(i, True, ((fp[part] & held[i])[:, None] ^ step).ravel(), np.repeat(fp[part], len(step)), np.repeat(node[part], len(step)))
+                                yield rows(i, ((fp[part] & held[i])[:, None] ^ step).ravel(), True, np.repeat(fp[part], len(step)), np.repeat(node[part], len(step)))
 
-    def rows(i: int, probe: bool, value: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int8)), pa.array(np.full(len(value), probe)), pa.array(value.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(node)], names=["part", "probe", "value", "fp", "node"])
+    return points.select("fp", "node").mapInArrow(run, _ROW)
 
+
+def hamming_links(points: DataFrame, distance: int) -> DataFrame:
+    """``points`` (fp long, node: distinct long) -> links (a, b: the nodes) of all pairs that differ in at most ``distance`` bits, each once.
+
+    The distance is part of the join's condition, so that only links leave it.
+    """
     scratch = Scratch(points.sparkSession)
-    made = scratch.save(points.select("fp", "node").mapInArrow(run, "part tinyint, probe boolean, value long, fp long, node long"), "signatures", partition_by="probe")
+    made = scratch.save(_signatures(points, distance), "signatures", partition_by="probe")
     index, probes = made.where("not probe").alias("x"), made.where("probe").alias("q")
     same = (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value"))
-    near = (F.col("q.fp") < F.col("x.fp")) & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= distance)
+    one_way = (F.col("q.fp") < F.col("x.fp")) | ((F.col("q.fp") == F.col("x.fp")) & (F.col("q.node") < F.col("x.node")))
+    near = one_way & (F.bit_count(F.col("q.fp").bitwiseXOR(F.col("x.fp"))) <= distance)
     links = scratch.save(probes.join(index, same & near).select(F.col("q.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")
     scratch.drop(made)
     return links
 
 
+class _Sets:
+    """Disjoint sets over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches that come sorted by ``keys``; a table has about ``rows`` rows or one group."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            last = np.ones(table.num_rows, bool)
+            for k in keys:
+                col = table[k].to_numpy()
+                last &= col == col[-1]
+            cut = int(np.argmax(last))
+            if cut:
+                yield table.slice(0, cut)
+            held, n = table.slice(cut).to_batches(), table.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def hamming_forest(points: DataFrame, distance: int) -> DataFrame:
+    """As hamming_links, but of the links under each partition value only a spanning forest: the same components from fewer rows than points have signatures.
+
+    Rows meet by partition value; the fingerprints of a value are compared in blocks, and what ties no further sets together isn't put out.
+    """
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["part", "value"], 50_000):
+            part, value, probe, fp, node = (table[c].to_numpy() for c in ("part", "value", "probe", "fp", "node"))
+            fp = fp.view(np.uint64)
+            start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1])]))
+            two = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) & np.logical_or.reduceat(~probe, start) & np.logical_or.reduceat(probe, start)
+            ends = np.append(start[1:], len(node))
+            a, b = [], []
+            for lo, hi in zip(start[two], ends[two]):
+                ids, at = np.unique(node[lo:hi], return_inverse=True)
+                x, q = lo + np.flatnonzero(~probe[lo:hi]), lo + np.flatnonzero(probe[lo:hi])
+                sets = _Sets(len(ids))
+                for i in range(0, len(q), 256):
+                    for j in range(0, len(x), 4096):
+                        near = np.bitwise_count(fp[q[i : i + 256], None] ^ fp[None, x[j : j + 4096]]) <= distance
+                        for u, v in zip(*np.nonzero(near)):
+                            u, v = q[i + u], x[j + v]
+                            if node[u] != node[v] and sets.join(int(at[u - lo]), int(at[v - lo])):
+                                a.append(node[u])
+                                b.append(node[v])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
+
+    met = _signatures(points, distance).repartition(n, "part", "value").sortWithinPartitions("part", "value")
+    return met.mapInArrow(run, "a long, b long")
+
+
 def simhash_groups(df: DataFrame, size: int = 3, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: the key (long), ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key reachable over links.
 
@@ -222,3 +304,91 @@ def simhash_groups(df: DataFrame, size: int = 3, distance: int = 2, text: str =
     label = points.join(found, points["node"] == found["node"], "left").select("fp", F.coalesce("component", points["node"]).alias("c"))
     out = docs.join(label, "fp")
     return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < _MOST, F.col("c")).alias("component_id"))
+
+
+def _shingle_set(words: list[str], size: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles, ascending; fewer words than ``size``: of the whole sequence."""
+    grams = zip(*[words[j:] for j in range(size)]) if len(words) >= size else [words]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(g)) for g in grams), np.uint64))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 5, most: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per input row: ``k`` (the key as long), ``t`` (a hash of the text) and ``g``, its group; near duplicates share one.
+
+    Candidates are texts whose SimHashes over single words differ in at most ``distance`` bits; a link is a candidate whose sets of ``size``-word
+    shingles have a Jaccard similarity of at least ``similarity``; groups are connected over links. Texts of equal words, letter case
+    aside, are one point whatever their number. Candidates first form components from a forest; a component of at most ``most`` points is solved in one
+    task, without putting out its pairs; in a larger one each pair of candidates is joined to its two shingle sets.
+    Texts without words are equal to one another. An empty table gives an empty result.
+    """
+    spark = df.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
+
+    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            same = np.array([xxhash.xxh64_intdigest(" ".join(words_of(x))) for x in texts], np.uint64).view(np.int64)
+            fp = np.array([simhash(x, 1) for x in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array(fp)], names=["k", "t", "e", "fp"])
+
+    whole = F.coalesce(F.col(text), F.lit(""))
+    texts = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
+    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, fp long"), "signed")
+    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("fp").alias("fp")), "points")
+    forest = components(hamming_forest(points.select("fp", F.col("e").alias("node")), distance))
+    sized = forest.join(forest.groupBy("component").agg(F.count("*").alias("n")), "component")
+    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "fp", "one.*", F.col("component").alias("c"), "n"), "members")
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "fp", "set"])
+
+    both = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t"))
+    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "x.text")
+    sets = scratch.save(found.mapInArrow(shingles, "c long, n long, e long, fp long, set array<bigint>"), "sets")
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["c"], 2_000):
+            c, e, fp = (table[x].to_numpy() for x in ("c", "e", "fp"))
+            fp, held = fp.view(np.uint64), table["set"].combine_chunks()
+            flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
+            own = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+            start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            a, b = [], []
+            for lo, hi in zip(start, np.append(start[1:], len(c))):
+                tied = _Sets(hi - lo)
+                for i in range(hi - lo):
+                    for j in np.flatnonzero(np.bitwise_count(fp[lo + i] ^ fp[lo + i + 1 : hi]) <= distance) + i + 1:
+                        if e[lo + i] != e[lo + j] and tied.find(i) != tied.find(int(j)) and _alike(own[lo + i], own[lo + j], similarity):
+                            tied.join(i, int(j))
+                            a.append(e[lo + i])
+                            b.append(e[lo + j])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = sets.where(F.col("n") <= most).repartition(parts, "c").sortWithinPartitions("c").mapInArrow(solve, "a long, b long")
+    if not members.where(F.col("n") > most).isEmpty():
+        pairs = hamming_links(members.where(F.col("n") > most).select("fp", F.col("e").alias("node")), distance)
+        one, two = (sets.where(F.col("n") > most).select(F.col("e").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        alike = shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)
+        links = links.unionByName(pairs.join(one, "a").join(two, "b").where(alike).select("a", "b"))
+    groups = components(links)
+    return signed.join(groups, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("component", "e").alias("g"))
+
+
+def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df`` that stay: of each group of near duplicates one with the smallest key (null first), of equal rows one."""
+    kept = near_duplicate_groups(df, text=text, key=key, **options).groupBy("g").agg(F.min(F.struct("k", "t")).alias("one")).select(F.col("one.k").alias("_nd_k"), F.col("one.t").alias("_nd_t"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("_nd_k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_nd_t"))
+    rows = df.join(kept, same).dropDuplicates(["_nd_k", "_nd_t"])
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
