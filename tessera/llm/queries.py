@@ -12,6 +12,7 @@ from .common import documents
 from .fingerprints import edited_fingerprints
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .neighbours import nearest_vectors
 from .pieces import round_trip
 from .pii import pii_report
 from .quality import fit, quality_scores
@@ -52,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: F.pmod(i, F.lit(100)) == 0, k=10)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir), window=13).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_nearest": op8_nearest,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_line_dedup": op10_line_dedup,
 }
