@@ -108,6 +108,8 @@ def _described(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("for", F.col("before").rlike(FOR).cast("int")).withColumn("against", F.col("before").rlike(AGAINST).cast("int"))
     rows = rows.withColumn("tight", (F.col("before").rlike(r"[\p{L}0-9]$")).cast("int") + F.coalesce(F.col("after").rlike(r"^[\p{L}0-9]"), F.lit(False)).cast("int"))
     rows = rows.withColumn("base", (F.col("wide") == 0) & (F.col("valid") == 1))
+    # a base match that fails is a candidate only if it is about as long as what it would have to be
+    rows = rows.where(F.col("base") | (F.col("wide") == 1) | (F.col("digits") >= F.get(F.array(F.lit(0), F.lit(4), F.lit(12), F.lit(7)), F.col("kind"))))
     own = Window.partitionBy("k", "t", "kind")
     ends = F.max(F.when(F.col("base"), F.col("end"))).over(own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
     starts = F.min(F.when(F.col("base"), F.col("start"))).over(own.orderBy("start").rangeBetween(0, Window.unboundedFollowing))
@@ -121,7 +123,7 @@ EXAMPLES = (
     ("server {a}[.]{b}[.]{c}[.]{d} is down", 1, 1), ("host {a}(.){b}(.){c}(.){d}", 1, 1), ("login from {a}[dot]{b}[dot]{c}[dot]{d} twice", 1, 1), ("seen {a}[.]{b}[.]{c}[.]{d} there", 1, 1),
     ("section {x} . {y} . {z} . {x}", 1, 0), ("figure {a} . {b} . {c} . {d}", 1, 0), ("version {x}9.{y}8.{z}7.{x}6", 1, 0), ("part {a} . {b} . {x} . {y}", 1, 0),
     ("card {v.} expires soon", 2, 1), ("visa {v/} please", 2, 1), ("pay with {v_}", 2, 1), ("it is {v.} and", 2, 1),
-    ("serial {f.} on the back", 2, 0), ("invoice {f/} was sent", 2, 0), ("order {f_} came", 2, 0), ("and {f.} of them", 2, 0), ("the {f-} ones", 2, 0), ("the {f} ones", 2, 0),
+    ("serial {f.} on the back", 2, 0), ("invoice {f/} was sent", 2, 0), ("order {f_} came", 2, 0), ("and {f.} of them", 2, 0), ("card no {f}", 2, 0), ("pay {f-} to", 2, 0), ("the {f-} ones", 2, 0), ("the {f} ones", 2, 0),
     ("call ({x}) {y}-{w} now", 3, 1), ("phone {x}-{y}-{w}", 3, 1), ("tel. {x}.{y}.{w} today", 3, 1), ("my mobile is {x} {y} {w}", 3, 1), ("({x}) {y}-{w}", 3, 1),
     ("part {x} {y} {w} in stock", 3, 0), ("order {x}-{y}-{w}", 3, 0), ("isbn {x}-{y}-{w}", 3, 0), ("figures {x} {y} {w} and", 3, 0), ("release {x}.{y}.{w}", 3, 0), ("count {x} {y} {w}", 3, 0), ("+{x}", 3, 0),
 )
