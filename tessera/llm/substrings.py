@@ -99,57 +99,69 @@ def _shared_anchors(docs: DataFrame, window: int, most: int, scratch: Scratch) -
 
 _MADE = "content boolean, anchor long, hash long, doc long, top long, v short, first int, n short, words binary"
 _MADE_TYPES = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int16(), pa.binary())
+_BASE = 0x9E3779B97F4A7C15
+_HELD = 150_000  # stretches of a task that are gathered before equal ones become one
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _content_hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of codes, from sums over powers of a base modulo 2**64."""
+    up, down = np.full(len(codes), _BASE, np.uint64), np.full(len(codes), pow(_BASE, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * np.multiply.accumulate(down), out=sums[1:])
+    h = (sums[start + size] - sums[start]) * np.multiply.accumulate(up)[start + size - 1] + size.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
 def _stretch_rows(docs: DataFrame, window: int) -> DataFrame:
-    """Rows of two sorts from documents with ``at``: every stretch (content false), and each task's distinct stretches with their words and least and largest documents."""
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _MADE_TYPES)], names=[f.split()[0] for f in _MADE.split(", ")])
+    """Rows of two sorts from documents with ``at``: every stretch (content false), and distinct stretches with their words and least and largest documents."""
+
+    def batch(count: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+        names = [f.split()[0] for f in _MADE.split(", ")]
+        return pa.RecordBatch.from_arrays([(columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t)) if c in columns else pa.nulls(count, t) for c, t in zip(names, _MADE_TYPES)], names=names)
+
+    def done(held: list[tuple], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        anchor, start, first, n, doc, v, many = (np.concatenate(c) for c in zip(*held))
+        flat = np.concatenate(codes)
+        size = n + window - 1
+        h = _content_hashes(flat, start, size)
+        anchor = np.where(many, h, anchor).view(np.int64)
+        h = h.view(np.int64)
+        yield batch(len(h), content=np.zeros(len(h), bool), anchor=anchor, hash=h, doc=doc, v=v, first=first, n=n)
+        order = np.lexsort((h, anchor))
+        head = np.flatnonzero(np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (h[order][1:] != h[order][:-1])]))
+        low, top = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
+        one = order[head]
+        ends = np.cumsum(size[one])
+        at = np.repeat(start[one] - (ends - size[one]), size[one]) + np.arange(ends[-1])
+        small = (flat >> np.uint64(32)).astype("<u4")[at]
+        words = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype(np.int32)), pa.py_buffer(small)])
+        yield batch(len(one), content=np.ones(len(one), bool), anchor=anchor[one], hash=h[one], doc=low, top=top, n=n[one], words=words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-
-        def contents() -> list[tuple]:
-            out = [(True, a, h, lo, hi, None, None, n, words) for (a, h), (lo, hi, n, words) in held.items()]
-            held.clear()
-            return out
-
+        held, codes, rows, words = [], [], 0, 0
         for doc_ids, vs, texts, ats in column_batches(batches, "doc", "v", "text", "at"):
-            out = []
             for doc, v, text, at in zip(doc_ids, vs, texts, ats):
-                codes = word_codes(_words(text))
-                anchor, place, first, n = stretches(codes, window)
-                small = (codes >> np.uint64(32)).astype("<u4")
+                own = word_codes(_words(text))
+                anchor, place, first, n = stretches(own, window)
                 at = np.array(at)
                 many = np.isin(place, -1 - at[at < 0])
-                for i in np.flatnonzero(np.isin(place, at) | many):
-                    a, f, m = int(anchor[i]), int(first[i]), int(n[i])
-                    parts = [(a, f, m)] if not many[i] else [(None, f + j, 1) for j in range(m)]
-                    for a, f, m in parts:
-                        words = small[f : f + m + window - 1].tobytes()
-                        h = _signed(xxhash.xxh64_intdigest(words))
-                        a = h if a is None else _signed(a)
-                        out.append((False, a, h, doc, None, v, f, m, None))
-                        if (seen := held.get((a, h))) is None:
-                            held[a, h] = [doc, doc, m, words]
-                        elif doc < seen[0]:
-                            seen[0] = doc
-                        elif doc > seen[1]:
-                            seen[1] = doc
-                if len(out) > 50_000:
-                    yield batch(out)
-                    out = []
-                if len(held) > 100_000:
-                    yield batch(contents())
-            if out:
-                yield batch(out)
-        if held:
-            yield batch(contents())
+                pick = np.isin(place, at) | many
+                anchor, first, n, many = anchor[pick], first[pick], n[pick], many[pick]
+                if many.any():  # each of their windows by itself
+                    each = np.where(many, n, 1)
+                    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    anchor, first, n, many = np.repeat(anchor, each), np.repeat(first, each) + step, np.repeat(np.where(many, 1, n), each), np.repeat(many, each)
+                if len(anchor):
+                    held.append((anchor, first + words, first, n, np.full(len(anchor), doc, np.int64), np.full(len(anchor), v, np.int16), many))
+                    codes.append(own)
+                    rows, words = rows + len(anchor), words + len(own)
+                if rows >= _HELD:
+                    yield from done(held, codes)
+                    held, codes, rows, words = [], [], 0, 0
+        if rows:
+            yield from done(held, codes)
 
     return docs.select("doc", "v", "text", "at").mapInArrow(run, _MADE)
 
