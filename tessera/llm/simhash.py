@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, bounded_batches
+from .common import WORD, Scratch, bounded_batches, release
 from .graph import components
 
 _words = re.compile(WORD).findall
@@ -179,24 +179,28 @@ def _signatures(points: DataFrame, distance: int) -> DataFrame:
     held = [np.uint64(sum(1 << b for b in p)) for p in parts]
     steps = {(i, e): np.array([sum(1 << b for b in c) for d in range(e + 1) for c in combinations(p, d)], np.uint64) for i, p in enumerate(parts) for e in range(distance + 1)}
 
-    def rows(i: int, value: np.ndarray, probe: bool, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int8)), pa.array(value.view(np.int64)), pa.array(np.full(len(value), probe)), pa.array(fp.view(np.int64)), pa.array(node)], names=["part", "value", "probe", "fp", "node"])
+    def rows(i: int, value: np.ndarray, probe: bool, *others: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int8)), pa.array(value.view(np.int64)), pa.array(np.full(len(value), probe)), *map(pa.array, others)], names=["part", "value", "probe", *carried])
+
+    carried = ["fp", "node", *(c for c in points.columns if c not in ("fp", "node"))]
+    more = "".join(f", {c} {points.schema[c].dataType.simpleString()}" for c in carried[2:])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            all_fp, all_node = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for at in range(0, len(all_fp), 4096):
-                fp, node = all_fp[at : at + 4096].view(np.uint64), all_node[at : at + 4096]
+            whole = [b.column(i).to_numpy(zero_copy_only=False) for i in range(len(carried))]
+            for at in range(0, b.num_rows, 4096):
+                own = [c[at : at + 4096] for c in whole]
+                fp = own[0].view(np.uint64)
                 wanted = thresholds.choose(fp, n)
                 for i in range(m):
-                    yield rows(i, fp & held[i], False, fp, node)
+                    yield rows(i, fp & held[i], False, *own)
                     for e in range(distance + 1):
                         if (q := np.flatnonzero(wanted[:, i] == e)).size:
                             step = steps[i, e]
                             for part in np.array_split(q, math.ceil(q.size * len(step) / 500_000)):
-                                yield rows(i, ((fp[part] & held[i])[:, None] ^ step).ravel(), True, np.repeat(fp[part], len(step)), np.repeat(node[part], len(step)))
+                                yield rows(i, ((fp[part] & held[i])[:, None] ^ step).ravel(), True, *(np.repeat(c[part], len(step)) for c in own))
 
-    return points.select("fp", "node").mapInArrow(run, _ROW)
+    return points.select(*carried).mapInArrow(run, _ROW + more)
 
 
 def hamming_links(points: DataFrame, distance: int) -> DataFrame:
@@ -252,9 +256,10 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int)
         yield pa.Table.from_batches(held)
 
 
-def hamming_forest(points: DataFrame, distance: int) -> DataFrame:
+def hamming_forest(points: DataFrame, distance: int, second: int | None = None, ratio: float = 0.0) -> DataFrame:
     """As hamming_links, but of the links under each partition value only a spanning forest: the same components from fewer rows than points have signatures.
 
+    With ``second``, links also need the fingerprints ``fp2`` to differ in at most so many bits and the sizes ``n`` to lie within ``ratio``.
     Rows meet by partition value; the fingerprints of a value are compared in blocks, and what ties no further sets together isn't put out.
     """
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -263,6 +268,7 @@ def hamming_forest(points: DataFrame, distance: int) -> DataFrame:
         for table in _whole_groups(batches, ["part", "value"], 50_000):
             part, value, probe, fp, node = (table[c].to_numpy() for c in ("part", "value", "probe", "fp", "node"))
             fp = fp.view(np.uint64)
+            fp2, size = (table["fp2"].to_numpy().view(np.uint64), table["n"].to_numpy()) if second is not None else (None, None)
             start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1])]))
             two = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) & np.logical_or.reduceat(~probe, start) & np.logical_or.reduceat(probe, start)
             ends = np.append(start[1:], len(node))
@@ -273,7 +279,10 @@ def hamming_forest(points: DataFrame, distance: int) -> DataFrame:
                 sets = _Sets(len(ids))
                 for i in range(0, len(q), 256):
                     for j in range(0, len(x), 4096):
-                        near = np.bitwise_count(fp[q[i : i + 256], None] ^ fp[None, x[j : j + 4096]]) <= distance
+                        qs, xs = q[i : i + 256, None], x[None, j : j + 4096]
+                        near = np.bitwise_count(fp[qs] ^ fp[xs]) <= distance
+                        if second is not None:
+                            near &= (np.bitwise_count(fp2[qs] ^ fp2[xs]) <= second) & (np.minimum(size[qs], size[xs]) >= ratio * np.maximum(size[qs], size[xs]))
                         for u, v in zip(*np.nonzero(near)):
                             u, v = q[i + u], x[j + v]
                             if node[u] != node[v] and sets.join(int(at[u - lo]), int(at[v - lo])):
@@ -319,10 +328,11 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 5, most: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 5, second: int = 18, most: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``k`` (the key as long), ``t`` (a hash of the text) and ``g``, its group; near duplicates share one.
 
-    Candidates are texts whose SimHashes over single words differ in at most ``distance`` bits; a link is a candidate whose sets of ``size``-word
+    Candidates are texts whose SimHashes over single words differ in at most ``distance`` bits, those over ``size``-word shingles in at most
+    ``second``, and whose numbers of distinct shingles allow the similarity; a link is a candidate whose sets of ``size``-word
     shingles have a Jaccard similarity of at least ``similarity``; groups are connected over links. Texts of equal words, letter case
     aside, are one point whatever their number. Candidates first form components from a forest; a component of at most ``most`` points is solved in one
     task, without putting out its pairs; in a larger one each pair of candidates is joined to its two shingle sets.
@@ -337,29 +347,33 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
             texts = b.column(2).to_pylist()
             same = np.array([xxhash.xxh64_intdigest(" ".join(words_of(x))) for x in texts], np.uint64).view(np.int64)
             fp = np.array([simhash(x, 1) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(same), pa.array(fp)], names=["k", "t", "e", "fp"])
+            fp2 = np.array([simhash(x, size) for x in texts], np.uint64).view(np.int64)
+            n = np.array([len(_shingle_set(words_of(x), size)) for x in texts], np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (same, fp, fp2, n))], names=["k", "t", "e", "fp", "fp2", "n"])
 
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, fp long"), "signed")
-    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("fp").alias("fp")), "points")
-    forest = components(hamming_forest(points.select("fp", F.col("e").alias("node")), distance))
+    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, fp long, fp2 long, n int"), "signed")
+    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n")), "points")
+    forest = components(hamming_forest(points.select("fp", F.col("e").alias("node"), "fp2", "n"), distance, second, similarity))
+    release(spark)
     sized = forest.join(forest.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "fp", "one.*", F.col("component").alias("c"), "n"), "members")
+    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "fp", "fp2", "one.*", F.col("component").alias("c"), sized["n"]), "members")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "fp", "set"])
+            sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "fp", "fp2", "set"])
 
     both = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t"))
-    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "x.text")
-    sets = scratch.save(found.mapInArrow(shingles, "c long, n long, e long, fp long, set array<bigint>"), "sets")
+    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "y.fp2", "x.text")
+    sets = scratch.save(found.mapInArrow(shingles, "c long, n long, e long, fp long, fp2 long, set array<bigint>"), "sets")
+    release(spark)
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["c"], 2_000):
-            c, e, fp = (table[x].to_numpy() for x in ("c", "e", "fp"))
-            fp, held = fp.view(np.uint64), table["set"].combine_chunks()
+            c, e, fp, fp2 = (table[x].to_numpy() for x in ("c", "e", "fp", "fp2"))
+            fp, fp2, held = fp.view(np.uint64), fp2.view(np.uint64), table["set"].combine_chunks()
             flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
             own = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
             start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
@@ -367,7 +381,8 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
             for lo, hi in zip(start, np.append(start[1:], len(c))):
                 tied = _Sets(hi - lo)
                 for i in range(hi - lo):
-                    for j in np.flatnonzero(np.bitwise_count(fp[lo + i] ^ fp[lo + i + 1 : hi]) <= distance) + i + 1:
+                    rest = slice(lo + i + 1, hi)
+                    for j in np.flatnonzero((np.bitwise_count(fp[lo + i] ^ fp[rest]) <= distance) & (np.bitwise_count(fp2[lo + i] ^ fp2[rest]) <= second)) + i + 1:
                         if e[lo + i] != e[lo + j] and tied.find(i) != tied.find(int(j)) and _alike(own[lo + i], own[lo + j], similarity):
                             tied.join(i, int(j))
                             a.append(e[lo + i])
@@ -378,9 +393,9 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
     links = sets.where(F.col("n") <= most).repartition(parts, "c").sortWithinPartitions("c").mapInArrow(solve, "a long, b long")
     if not members.where(F.col("n") > most).isEmpty():
         pairs = hamming_links(members.where(F.col("n") > most).select("fp", F.col("e").alias("node")), distance)
-        one, two = (sets.where(F.col("n") > most).select(F.col("e").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+        one, two = (sets.where(F.col("n") > most).select(F.col("e").alias(x), F.col("set").alias(f"set_{x}"), F.col("fp2").alias(f"fp2_{x}")) for x in "ab")
         shared = F.size(F.array_intersect("set_a", "set_b"))
-        alike = shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared)
+        alike = (F.bit_count(F.col("fp2_a").bitwiseXOR(F.col("fp2_b"))) <= second) & (shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared))
         links = links.unionByName(pairs.join(one, "a").join(two, "b").where(alike).select("a", "b"))
     groups = components(links)
     return signed.join(groups, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("component", "e").alias("g"))

@@ -9,7 +9,6 @@ that only one document has are left out. The stretches are dealt out by prefix:
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, bounded_batches, column_batches
+from .common import WORD, Scratch, bounded_batches, column_batches, release
 
 GRAM = 4
 _BLOCK = 1 << 15  # windows handled at once; a place in a block fits 16 bits
@@ -242,18 +241,18 @@ def substring_dedup(df: DataFrame, window: int = 13, most: int = 20_000, text: s
     scratch = Scratch(spark)
     docs = _rows(df, text, key)
     places = _shared_anchors(docs, window, most, scratch)
-    _release(spark)
+    release(spark)
     made = scratch.save(_stretch_rows(docs.join(places, "doc"), window), "stretches", partition_by="content")
     scratch.drop(places)
-    _release(spark)
+    release(spark)
     nodes = scratch.save(_trees(made.where("content"), window, int(spark.conf.get("spark.sql.shuffle.partitions"))), "nodes")
-    _release(spark)
+    release(spark)
     where = made.where("not content").select("anchor", "hash", "doc", "v", "first", "n").join(nodes, ["anchor", "hash"])
     every = F.expr("shiftleft(1L, cast(n as int)) - 1")
     where = where.withColumn("bits", F.when(F.col("doc") > F.col("lo"), every).otherwise(F.col("mask"))).where("bits <> 0")
     gone = scratch.save(where.groupBy("doc", "v").agg(F.collect_set(F.struct("first", "bits")).alias("gone")), "gone")
     scratch.drop(made, nodes)
-    _release(spark)
+    release(spark)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, texts, gones in column_batches(batches, "doc", "text", "gone"):
@@ -277,8 +276,3 @@ def substring_dedup(df: DataFrame, window: int = 13, most: int = 20_000, text: s
     out = docs.join(gone, ["doc", "v"], "left").select("doc", "text", "gone").mapInArrow(cut, "doc long, n_words long, n_removed long, kept string")
     return out.select(F.when(F.col("doc") > -(1 << 63), F.col("doc")).alias(key), "n_words", "n_removed", "kept")
 
-
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs, which weigh more than what they led to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
