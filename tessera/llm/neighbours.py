@@ -9,7 +9,6 @@ original vectors in double precision.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches
+from .common import Scratch, bounded_batches, release
 
 _LIST = "node long, ids array<bigint>, ds array<float>, fresh array<boolean>"
 
@@ -146,7 +145,7 @@ def _round(graph: DataFrame, halves: DataFrame, k: int, parts: int) -> DataFrame
                 d[~(fresh[lo:hi, None] | fresh[None, lo:hi])] = np.inf
                 np.fill_diagonal(d, np.inf)
                 d[d >= worst[lo:hi, None]] = np.inf
-                near = np.argsort(d, axis=1)[:, :6]  # a center tells each member of its six nearest at most
+                near = np.argsort(d, axis=1)[:, :8]  # a center tells each member of its eight nearest at most
                 dist = np.take_along_axis(d, near, 1)
                 for i in np.flatnonzero(np.isfinite(dist[:, 0])):
                     n = int(np.isfinite(dist[i]).sum())
@@ -158,7 +157,7 @@ def _round(graph: DataFrame, halves: DataFrame, k: int, parts: int) -> DataFrame
     return told.select("center", "member", "fresh", "worst", "h").repartition(parts, "center").sortWithinPartitions("center").mapInArrow(meet, _LIST)
 
 
-def nn_descent(points: DataFrame, k: int = 20, trees: int = 4, leaf: int = 100, rounds: int = 5, enough: float = 0.02) -> DataFrame:
+def nn_descent(points: DataFrame, k: int = 24, trees: int = 6, leaf: int = 200, rounds: int = 10, enough: float = 0.005) -> DataFrame:
     """``points`` (node: distinct long, v: distinct arrays of double) -> node, ids, ds, fresh: the k nearest found, nearest first.
 
     Ends after ``rounds``, or when a round renews less than the share ``enough`` of all entries. Reverse neighbours are taken up to a
@@ -181,8 +180,7 @@ def nn_descent(points: DataFrame, k: int = 20, trees: int = 4, leaf: int = 100,
         after = scratch.save(_merged(known.unionByName(_round(graph, halves, k, parts)), k), f"round{i}")
         scratch.drop(graph)
         graph = after
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # each round's shuffled vectors can go
+        release(spark)
         renewed = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f)))).first()[0] or 0
         if renewed < enough * n * k:
             break
@@ -190,7 +188,7 @@ def nn_descent(points: DataFrame, k: int = 20, trees: int = 4, leaf: int = 100,
     return graph
 
 
-def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = 160, step: int = 16, entries: int = 1024, rounds: int = 40) -> DataFrame:
+def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = 224, step: int = 16, entries: int = 1024, rounds: int = 40) -> DataFrame:
     """``queries`` (q: distinct long, v) -> q, node, d: the k nearest points found, d in double precision on the original vectors.
 
     The search graph has the edges of ``graph`` both ways, those back up to a bound. Each round a query expands the ``step`` nearest of its ``beam``
