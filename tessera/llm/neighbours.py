@@ -145,7 +145,7 @@ def _round(graph: DataFrame, halves: DataFrame, k: int, parts: int) -> DataFrame
                 d[~(fresh[lo:hi, None] | fresh[None, lo:hi])] = np.inf
                 np.fill_diagonal(d, np.inf)
                 d[d >= worst[lo:hi, None]] = np.inf
-                near = np.argsort(d, axis=1)[:, :8]  # a center tells each member of its eight nearest at most
+                near = np.argsort(d, axis=1)[:, :10]  # a center tells each member of its ten nearest at most
                 dist = np.take_along_axis(d, near, 1)
                 for i in np.flatnonzero(np.isfinite(dist[:, 0])):
                     n = int(np.isfinite(dist[i]).sum())
@@ -157,7 +157,7 @@ def _round(graph: DataFrame, halves: DataFrame, k: int, parts: int) -> DataFrame
     return told.select("center", "member", "fresh", "worst", "h").repartition(parts, "center").sortWithinPartitions("center").mapInArrow(meet, _LIST)
 
 
-def nn_descent(points: DataFrame, k: int = 24, trees: int = 6, leaf: int = 200, rounds: int = 10, enough: float = 0.005) -> DataFrame:
+def nn_descent(points: DataFrame, k: int = 32, trees: int = 8, leaf: int = 250, rounds: int = 10, enough: float = 0.005) -> DataFrame:
     """``points`` (node: distinct long, v: distinct arrays of double) -> node, ids, ds, fresh: the k nearest found, nearest first.
 
     Ends after ``rounds``, or when a round renews less than the share ``enough`` of all entries. Reverse neighbours are taken up to a
@@ -188,7 +188,7 @@ def nn_descent(points: DataFrame, k: int = 24, trees: int = 6, leaf: int = 200,
     return graph
 
 
-def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = 224, step: int = 16, entries: int = 1024, rounds: int = 40) -> DataFrame:
+def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = 384, step: int = 32, entries: int = 1024, rounds: int = 40) -> DataFrame:
     """``queries`` (q: distinct long, v) -> q, node, d: the k nearest points found, d in double precision on the original vectors.
 
     The search graph has the edges of ``graph`` both ways, those back up to a bound. Each round a query expands the ``step`` nearest of its ``beam``
@@ -200,7 +200,7 @@ def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: in
     start = points.orderBy(F.xxhash64("node"), "node").limit(entries).collect()  # entry points: a bounded sample
     gate, gate_m = np.array([r.node for r in start], np.int64), np.array([r.v for r in start], np.float16).astype(np.float32)
     edges = graph.select("node", F.explode(F.arrays_zip("ids", "ds")).alias("x")).select("node", F.col("x.ids").alias("other"), F.col("x.ds").alias("d"))
-    back = edges.withColumn("r", F.row_number().over(Window.partitionBy("other").orderBy("d", "node"))).where("r <= 24").select(F.col("other").alias("node"), F.col("node").alias("other"))
+    back = edges.withColumn("r", F.row_number().over(Window.partitionBy("other").orderBy("d", "node"))).where("r <= 32").select(F.col("other").alias("node"), F.col("node").alias("other"))
     ways = edges.select("node", "other").unionByName(back).distinct()
 
     def half(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
