@@ -33,18 +33,28 @@ def words_of(text: str) -> list[str]:
     return _words(text.lower() if text.isascii() else text.translate(_LOWER))
 
 
-def simhash(text: str | None, size: int, seed: int = 42) -> int:
+def gram_hashes(words: list[str], size: int, at: int = 0, end: int | None = None, seed: int = 42) -> np.ndarray:
+    """The hashes of the shingles that start at words ``at`` to ``end``; fewer words than ``size``: of the whole sequence; none: none."""
+    n = max(1, len(words) - size + 1) if words else 0
+    end = n if end is None else min(n, end)
+    grams = zip(*[words[at + j : end + j] for j in range(size)]) if len(words) >= size else [words] * n
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(" ".join(g), seed) for g in grams), np.uint64, end - at)
+
+
+def _votes(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def _elected(votes: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+
+
+def simhash(text: str | None, size: int) -> int:
     """A bit is 1 if set in over half the hashes of the text's ``size``-word shingles, repeats included; no words: 0."""
     words = words_of(text or "")
-    if not words:
-        return 0
-    n, digest, votes = max(1, len(words) - size + 1), xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, n, _BLOCK):
-        end = min(n, at + _BLOCK)
-        grams = zip(*[words[at + j : end + j] for j in range(size)]) if len(words) >= size else [words]
-        h = np.fromiter((digest(" ".join(g), seed) for g in grams), np.uint64, end - at)
-        votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    n = max(1, len(words) - size + 1) if words else 0
+    return _elected(sum((_votes(gram_hashes(words, size, at, at + _BLOCK)) for at in range(0, n, _BLOCK)), np.zeros(64, np.int64)), n)
 
 
 def simhashes(df: DataFrame, size: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -316,9 +326,8 @@ def simhash_groups(df: DataFrame, size: int = 3, distance: int = 2, text: str =
 
 
 def _shingle_set(words: list[str], size: int) -> np.ndarray:
-    """The distinct 64-bit hashes of the shingles, ascending; fewer words than ``size``: of the whole sequence."""
-    grams = zip(*[words[j:] for j in range(size)]) if len(words) >= size else [words]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(" ".join(g)) for g in grams), np.uint64))
+    """The distinct hashes of the shingles, ascending."""
+    return np.unique(gram_hashes(words, size))
 
 
 def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -344,11 +353,14 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            same = np.array([xxhash.xxh64_intdigest(" ".join(words_of(x))) for x in texts], np.uint64).view(np.int64)
-            fp = np.array([simhash(x, 1) for x in texts], np.uint64).view(np.int64)
-            fp2 = np.array([simhash(x, size) for x in texts], np.uint64).view(np.int64)
-            n = np.array([len(_shingle_set(words_of(x), size)) for x in texts], np.int32)
+            out = []
+            for x in b.column(2).to_pylist():
+                words = words_of(x)
+                one, grams = gram_hashes(words, 1), gram_hashes(words, size)
+                same = xxhash.xxh64_intdigest(" ".join(words))
+                out.append((same, _elected(_votes(one), len(one)), _elected(_votes(grams), len(grams)), len(np.unique(grams))))
+            same, fp, fp2, n = (np.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (np.uint64, np.uint64, np.uint64, np.int32)))
+            same, fp, fp2 = (x.view(np.int64) for x in (same, fp, fp2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (same, fp, fp2, n))], names=["k", "t", "e", "fp", "fp2", "n"])
 
     whole = F.coalesce(F.col(text), F.lit(""))
