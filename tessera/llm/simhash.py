@@ -246,6 +246,15 @@ class _Sets:
         return i != j
 
 
+def _root(up: dict[int, int], k: int) -> int:
+    """The root of k among sets kept as a parent for each member that isn't a root."""
+    while (above := up.get(k)) is not None:
+        if (further := up.get(above)) is not None:
+            up[k] = further
+        k = above
+    return k
+
+
 def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Tables of whole groups, from batches that come sorted by ``keys``; a table has about ``rows`` rows or one group."""
     held, n = [], 0
@@ -279,25 +288,47 @@ def hamming_forest(points: DataFrame, distance: int, second: int | None = None,
             part, value, probe, fp, node = (table[c].to_numpy() for c in ("part", "value", "probe", "fp", "node"))
             fp = fp.view(np.uint64)
             fp2, size = (table["fp2"].to_numpy().view(np.uint64), table["n"].to_numpy()) if second is not None else (None, None)
-            start = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1])]))
-            two = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) & np.logical_or.reduceat(~probe, start) & np.logical_or.reduceat(probe, start)
+            fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
+            order = np.lexsort((probe, np.cumsum(fresh)))  # of each value first the index, then the probes
+            fp, node, probe = fp[order], node[order], probe[order]
+            if second is not None:
+                fp2, size = fp2[order], size[order]
+            start = np.flatnonzero(fresh)
             ends = np.append(start[1:], len(node))
+            mid = start + np.add.reduceat(~probe, start)
+            two = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) & (start < mid) & (mid < ends)
+            start, mid, ends = start[two], mid[two], ends[two]
+            up: dict[int, int] = {}
             a, b = [], []
-            for lo, hi in zip(start[two], ends[two]):
-                ids, at = np.unique(node[lo:hi], return_inverse=True)
-                x, q = lo + np.flatnonzero(~probe[lo:hi]), lo + np.flatnonzero(probe[lo:hi])
-                sets = _Sets(len(ids))
-                for i in range(0, len(q), 256):
-                    for j in range(0, len(x), 4096):
-                        qs, xs = q[i : i + 256, None], x[None, j : j + 4096]
-                        near = np.bitwise_count(fp[qs] ^ fp[xs]) <= distance
-                        if second is not None:
-                            near &= (np.bitwise_count(fp2[qs] ^ fp2[xs]) <= second) & (np.minimum(size[qs], size[xs]) >= ratio * np.maximum(size[qs], size[xs]))
-                        for u, v in zip(*np.nonzero(near)):
-                            u, v = q[i + u], x[j + v]
-                            if node[u] != node[v] and sets.join(int(at[u - lo]), int(at[v - lo])):
-                                a.append(node[u])
-                                b.append(node[v])
+
+            def tie(q: np.ndarray, x: np.ndarray) -> None:
+                """Of pairs of rows, puts out those within the distance that tie two sets together."""
+                near = (np.bitwise_count(fp[q] ^ fp[x]) <= distance) & (node[q] != node[x])
+                if second is not None:
+                    near &= (np.bitwise_count(fp2[q] ^ fp2[x]) <= second) & (np.minimum(size[q], size[x]) >= ratio * np.maximum(size[q], size[x]))
+                for u, v in zip(node[q[near]].tolist(), node[x[near]].tolist()):
+                    ru, rv = _root(up, u), _root(up, v)
+                    if ru != rv:
+                        up[max(ru, rv)] = min(ru, rv)
+                        a.append(u)
+                        b.append(v)
+
+            pairs = (mid - start) * (ends - mid)
+            done = 0
+            while done < len(pairs):  # whole values whose pairs fit one block
+                upto = max(done + 1, int(np.searchsorted(np.cumsum(pairs[done:]), 1_000_000, side="right")) + done)
+                if pairs[done] > 1_000_000:
+                    for q in range(mid[done], ends[done]):
+                        for x in range(start[done], mid[done], 1_000_000):
+                            other = np.arange(x, min(mid[done], x + 1_000_000))
+                            tie(np.full(len(other), q), other)
+                else:
+                    n_index, n_probe = (mid - start)[done:upto], (ends - mid)[done:upto]
+                    probes = np.repeat(mid[done:upto], n_probe) + np.arange(n_probe.sum()) - np.repeat(np.cumsum(n_probe) - n_probe, n_probe)
+                    reps = np.repeat(n_index, n_probe)
+                    first = np.repeat(np.repeat(start[done:upto], n_probe), reps)
+                    tie(np.repeat(probes, reps), first + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
+                done = upto
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
