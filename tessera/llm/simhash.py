@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -27,6 +28,7 @@ _words = re.compile(WORD).findall
 _LOWER = {u: u + 32 for u in range(ord("A"), ord("Z") + 1)}
 _MOST = (1 << 63) - 1
 _BLOCK = 1 << 15  # shingles hashed at once
+_MOST_PROBES = 1 << 17  # no fingerprint probes one partition with more; thresholds spread evenly stay far below
 
 
 def words_of(text: str) -> list[str]:
@@ -57,6 +59,18 @@ def simhash(text: str | None, size: int) -> int:
     return _elected(sum((_votes(gram_hashes(words, size, at, at + _BLOCK)) for at in range(0, n, _BLOCK)), np.zeros(64, np.int64)), n)
 
 
+def vocabulary_simhash(words: list[str]) -> int:
+    """As simhash over single words, but each distinct word votes once, with a weight that grows with the logarithm of its count; no words: 0.
+
+    Common words would settle most bits by their mere number and bring texts of one language together.
+    """
+    counts = Counter(words)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
+    weight = np.rint(16 * (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))))).astype(np.int64)
+    votes = sum((weight[at : at + _BLOCK] @ np.unpackbits(h[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) for at in range(0, len(h), _BLOCK)), np.zeros(64, np.int64))
+    return _elected(votes, int(weight.sum()))
+
+
 def simhashes(df: DataFrame, size: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The key (as it is) and ``fp``, the fingerprint as a signed long; one row per input row. Null texts have no words."""
     bounded_batches(df.sparkSession)
@@ -120,11 +134,16 @@ def bit_partitions(pairs: np.ndarray, n: int, m: int) -> list[list[int]]:
     return out
 
 
+def _probes(bits: int, threshold: int) -> int:
+    """How many values lie within the threshold of one."""
+    return sum(math.comb(bits, d) for d in range(threshold + 1))
+
+
 class Thresholds:
     """Per-fingerprint thresholds for the partitions, from histograms of sub-blocks of at most ``most`` bits."""
 
-    def __init__(self, parts: list[list[int]], distance: int, most: int = 11):
-        self.parts, self.distance, self.m = parts, distance, len(parts)
+    def __init__(self, parts: list[list[int]], distance: int, pair_cost: float, most: int = 11):
+        self.parts, self.distance, self.m, self.pair_cost = parts, distance, len(parts), pair_cost
         self.blocks = [[list(map(int, b)) for b in np.array_split(p, math.ceil(len(p) / most))] for p in parts]
         self.flat = [b for blocks in self.blocks for b in blocks]
         self.near: list[np.ndarray] = []
@@ -158,8 +177,8 @@ class Thresholds:
                 near = self.near[block][_bits(fp, b)]
                 block += 1
                 share = np.stack([sum(share[:, i] * near[:, d - i] for i in range(d + 1)) for d in range(t + 1)], axis=1)
-            probes = np.cumsum([math.comb(len(part), e) for e in range(t + 1)])
-            costs.append(np.concatenate([np.zeros((len(fp), 1)), np.cumsum(share, axis=1) * n + probes], axis=1))  # column e + 1: threshold e
+            probes = np.array([p if (p := _probes(len(part), e)) <= _MOST_PROBES else np.inf for e in range(t + 1)])
+            costs.append(np.concatenate([np.zeros((len(fp), 1)), np.cumsum(share, axis=1) * n * self.pair_cost + probes], axis=1))  # column e + 1: threshold e
         # thresholds plus one sum to t + 1: best[:, s] is the least cost of spending s on the partitions so far
         best, took = costs[0], [np.tile(np.arange(t + 2), (len(fp), 1))]
         for cost in costs[1:]:
@@ -176,18 +195,44 @@ class Thresholds:
 _ROW = "part tinyint, value long, probe boolean, fp long, node long"
 
 
-def _signatures(points: DataFrame, distance: int) -> DataFrame:
-    """Index rows (each partition's value of each point) and probe rows (what lies within the point's own thresholds).
+def partitions_for(n: int, distance: int, pair_cost: float) -> int:
+    """The number of partitions that makes fewest probes and candidates for ``n`` evenly spread fingerprints."""
+
+    def cost(m: int) -> float:
+        each, more = divmod(distance - m + 1, m)
+        probes = sum(_probes(64 // m, each + (i < more)) for i in range(m))
+        return probes * (1 + pair_cost * n / 2 ** (64 // m))
 
-    The number of partitions follows from the number of points, so that partition values stay rare.
+    return min(range(2, max(2, distance + 1) + 1), key=lambda m: (cost(m), m))
+
+
+class Search:
+    """How ``points`` (fp, node, and columns that are carried along) are partitioned and probed for pairs within ``distance``.
+
+    ``pair_cost`` is the cost of comparing a pair of candidates, beside that of a probe.
     """
-    n = points.count()
-    m = max(2, min(distance + 1, int(64 / max(1.0, math.log2(max(n, 2))))))
-    parts = bit_partitions(_corpus_counts(points, "pairs", []), n, m)
-    thresholds = Thresholds(parts, distance)
-    thresholds.learn(_corpus_counts(points, "values", thresholds.flat))
-    held = [np.uint64(sum(1 << b for b in p)) for p in parts]
-    steps = {(i, e): np.array([sum(1 << b for b in c) for d in range(e + 1) for c in combinations(p, d)], np.uint64) for i, p in enumerate(parts) for e in range(distance + 1)}
+
+    def __init__(self, points: DataFrame, distance: int, pair_cost: float = 1.0):
+        self.points, self.distance, self.n = points, distance, points.count()
+        self.parts = bit_partitions(_corpus_counts(points, "pairs", []), self.n, partitions_for(self.n, distance, pair_cost))
+        self.thresholds = Thresholds(self.parts, distance, pair_cost)
+        self.thresholds.learn(_corpus_counts(points, "values", self.thresholds.flat))
+        self.held = [np.uint64(sum(1 << b for b in p)) for p in self.parts]
+
+    def frequent(self, most: int) -> DataFrame:
+        """part, value, ``n``: the partition values that more than ``most`` points have."""
+        masks = [int(x.view(np.int64)) for x in self.held]
+        values = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("part", "value")
+        return self.points.select(values).groupBy(F.col("part").cast("tinyint").alias("part"), "value").agg(F.count("*").alias("n")).where(F.col("n") > most)
+
+    def signatures(self) -> DataFrame:
+        """Index rows (each partition's value of each point) and probe rows (what lies within the point's own thresholds)."""
+        return _signatures(self.points, self.n, self.parts, self.held, self.thresholds, self.distance)
+
+
+def _signatures(points: DataFrame, n: int, parts: list[list[int]], held: list[np.uint64], thresholds: Thresholds, distance: int) -> DataFrame:
+    m = len(parts)
+    steps = {(i, e): np.array([sum(1 << b for b in c) for d in range(e + 1) for c in combinations(p, d)], np.uint64) for i, p in enumerate(parts) for e in range(distance + 1) if _probes(len(p), e) <= _MOST_PROBES}
 
     def rows(i: int, value: np.ndarray, probe: bool, *others: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i, np.int8)), pa.array(value.view(np.int64)), pa.array(np.full(len(value), probe)), *map(pa.array, others)], names=["part", "value", "probe", *carried])
@@ -207,7 +252,7 @@ def _signatures(points: DataFrame, distance: int) -> DataFrame:
                     for e in range(distance + 1):
                         if (q := np.flatnonzero(wanted[:, i] == e)).size:
                             step = steps[i, e]
-                            for part in np.array_split(q, math.ceil(q.size * len(step) / 500_000)):
+                            for part in np.array_split(q, min(q.size, math.ceil(q.size * len(step) / 500_000))):
                                 yield rows(i, ((fp[part] & held[i])[:, None] ^ step).ravel(), True, *(np.repeat(c[part], len(step)) for c in own))
 
     return points.select(*carried).mapInArrow(run, _ROW + more)
@@ -219,7 +264,7 @@ def hamming_links(points: DataFrame, distance: int) -> DataFrame:
     The distance is part of the join's condition, so that only links leave it.
     """
     scratch = Scratch(points.sparkSession)
-    made = scratch.save(_signatures(points, distance), "signatures", partition_by="probe")
+    made = scratch.save(Search(points, distance).signatures(), "signatures", partition_by="probe")
     index, probes = made.where("not probe").alias("x"), made.where("probe").alias("q")
     same = (F.col("x.part") == F.col("q.part")) & (F.col("x.value") == F.col("q.value"))
     one_way = (F.col("q.fp") < F.col("x.fp")) | ((F.col("q.fp") == F.col("x.fp")) & (F.col("q.node") < F.col("x.node")))
@@ -229,23 +274,6 @@ def hamming_links(points: DataFrame, distance: int) -> DataFrame:
     return links
 
 
-class _Sets:
-    """Disjoint sets over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def _root(up: dict[int, int], k: int) -> int:
     """The root of k among sets kept as a parent for each member that isn't a root."""
     while (above := up.get(k)) is not None:
@@ -275,65 +303,74 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int)
         yield pa.Table.from_batches(held)
 
 
-def hamming_forest(points: DataFrame, distance: int, second: int | None = None, ratio: float = 0.0) -> DataFrame:
-    """As hamming_links, but of the links under each partition value only a spanning forest: the same components from fewer rows than points have signatures.
+def _tied(label: np.ndarray, i: int, others: np.ndarray) -> list[int]:
+    """Puts the sets of ``others`` into that of ``i``; returns one member of each set that was not in it."""
+    sets, first = np.unique(label[others], return_index=True)
+    new = sets != label[i]
+    if new.any():
+        label[np.isin(label, sets[new])] = label[i]
+    return others[first[new]].tolist()
+
+
+def hamming_forest(points: DataFrame, distance: int, most: int = 20_000) -> DataFrame:
+    """As hamming_links, but of the links under each partition value only a spanning forest: the same components from fewer rows.
 
-    With ``second``, links also need the fingerprints ``fp2`` to differ in at most so many bits and the sizes ``n`` to lie within ``ratio``.
     Rows meet by partition value; the fingerprints of a value are compared in blocks, and what ties no further sets together isn't put out.
+    A value that more than ``most`` points have is cut into shards, and each shard of its points meets each shard of its probes in a
+    cell of its own, so that no task holds an unbounded group.
     """
-    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = points.sparkSession
+    tasks, scratch, search = int(spark.conf.get("spark.sql.shuffle.partitions")), Scratch(spark), Search(points, distance, 0.05)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["part", "value"], 50_000):
-            part, value, probe, fp, node = (table[c].to_numpy() for c in ("part", "value", "probe", "fp", "node"))
+        for table in _whole_groups(batches, ["part", "value", "cell"], 50_000):
+            part, value, cell, probe, fp, node = (table[c].to_numpy() for c in ("part", "value", "cell", "probe", "fp", "node"))
             fp = fp.view(np.uint64)
-            fp2, size = (table["fp2"].to_numpy().view(np.uint64), table["n"].to_numpy()) if second is not None else (None, None)
-            fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1])])
-            order = np.lexsort((probe, np.cumsum(fresh)))  # of each value first the index, then the probes
+            fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])])
+            order = np.lexsort((probe, np.cumsum(fresh)))  # of each cell first the index, then the probes
             fp, node, probe = fp[order], node[order], probe[order]
-            if second is not None:
-                fp2, size = fp2[order], size[order]
             start = np.flatnonzero(fresh)
             ends = np.append(start[1:], len(node))
             mid = start + np.add.reduceat(~probe, start)
             two = (np.minimum.reduceat(node, start) < np.maximum.reduceat(node, start)) & (start < mid) & (mid < ends)
             start, mid, ends = start[two], mid[two], ends[two]
+            pairs = (mid - start) * (ends - mid)
             up: dict[int, int] = {}
             a, b = [], []
 
-            def tie(q: np.ndarray, x: np.ndarray) -> None:
-                """Of pairs of rows, puts out those within the distance that tie two sets together."""
+            small = np.flatnonzero(pairs <= 10_000)
+            total = np.cumsum(pairs[small])
+            for at in np.split(small, np.searchsorted(total, np.arange(1_000_000, total[-1], 1_000_000))) if len(small) else ():  # cells whose pairs fit one block
+                n_index, n_probe = (mid - start)[at], (ends - mid)[at]
+                probes = np.repeat(mid[at], n_probe) + np.arange(n_probe.sum()) - np.repeat(np.cumsum(n_probe) - n_probe, n_probe)
+                reps = np.repeat(n_index, n_probe)
+                q, x = np.repeat(probes, reps), np.repeat(np.repeat(start[at], n_probe), reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
                 near = (np.bitwise_count(fp[q] ^ fp[x]) <= distance) & (node[q] != node[x])
-                if second is not None:
-                    near &= (np.bitwise_count(fp2[q] ^ fp2[x]) <= second) & (np.minimum(size[q], size[x]) >= ratio * np.maximum(size[q], size[x]))
                 for u, v in zip(node[q[near]].tolist(), node[x[near]].tolist()):
                     ru, rv = _root(up, u), _root(up, v)
                     if ru != rv:
                         up[max(ru, rv)] = min(ru, rv)
                         a.append(u)
                         b.append(v)
-
-            pairs = (mid - start) * (ends - mid)
-            done = 0
-            while done < len(pairs):  # whole values whose pairs fit one block
-                upto = max(done + 1, int(np.searchsorted(np.cumsum(pairs[done:]), 1_000_000, side="right")) + done)
-                if pairs[done] > 1_000_000:
-                    for q in range(mid[done], ends[done]):
-                        for x in range(start[done], mid[done], 1_000_000):
-                            other = np.arange(x, min(mid[done], x + 1_000_000))
-                            tie(np.full(len(other), q), other)
-                else:
-                    n_index, n_probe = (mid - start)[done:upto], (ends - mid)[done:upto]
-                    probes = np.repeat(mid[done:upto], n_probe) + np.arange(n_probe.sum()) - np.repeat(np.cumsum(n_probe) - n_probe, n_probe)
-                    reps = np.repeat(n_index, n_probe)
-                    first = np.repeat(np.repeat(start[done:upto], n_probe), reps)
-                    tie(np.repeat(probes, reps), first + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
-                done = upto
+            for lo, cut, hi in ((start[i], mid[i], ends[i]) for i in np.flatnonzero(pairs > 10_000)):
+                names, own = np.unique(node[lo:hi], return_inverse=True)
+                label, index = np.arange(len(names)), own[: cut - lo]
+                for q in range(cut, hi):
+                    near = np.flatnonzero((np.bitwise_count(fp[q] ^ fp[lo:cut]) <= distance) & (label[index] != label[own[q - lo]]))
+                    if near.size:
+                        for j in _tied(label, own[q - lo], index[near]):
+                            a.append(node[q])
+                            b.append(names[j])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
-    met = _signatures(points, distance).repartition(n, "part", "value").sortWithinPartitions("part", "value")
-    return met.mapInArrow(run, "a long, b long")
+    frequent = scratch.save(search.frequent(most), "frequent")
+    shards = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
+    met = search.signatures().join(frequent, ["part", "value"], "left").withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    cell = F.when(F.col("probe"), F.col("other") * F.col("shards") + F.col("own")).otherwise(F.col("own") * F.col("shards") + F.col("other"))
+    met = met.select("part", "value", cell.cast("long").alias("cell"), "probe", "fp", "node")
+    return met.repartition(tasks, "part", "value", "cell").sortWithinPartitions("part", "value", "cell").mapInArrow(run, "a long, b long")
 
 
 def simhash_groups(df: DataFrame, size: int = 3, distance: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -368,15 +405,14 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 5, second: int = 18, most: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 8, most: int = 4_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``k`` (the key as long), ``t`` (a hash of the text) and ``g``, its group; near duplicates share one.
 
-    Candidates are texts whose SimHashes over single words differ in at most ``distance`` bits, those over ``size``-word shingles in at most
-    ``second``, and whose numbers of distinct shingles allow the similarity; a link is a candidate whose sets of ``size``-word
+    Candidates are texts whose vocabulary SimHashes differ in at most ``distance`` bits; a link is a candidate whose sets of ``size``-word
     shingles have a Jaccard similarity of at least ``similarity``; groups are connected over links. Texts of equal words, letter case
-    aside, are one point whatever their number. Candidates first form components from a forest; a component of at most ``most`` points is solved in one
-    task, without putting out its pairs; in a larger one each pair of candidates is joined to its two shingle sets.
-    Texts without words are equal to one another. An empty table gives an empty result.
+    aside, are one point whatever their number. Candidates first form components from a forest. A component of at most ``most`` points is solved
+    in one task; a larger one is cut into shards, of which any two are solved together, so that each candidate meets in one task. Only
+    links that tie further sets together are put out. Texts without words are equal to one another. An empty table gives an empty result.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -384,63 +420,53 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for x in b.column(2).to_pylist():
-                words = words_of(x)
-                one, grams = gram_hashes(words, 1), gram_hashes(words, size)
-                same = xxhash.xxh64_intdigest(" ".join(words))
-                out.append((same, _elected(_votes(one), len(one)), _elected(_votes(grams), len(grams)), len(np.unique(grams))))
-            same, fp, fp2, n = (np.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (np.uint64, np.uint64, np.uint64, np.int32)))
-            same, fp, fp2 = (x.view(np.int64) for x in (same, fp, fp2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, (same, fp, fp2, n))], names=["k", "t", "e", "fp", "fp2", "n"])
+            words = map(words_of, b.column(2).to_pylist())
+            out = np.array([(xxhash.xxh64_intdigest(" ".join(w)), vocabulary_simhash(w)) for w in words], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["k", "t", "e", "fp"])
 
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, fp long, fp2 long, n int"), "signed")
-    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("n").alias("n")), "points")
-    forest = components(hamming_forest(points.select("fp", F.col("e").alias("node"), "fp2", "n"), distance, second, similarity))
+    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, fp long"), "signed")
+    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("fp").alias("fp")), "points")
+    forest = components(hamming_forest(points.select("fp", F.col("e").alias("node")), distance))
     release(spark)
     sized = forest.join(forest.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "fp", "fp2", "one.*", F.col("component").alias("c"), sized["n"]), "members")
+    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "fp", "one.*", F.col("component").alias("c"), sized["n"]), "members")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "fp", "fp2", "set"])
+            sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "fp", "set"])
 
     both = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t"))
-    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "y.fp2", "x.text")
-    sets = scratch.save(found.mapInArrow(shingles, "c long, n long, e long, fp long, fp2 long, set array<bigint>"), "sets")
+    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "x.text")
+    sets = scratch.save(found.mapInArrow(shingles, "c long, n long, e long, fp long, set array<bigint>"), "sets")
     release(spark)
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["c"], 2_000):
-            c, e, fp, fp2 = (table[x].to_numpy() for x in ("c", "e", "fp", "fp2"))
-            fp, fp2, held = fp.view(np.uint64), fp2.view(np.uint64), table["set"].combine_chunks()
+        for table in _whole_groups(batches, ["c", "i", "j"], 2_000):
+            c, i, j, e, fp = (table[x].to_numpy() for x in ("c", "i", "j", "e", "fp"))
+            fp, held = fp.view(np.uint64), table["set"].combine_chunks()
             flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
-            own = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
-            start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            own = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+            start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             a, b = [], []
             for lo, hi in zip(start, np.append(start[1:], len(c))):
-                tied = _Sets(hi - lo)
-                for i in range(hi - lo):
-                    rest = slice(lo + i + 1, hi)
-                    for j in np.flatnonzero((np.bitwise_count(fp[lo + i] ^ fp[rest]) <= distance) & (np.bitwise_count(fp2[lo + i] ^ fp2[rest]) <= second)) + i + 1:
-                        if e[lo + i] != e[lo + j] and tied.find(i) != tied.find(int(j)) and _alike(own[lo + i], own[lo + j], similarity):
-                            tied.join(i, int(j))
-                            a.append(e[lo + i])
-                            b.append(e[lo + j])
+                label = np.arange(hi - lo)
+                for x in range(hi - lo):
+                    for y in np.flatnonzero((np.bitwise_count(fp[lo + x] ^ fp[lo + x + 1 : hi]) <= distance) & (label[x + 1 :] != label[x])) + x + 1:
+                        if label[x] != label[y] and e[lo + x] != e[lo + y] and _alike(own[lo + x], own[lo + y], similarity):
+                            label[label == label[y]] = label[x]
+                            a.append(e[lo + x])
+                            b.append(e[lo + y])
             yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = sets.where(F.col("n") <= most).repartition(parts, "c").sortWithinPartitions("c").mapInArrow(solve, "a long, b long")
-    if not members.where(F.col("n") > most).isEmpty():
-        pairs = hamming_links(members.where(F.col("n") > most).select("fp", F.col("e").alias("node")), distance)
-        one, two = (sets.where(F.col("n") > most).select(F.col("e").alias(x), F.col("set").alias(f"set_{x}"), F.col("fp2").alias(f"fp2_{x}")) for x in "ab")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        alike = (F.bit_count(F.col("fp2_a").bitwiseXOR(F.col("fp2_b"))) <= second) & (shared >= F.lit(similarity) * (F.size("set_a") + F.size("set_b") - shared))
-        links = links.unionByName(pairs.join(one, "a").join(two, "b").where(alike).select("a", "b"))
-    groups = components(links)
+    shards = F.ceil(F.col("n") / most)
+    shard = F.pmod(F.xxhash64("e"), shards)
+    cells = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("other"))
+    cells = cells.select("c", F.least(shard, "other").alias("i"), F.greatest(shard, "other").alias("j"), "e", "fp", "set")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = components(cells.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(solve, "a long, b long"))
     return signed.join(groups, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("component", "e").alias("g"))
 
 

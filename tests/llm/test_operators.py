@@ -91,8 +91,24 @@ def test_hamming_links_lose_none(spark, distance):
     near = np.bitwise_count(fps[:, None] ^ fps[None]) <= distance
     want = {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
     assert {tuple(sorted((r.a, r.b))) for r in simhash.hamming_links(points, distance).collect()} == want
-    forest = [(r.a, r.b) for r in simhash.hamming_forest(points, distance).collect()]
-    assert grouped(range(len(fps)), forest) == grouped(range(len(fps)), want)
+    for most in (20_000, 1):  # whole values, and values cut into shards
+        forest = [(r.a, r.b) for r in simhash.hamming_forest(points, distance, most).collect()]
+        assert grouped(range(len(fps)), forest) == grouped(range(len(fps)), want)
+
+
+def test_forest_of_a_dense_value(spark):
+    """Thousands of pairs under one value: two balls far apart stay two sets, whole or in shards."""
+    ball = np.array([0] + [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i in range(64) for j in range(i)], np.uint64)
+    fps = np.unique(np.concatenate([ball, ~ball]))
+    points = spark.createDataFrame([(int(v), i) for i, v in enumerate(fps.view(np.int64))], "fp long, node long")
+    for most in (20_000, 300):
+        sets = grouped(range(len(fps)), [(r.a, r.b) for r in simhash.hamming_forest(points, 4, most).collect()])
+        assert len(set(sets.values())) == 2
+
+
+def test_partitions_follow_the_corpus():
+    assert [simhash.partitions_for(n, 2, 1.0) for n in (3, 40_000, 10**9)] == [3, 3, 2]
+    assert simhash.partitions_for(40_000, 8, 0.05) >= simhash.partitions_for(10**8, 8, 0.05) >= 2
 
 
 def test_near_duplicates(spark):
@@ -109,7 +125,7 @@ def test_near_duplicates(spark):
     kept = simhash.drop_near_duplicates(frame(spark, rows))
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 0, 1, 2, 3, 4, 5, 50, 60]
     assert kept.columns == ["doc_id", "text", "size", "source", "copies"]
-    pairs = simhash.near_duplicate_groups(frame(spark, rows), most=1)  # the way for large components
+    pairs = simhash.near_duplicate_groups(frame(spark, rows), most=2)  # components cut into shards
     whole = simhash.near_duplicate_groups(frame(spark, rows))
     split = lambda df: sorted(sorted(str(r.k) for r in rs) for rs in _by(df.collect()).values())
     assert split(pairs) == split(whole)

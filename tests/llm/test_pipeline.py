@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tessera.llm.simhash import _alike, _shingle_set, simhash, words_of
+from tessera.llm.simhash import _alike, _shingle_set, vocabulary_simhash, words_of
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,10 +30,10 @@ def test_stages(spark, stages):
     kept = {r.doc_id for r in rows["quality"]}
     assert all((k in kept) == (q == 1) for k, q in labels.items())
     assert {r.doc_id for r in rows["line_dedup"]} == kept and all(r.n_chars == len(r.text) for r in rows["line_dedup"])
-    sets = {r.doc_id: (simhash(r.text, 1), _shingle_set(words_of(r.text), 5)) for r in rows["line_dedup"]}
+    sets = {r.doc_id: (vocabulary_simhash(words_of(r.text)), _shingle_set(words_of(r.text), 5)) for r in rows["line_dedup"]}
     near = sorted(r.doc_id for r in rows["near_duplicates"])
     assert set(near) <= kept and len(near) == len(set(near))
-    assert not any(_alike(sets[a][1], sets[b][1], 0.8) for i, a in enumerate(near) for b in near[i + 1 :] if (sets[a][0] ^ sets[b][0]).bit_count() <= 5)
+    assert not any(_alike(sets[a][1], sets[b][1], 0.8) for i, a in enumerate(near) for b in near[i + 1 :] if (sets[a][0] ^ sets[b][0]).bit_count() <= 8)
     for gone in kept - set(near):
         assert any(_alike(sets[gone][1], sets[b][1], 0.8) for b in sets if b != gone)
     assert max(Counter(r.doc_id for r in rows["mix"]).values()) <= 3
