@@ -26,7 +26,7 @@ from .graph import components
 
 _words = re.compile(WORD).findall
 _LOWER = {u: u + 32 for u in range(ord("A"), ord("Z") + 1)}
-_MOST = (1 << 63) - 1
+_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 _BLOCK = 1 << 15  # shingles hashed at once
 _MOST_PROBES = 1 << 17  # no fingerprint probes one partition with more; thresholds spread evenly stay far below
 
@@ -440,8 +440,7 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
 
     both = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t"))
     found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "x.text")
-    sets = scratch.save(found.mapInArrow(shingles, "c long, n long, e long, fp long, set array<bigint>"), "sets")
-    release(spark)
+    sets = found.mapInArrow(shingles, "c long, n long, e long, fp long, set array<bigint>")
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["c", "i", "j"], 2_000):
@@ -472,7 +471,12 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` that stay: of each group of near duplicates one with the smallest key (null first), of equal rows one."""
-    kept = near_duplicate_groups(df, text=text, key=key, **options).groupBy("g").agg(F.min(F.struct("k", "t")).alias("one")).select(F.col("one.k").alias("_nd_k"), F.col("one.t").alias("_nd_t"))
-    same = F.col(key).cast("long").eqNullSafe(F.col("_nd_k")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_nd_t"))
-    rows = df.join(kept, same).dropDuplicates(["_nd_k", "_nd_t"])
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns])
+    scratch, spark = Scratch(df.sparkSession), df.sparkSession
+    groups = near_duplicate_groups(df, text=text, key=key, **options)
+    first = groups.groupBy("g").agg(F.min(F.struct("k", "t")).alias("one")).select(F.coalesce("one.k", F.lit(_LEAST)).alias("_nd_k"), F.col("one.t").alias("_nd_t"), F.col("one.k").isNull().alias("_nd_null"))
+    kept = scratch.save(first, "kept")
+    release(spark)
+    own = F.col(key).cast("long")
+    rows = df.withColumns({"_nd_k": F.coalesce(own, F.lit(_LEAST)), "_nd_t": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_nd_null": own.isNull()})
+    on = ["_nd_k", "_nd_t", "_nd_null"]  # plain columns, so that one shuffle of the texts serves the join and the copies' removal
+    return rows.join(kept, on, "left_semi").dropDuplicates(on).select(*[F.col(f"`{c}`") for c in df.columns])
