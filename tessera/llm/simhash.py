@@ -405,55 +405,99 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 8, most: int = 4_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+_ROWS, _MISSED = 5, 1e-5  # smallest hashes a band joins; the chance that a pair of exactly the wanted similarity shares no band
+
+
+def bands_for(similarity: float) -> int:
+    """The number of bands at which a pair of this Jaccard similarity shares none with a chance of at most ``_MISSED``."""
+    one = similarity**_ROWS
+    return 1 if one >= 1 else math.ceil(math.log(_MISSED) / math.log1p(-one))
+
+
+def band_keys(grams: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key for each band: its number and the smallest of a set's hashes under each of ``_ROWS`` orders; an empty set: none.
+
+    Two sets agree in an order with the chance of their Jaccard similarity, and so in a band with its ``_ROWS``-th power.
+    """
+    if not len(grams):
+        return np.empty(0, np.uint64)
+    draw = np.random.default_rng(5)
+    by, plus = draw.integers(0, 1 << 32, (2, bands * _ROWS), np.uint32)
+    by |= np.uint32(1)
+    h, least = (grams >> np.uint64(32)).astype(np.uint32), np.full(bands * _ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(h), 256):
+        np.minimum(least, (h[at : at + 256, None] * by + plus).min(axis=0), out=least)
+    key = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(bands, _ROWS).T.astype(np.uint64):
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 4_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``k`` (the key as long), ``t`` (a hash of the text) and ``g``, its group; near duplicates share one.
 
-    Candidates are texts whose vocabulary SimHashes differ in at most ``distance`` bits; a link is a candidate whose sets of ``size``-word
-    shingles have a Jaccard similarity of at least ``similarity``; groups are connected over links. Texts of equal words, letter case
-    aside, are one point whatever their number. Candidates first form components from a forest. A component of at most ``most`` points is solved
-    in one task; a larger one is cut into shards, of which any two are solved together, so that each candidate meets in one task. Only
-    links that tie further sets together are put out. Texts without words are equal to one another. An empty table gives an empty result.
+    Candidates are texts whose sets of ``size``-word shingles share a band of smallest hashes; there are so many bands that a pair of the
+    wanted similarity shares none with a chance of at most 1e-5, of a higher one less, whatever the edit and the text's length. A link is a
+    candidate whose sets have a Jaccard similarity of at least ``similarity``; groups are connected over links. Texts of equal words, letter case
+    aside, are one point whatever their number. Candidates first form components, in which each point is tied to the smallest with its
+    band. A component of at most ``most`` points is solved in one task; a larger one is cut into shards, of which any two are solved
+    together, so that each candidate meets in one task. Only links that tie further sets together are put out. Texts without words are equal to
+    one another. An empty table gives an empty result.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    scratch = Scratch(spark)
+    scratch, bands = Scratch(spark), bands_for(similarity)
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = map(words_of, b.column(2).to_pylist())
-            out = np.array([(xxhash.xxh64_intdigest(" ".join(w)), vocabulary_simhash(w)) for w in words], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], names=["k", "t", "e", "fp"])
+            e, keys = [], []
+            for w in map(words_of, b.column(2).to_pylist()):
+                e.append(xxhash.xxh64_intdigest(" ".join(w)))
+                keys.append(band_keys(_shingle_set(w, size), bands).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(e, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["k", "t", "e", "bands"])
+
+    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(1).to_pylist()
+            n = np.array([len(x) // 8 for x in held], np.int64)
+            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), pa.array(node)], names=["band", "node"])
 
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, fp long"), "signed")
-    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("fp").alias("fp")), "points")
-    forest = components(hamming_forest(points.select("fp", F.col("e").alias("node")), distance))
+    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, bands binary"), "signed")
+    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("bands").alias("bands")), "points")
+    met = points.select("e", "bands").mapInArrow(spread, "band long, node long")
+    first = met.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("band", "b")
+    forest = components(met.join(first, "band").select(F.col("node").alias("a"), "b"))
     release(spark)
     sized = forest.join(forest.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "fp", "one.*", F.col("component").alias("c"), sized["n"]), "members")
+    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "bands", "one.*", F.col("component").alias("c"), sized["n"]), "members")
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "fp", "set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "bands", "set"])
 
     both = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t"))
-    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.fp", "x.text")
-    sets = found.mapInArrow(shingles, "c long, n long, e long, fp long, set array<bigint>")
+    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.bands", "x.text")
+    sets = found.mapInArrow(shingles, "c long, n long, e long, bands binary, set array<bigint>")
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, ["c", "i", "j"], 2_000):
-            c, i, j, e, fp = (table[x].to_numpy() for x in ("c", "i", "j", "e", "fp"))
-            fp, held = fp.view(np.uint64), table["set"].combine_chunks()
+            c, i, j, e = (table[x].to_numpy() for x in ("c", "i", "j", "e"))
+            keys = np.frombuffer(b"".join(table["bands"].to_pylist()), np.uint64).reshape(len(c), bands)
+            held = table["set"].combine_chunks()
             flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
-            own = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+            own, n = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])], np.diff(ends)
             start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             a, b = [], []
             for lo, hi in zip(start, np.append(start[1:], len(c))):
                 label = np.arange(hi - lo)
                 for x in range(hi - lo):
-                    for y in np.flatnonzero((np.bitwise_count(fp[lo + x] ^ fp[lo + x + 1 : hi]) <= distance) & (label[x + 1 :] != label[x])) + x + 1:
+                    rest = np.flatnonzero((label[x + 1 :] != label[x]) & (np.minimum(n[lo + x + 1 : hi], n[lo + x]) >= similarity * np.maximum(n[lo + x + 1 : hi], n[lo + x]))) + x + 1
+                    for y in rest[(keys[lo + rest] == keys[lo + x]).any(axis=1)]:
                         if label[x] != label[y] and e[lo + x] != e[lo + y] and _alike(own[lo + x], own[lo + y], similarity):
                             label[label == label[y]] = label[x]
                             a.append(e[lo + x])
@@ -463,7 +507,7 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
     shards = F.ceil(F.col("n") / most)
     shard = F.pmod(F.xxhash64("e"), shards)
     cells = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("other"))
-    cells = cells.select("c", F.least(shard, "other").alias("i"), F.greatest(shard, "other").alias("j"), "e", "fp", "set")
+    cells = cells.select("c", F.least(shard, "other").alias("i"), F.greatest(shard, "other").alias("j"), "e", "bands", "set")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = components(cells.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(solve, "a long, b long"))
     return signed.join(groups, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("component", "e").alias("g"))

@@ -132,6 +132,33 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_contiguous_edits(spark):
+    """All pairs of similarity 0.8 by brute force: appended and inserted passages, and short texts with a changed end."""
+    draw = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = []
+    for n in [13, 20, 30, 50, 80, 150, 300, 600] * 12:
+        w, other = draw.choices(vocabulary, k=n), [f"x{draw.randrange(5000)}" for _ in range(n)]
+        at, changed = draw.randrange(n), draw.randint(1, 4)
+        texts += [w, w + other[: int(0.23 * n)], w[:at] + other[: int(0.15 * n)] + w[at:], w[:-changed] + other[:changed]]
+    sets = [simhash._shingle_set(w, 5) for w in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if simhash._alike(sets[i], sets[j], 0.8)]
+    rows = simhash.near_duplicate_groups(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)])).collect()
+    got = {r.k: r.g for r in rows}
+    want = grouped(range(len(texts)), links)
+    assert len(links) > 200 and all(got[i] == got[j] for i, j in links)
+    assert len(set(got.values())) == len(set(want.values()))
+
+
+def test_bands_meet_at_the_similarity_they_are_for():
+    draw = np.random.default_rng(4)
+    one = 0
+    for _ in range(400):
+        h = draw.integers(0, 1 << 64, 100, np.uint64)
+        one += (simhash.band_keys(h[:90], 29) == simhash.band_keys(h[10:], 29)).sum()  # Jaccard 0.8
+    assert simhash.bands_for(0.8) == 29 and abs(one / (400 * 29) - 0.8**5) < 0.03 and simhash.bands_for(1.0) == 1
+
+
 def _by(rows):
     out = defaultdict(list)
     for r in rows:
