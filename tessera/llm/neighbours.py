@@ -2,8 +2,8 @@
 
 Points first meet others in the leaves of a few random-projection trees. Then, round by round, each point's neighbours and the
 points that have it as a neighbour are brought together by Spark joins and compared with each other, pairs of which one is new;
-what comes nearer than a point's worst neighbour takes its place. A query starts at the nearest of some entry points and expands the best points it
-knows, several a round, until none of its best is unexpanded. Half-precision vectors guide all this; results are measured on the
+what comes nearer than a point's worst neighbour takes its place. A query starts at its own node and the nearest of some entry points and expands the best
+points it knows, several a round, until none of its best is unexpanded. Half-precision vectors guide all this; results are measured on the
 original vectors in double precision.
 """
 
@@ -189,8 +189,9 @@ def nn_descent(points: DataFrame, k: int = 32, trees: int = 8, leaf: int = 250,
 
 
 def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: int, beam: int = 384, step: int = 32, entries: int = 1024, rounds: int = 40) -> DataFrame:
-    """``queries`` (q: distinct long, v) -> q, node, d: the k nearest points found, d in double precision on the original vectors.
+    """``queries`` (q: distinct long, a node of the graph; v) -> q, node, d: the k nearest points found, d in double precision on the original vectors.
 
+    A query starts at its own node, so that it reaches its own group however many groups there are, and at the nearest of a sample of entry points.
     The search graph has the edges of ``graph`` both ways, those back up to a bound. Each round a query expands the ``step`` nearest of its ``beam``
     nearest points that it hasn't expanded yet; queries with none left are done.
     """
@@ -219,8 +220,11 @@ def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: in
         for b in batches:
             m, h = _half(b.column(1))
             d = _distances(m.astype(np.float16).astype(np.float32), gate_m)
-            near = np.argsort(d, axis=1)[:, :beam]
-            yield states(b.column(0).to_pylist(), h.to_pylist(), list(gate[near]), list(np.take_along_axis(d, near, 1)), list(np.zeros(near.shape, bool)))
+            d[b.column(0).to_numpy()[:, None] == gate] = np.inf  # the query's own node comes first
+            near = np.argsort(d, axis=1)[:, : beam - 1]
+            near = [x[np.isfinite(own[x])] for x, own in zip(near, d)]
+            q = b.column(0).to_pylist()
+            yield states(q, h.to_pylist(), [np.append(i, gate[x]) for i, x in zip(q, near)], [np.append(0, own[x]) for own, x in zip(d, near)], [np.zeros(len(x) + 1, bool) for x in near])
 
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -323,6 +323,20 @@ def test_nearest(spark):
     assert neighbours.nearest_vectors(df.limit(0), lambda i: i == 0).count() == 0
 
 
+def test_search_reaches_groups_without_an_entry(spark):
+    """100 tight groups of 40 with an exact graph of 32 neighbours, whose edges never leave a group, and few entry points."""
+    draw = np.random.default_rng(2)
+    v = np.repeat(draw.standard_normal((100, 16)) * 10, 40, axis=0) + draw.standard_normal((4000, 16)) * 0.01
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    near = np.argsort(d, axis=1)
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "node long, v array<double>")
+    graph = spark.createDataFrame([(i, near[i, 1:33].tolist(), d[i, near[i, 1:33]].tolist(), [False] * 32) for i in range(4000)], neighbours._LIST)
+    queries = points.where("node % 41 = 0").select(F.col("node").alias("q"), "v")
+    got = neighbours.greedy_search(points, graph, queries, 11, beam=64, entries=16).collect()
+    hits = sum(r.node in near[r.q, :11] for r in got)
+    assert hits >= 0.95 * 11 * queries.count()
+
+
 @pytest.mark.parametrize("window, most", [(7, 20000), (7, 3), (13, 5)])
 def test_substrings(spark, window, most):
     draw = random.Random(5)
