@@ -204,6 +204,17 @@ def test_winnowing(spark, texts):
     assert fingerprints.fingerprints(frame(spark, texts)).count() == len(texts)
 
 
+def test_short_texts_and_stretches_keep_a_likeness():
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    for n in range(40, 88):
+        t = word(n)
+        assert fingerprints.likeness(fingerprints.winnow(t)[0], fingerprints.winnow(t[: n - n // 4] + word(n // 4))[0]) > 0
+    for _ in range(50):
+        shared = word(34)
+        assert fingerprints.likeness(fingerprints.winnow(word(500) + shared + word(300))[0], fingerprints.winnow(word(200) + shared + word(400))[0]) > 0
+
+
 def test_mixing(spark, texts):
     rows = mixing.mix_sources(frame(spark, texts)).collect()
     again = mixing.mix_sources(frame(spark, list(reversed(texts)))).collect()
