@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES where they are higher."""
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES where they are higher.
+
+    Results are lazy, so the limits stay lowered for the session: they must hold when a result is run, long after its operator returned.
+    """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
         held = spark.conf.get(name).rstrip("bB")
@@ -32,21 +37,30 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own where that is unset (local runs and tests)."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one stands in on a local master; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early."""
+    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early.
+
+    What a lazy result still reads can't be dropped with the operator's return; it goes when the application ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         self.n = 0
 
+    def _path(self, path: str) -> tuple[Any, Any]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def path(self, name: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
@@ -55,18 +69,24 @@ class Scratch:
         path = self.path(name)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        if self.n == 1:
+            folder, at = self._path(self.root)
+            folder.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            folder, at = self._path(df.scratch_path)
+            folder.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs, which weigh more than what they led to."""
+    """Lets Spark's cleaner find the shuffle files of finished jobs now instead of at its next periodic turn.
+
+    Only disk is saved by it: no result depends on it, and a collector that doesn't heed it leaves the files to the periodic turn.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -87,3 +107,23 @@ def column_batches(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[l
     for b in batches:
         if b.num_rows:
             yield [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches that come sorted by ``keys``; a table has about ``rows`` rows or one group."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            last = np.ones(table.num_rows, bool)
+            for k in keys:
+                col = table[k].to_numpy()
+                last &= col == col[-1]
+            cut = int(np.argmax(last))
+            if cut:
+                yield table.slice(0, cut)
+            held, n = table.slice(cut).to_batches(), table.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, release
+from .common import Scratch, bounded_batches, release, whole_groups
 
 _LIST = "node long, ids array<bigint>, ds array<double>, fresh array<boolean>"
 
@@ -84,23 +84,6 @@ def _lists(node: list, ids: list, ds: list, fresh: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((node, ids, ds, fresh), kinds)], names=["node", "ids", "ds", "fresh"])
 
 
-def _groups(batches: Iterable[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by ``key``."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            table = pa.Table.from_batches(held)
-            col = table[key].to_numpy()
-            cut = int(np.searchsorted(col, col[-1]))
-            if cut:
-                yield table.slice(0, cut)
-            held, n = table.slice(cut).to_batches(), len(col) - cut
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def _leaves(points: DataFrame, n: int, k: int, trees: int, leaf: int, parts: int) -> DataFrame:
     """Lists of each point's nearest within its leaf of each tree; leaves of over twice ``leaf`` points are halved further, each tree's its own way."""
     kind, planes = _kind(points), max(0, math.ceil(math.log2(max(n / leaf, 1))))
@@ -116,7 +99,7 @@ def _leaves(points: DataFrame, n: int, k: int, trees: int, leaf: int, parts: int
                 yield pa.RecordBatch.from_arrays([pa.array(code + (t << 40)), b.column(0), h], names=["leaf", "node", "h"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "leaf", 2000):
+        for table in whole_groups(batches, ["leaf"], 2000):
             code, node, m = table["leaf"].to_numpy(), table["node"].to_numpy(), _matrix(table["h"], kind)
             start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
             for lo, hi in zip(start, np.append(start[1:], len(code))):
@@ -164,7 +147,7 @@ def _round(graph: DataFrame, packed: DataFrame, kind: type, k: int, parts: int)
     told = both.join(packed, F.col("member") == F.col("node")).drop("node").join(worst, F.col("member") == F.col("node")).drop("node")
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "center", 4000):
+        for table in whole_groups(batches, ["center"], 4000):
             center, member, fresh, worst = (table[c].to_numpy() for c in ("center", "member", "fresh", "worst"))
             m = _matrix(table["h"], kind)
             start = np.flatnonzero(np.concatenate([[True], center[1:] != center[:-1]]))

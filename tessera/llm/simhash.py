@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -21,12 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, bounded_batches, release
+from .common import WORD, Scratch, bounded_batches, whole_groups
 from .graph import components
 
 _words = re.compile(WORD).findall
 _LOWER = {u: u + 32 for u in range(ord("A"), ord("Z") + 1)}
-_MOST, _LEAST = (1 << 63) - 1, -(1 << 63)
 _BLOCK = 1 << 15  # shingles hashed at once
 _MOST_PROBES = 1 << 17  # no fingerprint probes one partition with more; thresholds spread evenly stay far below
 
@@ -59,18 +57,6 @@ def simhash(text: str | None, size: int) -> int:
     return _elected(sum((_votes(gram_hashes(words, size, at, at + _BLOCK)) for at in range(0, n, _BLOCK)), np.zeros(64, np.int64)), n)
 
 
-def vocabulary_simhash(words: list[str]) -> int:
-    """As simhash over single words, but each distinct word votes once, with a weight that grows with the logarithm of its count; no words: 0.
-
-    Common words would settle most bits by their mere number and bring texts of one language together.
-    """
-    counts = Counter(words)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in counts), np.uint64, len(counts))
-    weight = np.rint(16 * (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))))).astype(np.int64)
-    votes = sum((weight[at : at + _BLOCK] @ np.unpackbits(h[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1) for at in range(0, len(h), _BLOCK)), np.zeros(64, np.int64))
-    return _elected(votes, int(weight.sum()))
-
-
 def simhashes(df: DataFrame, size: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The key (as it is) and ``fp``, the fingerprint as a signed long; one row per input row. Null texts have no words."""
     bounded_batches(df.sparkSession)
@@ -283,26 +269,6 @@ def _root(up: dict[int, int], k: int) -> int:
     return k
 
 
-def _whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches that come sorted by ``keys``; a table has about ``rows`` rows or one group."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            table = pa.Table.from_batches(held)
-            last = np.ones(table.num_rows, bool)
-            for k in keys:
-                col = table[k].to_numpy()
-                last &= col == col[-1]
-            cut = int(np.argmax(last))
-            if cut:
-                yield table.slice(0, cut)
-            held, n = table.slice(cut).to_batches(), table.num_rows - cut
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def _tied(label: np.ndarray, i: int, others: np.ndarray) -> list[int]:
     """Puts the sets of ``others`` into that of ``i``; returns one member of each set that was not in it."""
     sets, first = np.unique(label[others], return_index=True)
@@ -323,7 +289,7 @@ def hamming_forest(points: DataFrame, distance: int, most: int = 20_000) -> Data
     tasks, scratch, search = int(spark.conf.get("spark.sql.shuffle.partitions")), Scratch(spark), Search(points, distance, 0.05)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["part", "value", "cell"], 50_000):
+        for table in whole_groups(batches, ["part", "value", "cell"], 50_000):
             part, value, cell, probe, fp, node = (table[c].to_numpy() for c in ("part", "value", "cell", "probe", "fp", "node"))
             fp = fp.view(np.uint64)
             fresh = np.concatenate([[True], (value[1:] != value[:-1]) | (part[1:] != part[:-1]) | (cell[1:] != cell[:-1])])
@@ -377,150 +343,19 @@ def simhash_groups(df: DataFrame, size: int = 3, distance: int = 2, text: str =
     """One row per input row: the key (long), ``fingerprint`` (16 hex digits) and ``component_id``, the smallest key reachable over links.
 
     Texts without words, null ones included, have fingerprint zero and are linked like any other. Equal fingerprints are one
-    point of the search, whatever their number. Rows that repeat a key with other texts are the same document, which ties their fingerprints.
-    Null keys are kept; their component is that of their fingerprint, null if it holds no other key. An empty table gives an empty result.
+    point of the search, whatever their number; the links of each partition value come as a spanning forest, so that a dense
+    ball of fingerprints isn't written out pair by pair. Rows that repeat a key with other texts are the same document, which
+    ties their fingerprints. Rows with a null key are kept, each by its own fingerprint; their component is null if it holds
+    no key at all. An empty table gives an empty result.
     """
     scratch = Scratch(df.sparkSession)
     docs = scratch.save(simhashes(df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")), size, "text", "k"), "fingerprints")
-    points = scratch.save(docs.groupBy("fp").agg(F.min(F.coalesce("k", F.lit(_MOST))).alias("node")), "points")
-    links = hamming_links(points, distance)
-    again = docs.where("k is not null").select("k", "fp").distinct().join(points, "fp").where("k <> node").select(F.col("k").alias("a"), F.col("node").alias("b"))
-    tied = again.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("n")).where("n > 1")  # keys found under several fingerprints
-    both = again.join(tied.select("a"), "a", "left_semi").unionByName(links)
-    found = components(both)
-    label = points.join(found, points["node"] == found["node"], "left").select("fp", F.coalesce("component", points["node"]).alias("c"))
-    out = docs.join(label, "fp")
-    return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < _MOST, F.col("c")).alias("component_id"))
-
-
-def _shingle_set(words: list[str], size: int) -> np.ndarray:
-    """The distinct hashes of the shingles, ascending."""
-    return np.unique(gram_hashes(words, size))
-
-
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
-_ROWS, _MISSED = 5, 1e-5  # smallest hashes a band joins; the chance that a pair of exactly the wanted similarity shares no band
-
-
-def bands_for(similarity: float) -> int:
-    """The number of bands at which a pair of this Jaccard similarity shares none with a chance of at most ``_MISSED``."""
-    one = similarity**_ROWS
-    return 1 if one >= 1 else math.ceil(math.log(_MISSED) / math.log1p(-one))
-
-
-def band_keys(grams: np.ndarray, bands: int) -> np.ndarray:
-    """One 64-bit key for each band: its number and the smallest of a set's hashes under each of ``_ROWS`` orders; an empty set: none.
-
-    Two sets agree in an order with the chance of their Jaccard similarity, and so in a band with its ``_ROWS``-th power.
-    """
-    if not len(grams):
-        return np.empty(0, np.uint64)
-    draw = np.random.default_rng(5)
-    by, plus = draw.integers(0, 1 << 32, (2, bands * _ROWS), np.uint32)
-    by |= np.uint32(1)
-    h, least = (grams >> np.uint64(32)).astype(np.uint32), np.full(bands * _ROWS, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(h), 256):
-        np.minimum(least, (h[at : at + 256, None] * by + plus).min(axis=0), out=least)
-    key = np.arange(bands, dtype=np.uint64)
-    for row in least.reshape(bands, _ROWS).T.astype(np.uint64):
-        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
-
-
-def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, most: int = 4_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: ``k`` (the key as long), ``t`` (a hash of the text) and ``g``, its group; near duplicates share one.
-
-    Candidates are texts whose sets of ``size``-word shingles share a band of smallest hashes; there are so many bands that a pair of the
-    wanted similarity shares none with a chance of at most 1e-5, of a higher one less, whatever the edit and the text's length. A link is a
-    candidate whose sets have a Jaccard similarity of at least ``similarity``; groups are connected over links. Texts of equal words, letter case
-    aside, are one point whatever their number. Candidates first form components, in which each point is tied to the smallest with its
-    band. A component of at most ``most`` points is solved in one task; a larger one is cut into shards, of which any two are solved
-    together, so that each candidate meets in one task. Only links that tie further sets together are put out. Texts without words are equal to
-    one another. An empty table gives an empty result.
-    """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    scratch, bands = Scratch(spark), bands_for(similarity)
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            e, keys = [], []
-            for w in map(words_of, b.column(2).to_pylist()):
-                e.append(xxhash.xxh64_intdigest(" ".join(w)))
-                keys.append(band_keys(_shingle_set(w, size), bands).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(e, np.uint64).view(np.int64)), pa.array(keys, pa.binary())], names=["k", "t", "e", "bands"])
-
-    def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = b.column(1).to_pylist()
-            n = np.array([len(x) // 8 for x in held], np.int64)
-            node = np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(held), np.int64)), pa.array(node)], names=["band", "node"])
-
-    whole = F.coalesce(F.col(text), F.lit(""))
-    texts = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(whole).alias("t"), whole.alias("text"))
-    signed = scratch.save(texts.mapInArrow(sign, "k long, t long, e long, bands binary"), "signed")
-    points = scratch.save(signed.groupBy("e").agg(F.min(F.struct("k", "t")).alias("one"), F.min("bands").alias("bands")), "points")
-    met = points.select("e", "bands").mapInArrow(spread, "band long, node long")
-    first = met.groupBy("band").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("band", "b")
-    forest = components(met.join(first, "band").select(F.col("node").alias("a"), "b"))
-    release(spark)
-    sized = forest.join(forest.groupBy("component").agg(F.count("*").alias("n")), "component")
-    members = scratch.save(points.join(sized, F.col("e") == F.col("node")).select("e", "bands", "one.*", F.col("component").alias("c"), sized["n"]), "members")
-
-    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_shingle_set(words_of(x), size).view(np.int64) for x in b.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.list_(pa.int64()))], names=["c", "n", "e", "bands", "set"])
-
-    both = F.col("x.k").eqNullSafe(F.col("y.k")) & (F.col("x.t") == F.col("y.t"))
-    found = texts.alias("x").join(members.alias("y"), both).select("y.c", "y.n", "y.e", "y.bands", "x.text")
-    sets = found.mapInArrow(shingles, "c long, n long, e long, bands binary, set array<bigint>")
-
-    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["c", "i", "j"], 2_000):
-            c, i, j, e = (table[x].to_numpy() for x in ("c", "i", "j", "e"))
-            keys = np.frombuffer(b"".join(table["bands"].to_pylist()), np.uint64).reshape(len(c), bands)
-            held = table["set"].combine_chunks()
-            flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
-            own, n = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])], np.diff(ends)
-            start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            a, b = [], []
-            for lo, hi in zip(start, np.append(start[1:], len(c))):
-                label = np.arange(hi - lo)
-                for x in range(hi - lo):
-                    rest = np.flatnonzero((label[x + 1 :] != label[x]) & (np.minimum(n[lo + x + 1 : hi], n[lo + x]) >= similarity * np.maximum(n[lo + x + 1 : hi], n[lo + x]))) + x + 1
-                    for y in rest[(keys[lo + rest] == keys[lo + x]).any(axis=1)]:
-                        if label[x] != label[y] and e[lo + x] != e[lo + y] and _alike(own[lo + x], own[lo + y], similarity):
-                            label[label == label[y]] = label[x]
-                            a.append(e[lo + x])
-                            b.append(e[lo + y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
-
-    shards = F.ceil(F.col("n") / most)
-    shard = F.pmod(F.xxhash64("e"), shards)
-    cells = sets.select("*", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)).alias("other"))
-    cells = cells.select("c", F.least(shard, "other").alias("i"), F.greatest(shard, "other").alias("j"), "e", "bands", "set")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = components(cells.repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(solve, "a long, b long"))
-    return signed.join(groups, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("component", "e").alias("g"))
-
-
-def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` that stay: of each group of near duplicates one with the smallest key (null first), of equal rows one."""
-    scratch, spark = Scratch(df.sparkSession), df.sparkSession
-    groups = near_duplicate_groups(df, text=text, key=key, **options)
-    first = groups.groupBy("g").agg(F.min(F.struct("k", "t")).alias("one")).select(F.coalesce("one.k", F.lit(_LEAST)).alias("_nd_k"), F.col("one.t").alias("_nd_t"), F.col("one.k").isNull().alias("_nd_null"))
-    kept = scratch.save(first, "kept")
-    release(spark)
-    own = F.col(key).cast("long")
-    rows = df.withColumns({"_nd_k": F.coalesce(own, F.lit(_LEAST)), "_nd_t": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_nd_null": own.isNull()})
-    on = ["_nd_k", "_nd_t", "_nd_null"]  # plain columns, so that one shuffle of the texts serves the join and the copies' removal
-    return rows.join(kept, on, "left_semi").dropDuplicates(on).select(*[F.col(f"`{c}`") for c in df.columns])
+    points = scratch.save(docs.groupBy("fp").agg(F.min("k").alias("k")), "points")
+    links = hamming_forest(points.select("fp", F.col("fp").alias("node")), distance)
+    several = docs.where("k is not null").groupBy("k").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top")
+    again = docs.join(several, "k").select(F.col("fp").alias("a"), "b").distinct()
+    found = components(links.unionByName(again))
+    sets = scratch.save(points.join(found, points["fp"] == found["node"], "left").select("fp", "k", F.coalesce("component", "fp").alias("c")), "sets")
+    smallest = sets.groupBy("c").agg(F.min("k").alias("component_id"))
+    out = docs.join(sets.select("fp", "c").join(smallest, "c"), "fp")
+    return out.select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
