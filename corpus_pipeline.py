@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, documents
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed_rows
+from tessera.llm.near_duplicates import drop_near_duplicates
 from tessera.llm.pieces import encode_rows
 from tessera.llm.quality import fit, quality_scores
-from tessera.llm.simhash import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
