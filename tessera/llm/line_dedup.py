@@ -1,10 +1,9 @@
 """Line dedup over levelled sorted runs.
 
-A run is a sorted table of (line hash, document) rows, at most ``min_docs`` documents for each hash, the
-largest. Documents come in batches. A batch's rows are anti-joined with all runs, so that rows which
-are recorded already add nothing, and what is new becomes a run on level 0. When a level has ``fanout`` runs,
-they are merged into one run of the next level. A hash that ends up with ``min_docs`` documents is one that
-so many hold, and the first of its documents is the largest that holds it.
+A run is a table of (line hash, number of documents that hold it, the largest of them), sorted by hash. Documents come in batches of
+descending keys. A batch's hashes are merge-anti-joined with the runs: those that enough larger documents are known to hold are
+settled, and leave. The rest becomes a run on level 0. When a level has ``fanout`` runs, they are merged into one run of the next
+level. A hash that ends up with ``min_docs`` documents is one that so many hold; the largest was in the first batch that had it.
 """
 
 from __future__ import annotations
@@ -28,61 +27,69 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. ``add`` takes a batch of (h1, h2, doc) rows in any number of repeats."""
+    """The levelled runs. ``add`` takes a batch of (h1, h2, doc) rows, with repeats; each batch's documents are smaller than those before."""
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
         self.min_docs, self.fanout, self.scratch = min_docs, fanout, Scratch(spark)
         self.levels: list[list[DataFrame]] = []
 
-    def _largest(self, rows: DataFrame) -> DataFrame:
-        """The largest documents of each hash; Spark cuts each task's rows to as many before the shuffle."""
-        order = Window.partitionBy(*HASH).orderBy(F.col("doc").desc())
-        return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= self.min_docs).drop("_n")
-
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.scratch.save(self._largest(rows).sortWithinPartitions(*HASH, "doc"), f"level{level}"))
+        self.levels[level].append(self.scratch.save(rows.sortWithinPartitions(*HASH), f"level{level}"))
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._put(level + 1, reduce(DataFrame.unionByName, merged).dropDuplicates())
+            self._put(level + 1, self._merged(merged))
             self.scratch.drop(*merged)
 
-    def all_rows(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return reduce(DataFrame.unionByName, runs) if runs else None
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, runs).groupBy(*HASH).agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
+
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """What a batch adds to the runs: each hash that isn't settled, with its documents in the batch counted.
+
+        Documents are counted under (hash, document) before hashes meet, so a line that a third of all documents hold is no one task's.
+        """
+        rows = batch.groupBy(*HASH).agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keep"))
+        if runs := [r for level in self.levels for r in level]:
+            settled = reduce(DataFrame.unionByName, runs).where(F.col("n") >= self.min_docs).select(*HASH)
+            rows = rows.join(settled.hint("merge"), list(HASH), "left_anti")
+        return rows
 
     def add(self, batch: DataFrame) -> None:
-        fresh = self._largest(batch.select(*HASH, "doc").dropDuplicates())
-        if (held := self.all_rows()) is not None:
-            fresh = fresh.join(held, [*HASH, "doc"], "left_anti")
-        self._put(0, fresh)
+        self._put(0, self.fresh(batch))
 
     def repeated(self) -> DataFrame:
         """The hashes that at least ``min_docs`` documents hold: h1, h2 and ``keep``, the largest document."""
-        held = self._largest(self.all_rows().dropDuplicates())
-        return held.groupBy(*HASH).agg(F.count("*").alias("n"), F.max("doc").alias("keep")).where(F.col("n") >= self.min_docs).drop("n")
+        return self._merged([r for level in self.levels for r in level]).where(F.col("n") >= self.min_docs).drop("n")
+
+
+def _descending(doc: Column, cuts: list[int]) -> Column:
+    """The batch of a document: 0 above the largest cut, one more for each cut that lies above it."""
+    return reduce(lambda a, b: a + b, [(doc < c).cast("int") for c in cuts], F.lit(0))
 
 
-def line_dedup(df: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+def line_dedup(df: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Every row of ``df`` with ``n_lines`` (before dropping), ``n_dropped`` and ``kept``, the text that stays.
 
     Keys of at least ``min_chars`` code points that at least ``min_docs`` documents hold lose all their lines, except in
     the largest document holding them. A null or empty text is one empty line and stays empty. Rows that repeat a
     ``key`` are one document; a null key is a document too, the smallest. An empty table gives an empty result.
-    Columns of ``df`` that carry the result's names are replaced. Hashes have 128 bits. The batches are a fixed deal of
-    documents by their key. Only built-in functions run; nothing is gathered on the driver.
+    Columns of ``df`` that carry the result's names are replaced. Hashes have 128 bits. Batches are ranges of keys, cut at
+    approximate quantiles, largest first. Only built-in functions run; nothing but the cuts is gathered on the driver.
     """
     spark = df.sparkSession
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     whole = F.coalesce(F.col(text), F.lit(""))
     scratch = Scratch(spark)
+    cuts = df.select(doc.alias("doc")).agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)] or [0.5], 10_000).alias("c")).first()["c"]
+    cuts = sorted(set(cuts or [])) if batches > 1 else []
     split = df.select(doc.alias("doc"), F.xxhash64(whole).alias("t"), F.posexplode(F.split(whole, "\n", -1)).alias("pos", "line"))
     keyed = split.where(F.char_length("line") >= min_chars).withColumn("k", line_key(F.col("line"))).where(F.char_length("k") >= min_chars)
-    lines = keyed.select("doc", "t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"), F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int").alias("batch"))
-    lines = scratch.save(lines, "lines", partition_by="batch")
+    hashes = F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2")
+    lines = scratch.save(keyed.select("doc", "t", "pos", *hashes, _descending(F.col("doc"), cuts).alias("batch")), "lines", partition_by="batch")
     runs = LineRuns(spark, min_docs)
-    for b in range(batches):
+    for b in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == b))
     repeated = scratch.save(runs.repeated(), "repeated")
     drops = lines.join(repeated, list(HASH)).where(F.col("doc") != F.col("keep")).groupBy("doc", "t").agg(F.collect_set("pos").alias("_ld_gone"))
@@ -91,7 +98,9 @@ def line_dedup(df: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: i
     names = rows.columns
     rows = rows.withColumn("_ld_doc", doc).withColumn("_ld_t", F.xxhash64(whole))
     rows = rows.join(drops, (F.col("_ld_doc") == F.col("_ld_d")) & (F.col("_ld_t") == F.col("_ld_h")), "left")
-    cut = F.split(whole, "\n", -1)
+    rows = rows.withColumn("_ld_cut", F.split(whole, "\n", -1))  # a column of its own: split once, however many lines stay
+    cut = F.col("_ld_cut")
     stay = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("_ld_gone"))
     kept = F.when(F.col("_ld_gone").isNull(), whole).otherwise(F.concat_ws("\n", F.transform(stay, lambda i: F.get(cut, i))))
-    return rows.select(*[F.col(f"`{c}`") for c in names], F.size(cut).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    counts = F.size(cut).cast("long").alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("n_dropped")
+    return rows.select(*[F.col(f"`{c}`") for c in names], *counts, kept.alias("kept"))

@@ -407,10 +407,31 @@ def test_lines(spark, texts, batches):
     assert line_dedup.line_dedup(frame(spark, [])).count() == 0
 
 
-def test_line_runs_are_idempotent(spark):
+def test_line_runs_settle(spark):
+    """Batches of descending documents: hashes that enough of them hold leave at the anti-join, others add up over runs."""
+    rows = lambda *r: spark.createDataFrame(list(r), "h1 long, h2 long, doc long")
     runs = line_dedup.LineRuns(spark, min_docs=2, fanout=2)
-    batch = spark.createDataFrame([(1, 1, d) for d in range(4)] + [(2, 2, 9)], "h1 long, h2 long, doc long")
-    for _ in range(5):
-        runs.add(batch)
-    assert [tuple(r) for r in runs.repeated().collect()] == [(1, 1, 3)]
+    runs.add(rows((1, 1, 90), (1, 1, 91), (1, 1, 91), (2, 2, 95)))
+    batch = rows((1, 1, 80), (2, 2, 81), (3, 3, 81))
+    assert {tuple(r) for r in runs.fresh(batch).collect()} == {(2, 2, 1, 81), (3, 3, 1, 81)}
+    runs.add(batch)
+    assert runs.fresh(rows((2, 2, 70), (3, 3, 70))).select("h1").collect()[0].h1 == 3  # settled by the merge of both runs
+    runs.add(rows((2, 2, 70), (4, 4, 70)))
+    assert {tuple(r) for r in runs.repeated().collect()} == {(1, 1, 91), (2, 2, 95)}
     assert max(len(level) for level in runs.levels) < 2
+
+
+def test_lines_settle_on_the_way(spark, monkeypatch):
+    """In the operator itself the anti-join keeps later documents of a common line out of the runs."""
+    added = []
+    put = line_dedup.LineRuns._put
+
+    def seen(self, level, rows):
+        if level == 0:
+            added.append(rows.agg(F.sum("n")).first()[0] or 0)
+        put(self, level, rows)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_put", seen)
+    line = "a line of more than forty characters that all documents hold"
+    got = line_dedup.line_dedup(frame(spark, [(i, line) for i in range(80)]), batches=4).collect()
+    assert [r.doc_id for r in got if not r.n_dropped] == [79] and sum(added) == added[0] and len(added) == 4
