@@ -2,19 +2,24 @@
 
 Each source's target is its weighted share of all words, levelled so that none exceeds ``cap`` times
 what the source has. A source that must supply r times its words takes every document floor(r) times for
-certain; the rest is a Pareto sample: with p = r - floor(r) and u a document's own random number, documents
-are ranked by (u / (1 - u)) / (p / (1 - p)) and taken from the lowest up until their words fill the rest.
+certain; the rest is a Pareto sample of unequal probabilities. A document's inclusion probability is the rest's share of the source's words,
+p = r - floor(r), times the root of (mean size / own size), 0.999 at most: one more copy of a long document repeats more words and
+moves the total by more, so long documents get it less often. With u a document's own random number, documents
+are ranked by (u / (1 - u)) / (p / (1 - p)) and taken from the lowest up until their words fill the rest: what is fixed
+is the sample's size in words.
 """
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, n_words, unit_hash
 
 #: Bins of the ranking variable, by which each source's words are summed before any are put in order.
-BINS = 4096
+BINS = 1 << 16
 
 
 def _targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -33,16 +38,18 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     level = (whole - F.coalesce(F.sum("most").over(before), F.lit(0))).cast("double") / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))).cast("double")
     rows = rows.withColumn("level", level).withColumn("open", F.when(F.col("level") < F.col("ratio"), F.row_number().over(by_ratio)))
     first = F.min(F.when(F.col("open").isNotNull(), F.struct("open", "level"))).over(everything)["level"]
-    return rows.select("src", "source_size", F.coalesce(F.least(F.col("most").cast("double"), first * F.col("w")), F.col("most").cast("double")).alias("target"))
+    return rows.select("src", "source_size", "docs", F.coalesce(F.least(F.col("most").cast("double"), first * F.col("w")), F.col("most").cast("double")).alias("target"))
 
 
-def _odds(u: Column, p: Column) -> Column:
-    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+def _rank(u: Column, p: Column, size: Column, mean: Column) -> Column:
+    """The odds of a random number over those of the inclusion probability; null where nothing is sampled. No words count as one."""
+    own = F.least(F.lit(0.999), p * F.sqrt(mean / F.greatest(size, F.lit(1)).cast("double")))
+    return F.when((p > 0) & (mean > 0), (u / (1 - u)) / (own / (1 - own)))
 
 
 def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, source: str = "source", text: str = "text", key: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """One row per source: ``src``, ``source_size``, ``target``, ``whole`` (certain copies), ``p`` and ``cut``, the last
-    document (rank, key, size) that the sample takes; null where it takes none.
+    """One row per source: ``src``, ``source_size``, ``target``, ``whole`` (certain copies), ``p``, ``mean`` (words of a document) and
+    ``cut``, the last document (rank, key, size) that the sample takes; null where it takes none.
 
     Words are first summed by source and bin of the ranking variable; only the documents of each source's bin in
     which the target falls are put in order, so a source with a third of all rows is never sorted in one task.
@@ -50,13 +57,16 @@ def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     spark = df.sparkSession
     scratch = Scratch(spark)
     rows = scratch.save(df.select(F.col(source).alias("src"), F.col(key).alias("k"), n_words(text).alias("size"), unit_hash(key, salt=seed).alias("u")), "sizes")
-    sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = _targets(sizes, weights, cap).withColumn("whole", F.least(F.floor(rate), F.lit(cap)).cast("int")).withColumn("p", rate - F.col("whole"))
+    plan = plan.withColumn("mean", F.col("source_size") / F.col("docs"))
     plan = scratch.save(plan.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")), "plan")
 
     def with_plan(part: DataFrame) -> DataFrame:
-        return part.join(part.sparkSession.read.schema(plan.schema).parquet(plan.scratch_path).withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).withColumn("rank", _odds(F.col("u"), F.col("p"))).where("rank is not null").withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
+        own = spark.read.schema(plan.schema).parquet(plan.scratch_path).withColumnRenamed("src", "s")
+        ranked = part.join(own, F.col("src").eqNullSafe(F.col("s"))).withColumn("rank", _rank(F.col("u"), F.col("p"), F.col("size"), F.col("mean")))
+        return ranked.where("rank is not null").withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
 
     bins = with_plan(rows).groupBy("src", "bin", "rest").agg(F.sum("size").alias("words"))
     upto = F.sum("words").over(Window.partitionBy("src").orderBy("bin"))
@@ -70,6 +80,11 @@ def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     return scratch.save(plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").drop("c_src"), "cuts")
 
 
+def _plan_columns(df: DataFrame, *options: Any) -> DataFrame:
+    held = ("src", "source_size", "target", "whole", "p", "mean", "rest", "cut_bin", "cut")
+    return mix_plan(df, *options).select(*[F.col(c).alias(f"_mix_{c}") for c in held])
+
+
 def mix_sources(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, source: str = "source", text: str = "text", key: str = "doc_id", seed: str = "mix") -> DataFrame:
     """Every row of ``df`` with ``size`` (words), ``source_size``, ``target``, ``copies`` and ``taken`` (words times copies).
 
@@ -78,20 +93,32 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int =
     one draw, so they are taken together. An empty table gives an empty result. Columns of ``df`` that carry the
     result's names are replaced. Draws depend on the key and ``seed`` alone: reruns agree.
     """
-    plan = mix_plan(df, weights, cap, source, text, key, seed).select(*[F.col(c).alias(f"_mix_{c}") for c in ("src", "source_size", "target", "whole", "p", "rest", "cut_bin", "cut")])
-    rows = df.drop(*[c for c in df.columns if c in ("size", "source_size", "target", "copies", "taken")])
-    rows = rows.join(plan, F.col(source).eqNullSafe(F.col("_mix_src")))
-    rank = _odds(unit_hash(key, salt=seed), F.col("_mix_p"))
-    rows = rows.withColumn("size", n_words(text)).withColumn("_mix_rank", rank).withColumn("_mix_bin", F.floor(F.col("_mix_rank") / (1 + F.col("_mix_rank")) * BINS))
-    here = F.struct(F.col("_mix_rank").alias("rank"), F.col(key).alias("k"), F.col("size").alias("size"))
+    plan = _plan_columns(df, weights, cap, source, text, key, seed)
+    rows = df.drop(*[c for c in df.columns if c in RESULT])
+    rows = _mixed(rows, plan, source, text, key, seed)
+    names = [c for c in rows.columns if not c.startswith("_mix_")]
+    result = [F.col(f"_mix_{c}").alias(c) for c in RESULT]
+    return rows.select(*[F.col(f"`{c}`") for c in names], *result)
+
+
+#: What mix_sources adds to the rows.
+RESULT = ("size", "source_size", "target", "copies", "taken")
+
+
+def _mixed(rows: DataFrame, plan: DataFrame, source: str, text: str, key: str, seed: str) -> DataFrame:
+    """The rows beside their results, under names that begin with _mix_."""
+    rows = rows.join(plan, F.col(source).eqNullSafe(F.col("_mix_src"))).withColumn("_mix_size", n_words(text))
+    rows = rows.withColumn("_mix_rank", _rank(unit_hash(key, salt=seed), F.col("_mix_p"), F.col("_mix_size"), F.col("_mix_mean")))
+    rows = rows.withColumn("_mix_bin", F.floor(F.col("_mix_rank") / (1 + F.col("_mix_rank")) * BINS))
+    here = F.struct(F.col("_mix_rank").alias("rank"), F.col(key).alias("k"), F.col("_mix_size").alias("size"))
     sampled = F.when(F.col("_mix_rank").isNull() | (F.col("_mix_rest") <= 0), False).when(F.col("_mix_cut_bin").isNull() | (F.col("_mix_bin") < F.col("_mix_cut_bin")), True)
     sampled = sampled.when(F.col("_mix_bin") > F.col("_mix_cut_bin"), False).otherwise(F.coalesce(here <= F.col("_mix_cut"), F.lit(False)))
-    copies = F.col("_mix_whole") + sampled.cast("int")
-    names = [c for c in rows.columns if not c.startswith("_mix_")]
-    return rows.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in names], F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    rows = rows.withColumn("_mix_copies", F.col("_mix_whole") + sampled.cast("int"))
+    return rows.withColumn("_mix_taken", (F.col("_mix_size") * F.col("_mix_copies")).cast("long"))
 
 
-def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``df`` as many times as it is taken, with the columns of ``df``."""
-    out = mix_sources(df, **options).where("copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in df.columns if c in out.columns])
+def mixed_rows(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, source: str = "source", text: str = "text", key: str = "doc_id", seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of ``df`` as many times as it is taken, with the columns of ``df``, whatever they are called."""
+    plan = _plan_columns(df, weights, cap, source, text, key, seed)
+    rows = _mixed(df, plan, source, text, key, seed).where("_mix_copies > 0")
+    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])

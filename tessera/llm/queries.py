@@ -83,7 +83,7 @@ with sizes as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
     (cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), chr(0)) || chr(31) || 'mix'), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double as u
   from documents),
-by_source as (select source, cast(sum(size) as bigint) as source_size from sizes group by source),
+by_source as (select source, cast(sum(size) as bigint) as source_size, count(*) as docs from sizes group by source),
 weighed as (
   select *, 3 * source_size as most, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as w from by_source),
 leveled as (
@@ -93,14 +93,16 @@ leveled as (
   from weighed window by_ratio as (order by most::double / w, source nulls last)),
 open as (select arg_min(level, i) as level from leveled where level < ratio),
 targets as (
-  select source, source_size, coalesce(least(most::double, open.level * w), most::double) as target
+  select source, source_size, source_size::double / docs as mean, coalesce(least(most::double, open.level * w), most::double) as target
   from leveled left join open on true),
 rates as (
   select *, case when source_size > 0 then target / source_size else 0.0 end as rate, cast(least(floor(case when source_size > 0 then target / source_size else 0.0 end), 3) as bigint) as whole from targets),
-ranked as (
-  select s.doc_id, s.size, r.source_size, r.target, r.whole, r.target - (r.whole * r.source_size)::double as rest, s.source,
-    case when r.rate - r.whole > 0 then (u / (1 - u)) / ((r.rate - r.whole) / (1 - (r.rate - r.whole))) end as q
+chances as (
+  select s.doc_id, s.size, s.u, s.source, r.source_size, r.target, r.whole, r.target - (r.whole * r.source_size)::double as rest, r.rate - r.whole as p, r.mean,
+    least(0.999::double, (r.rate - r.whole) * sqrt(r.mean / greatest(s.size, 1)::double)) as own
   from sizes s join rates r on s.source is not distinct from r.source),
+ranked as (
+  select *, case when p > 0 and mean > 0 then (u / (1 - u)) / (own / (1 - own)) end as q from chances),
 filled as (
   select *, sum(size) over (partition by source, q is null order by q, doc_id, size rows between unbounded preceding and current row) - size / 2.0 as upto from ranked)
 select doc_id, size, source_size, target, cast(whole + case when q is not null and rest > 0 and upto <= rest then 1 else 0 end as int) as copies,

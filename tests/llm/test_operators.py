@@ -228,10 +228,23 @@ def test_mixing(spark, texts):
     for own in by.values():
         assert own[0].target <= 3 * own[0].source_size + 1e-6
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own) / 2 + 1
-    assert mixing.mixed_rows(frame(spark, texts)).count() == sum(r.copies for r in rows)
+    mixed = mixing.mixed_rows(frame(spark, texts))
+    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == frame(spark, []).columns
+    assert {(r["size"], r.copies) for r in mixed.collect()} == {("size", "copies")}  # columns of those names stay what they were
     assert mixing.mix_sources(frame(spark, [])).count() == 0
 
 
+def test_chances_differ_within_a_source(spark):
+    """Documents of one source get their extra copy with chances that fall with their sizes, and the words come out right all the same."""
+    rows = [(i, "w " * (10 if i % 2 else 160), "a" if i < 2000 else "b") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in mixing.mix_sources(df, weights=(1, 3)).collect() if r.source == "a"]
+    share = {n: sum(r.copies for r in got if r["size"] == n) / sum(r["size"] == n for r in got) for n in (10, 160)}
+    assert share[10] > 1.5 * share[160] > 0 and abs(sum(r.taken for r in got) - got[0].target) <= 80
+    plan = {r.src: r for r in mixing.mix_plan(df, weights=(1, 3)).collect()}
+    assert 0 < plan["a"].p < 1 and plan["a"].whole == 0
+
+
 def test_pieces_agree_with_the_library_in_its_unigram_mode(spark, tmp_path, texts):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
