@@ -124,4 +124,20 @@ select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (keep i
 from keyed left join repeated using (key) group by doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_source_mix": _OP4_SQL, "op10_line_dedup": _OP10_SQL}
+_OP9_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+windows as (
+  select doc_id, i, array_to_string(words[i : i + 12], ' ') as w
+  from (select doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) as i from docs)),
+firsts as (select w, min(doc_id) as first from windows group by w having count(distinct doc_id) > 1),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as p from windows join firsts using (w) where doc_id > first),
+words as (select doc_id, unnest(range(1, len(words) + 1)) as p, unnest(words) as word from docs),
+kept as (
+  select doc_id, count(*) as n, coalesce(string_agg(word, ' ' order by p), '') as text
+  from words anti join gone using (doc_id, p) group by doc_id)
+select doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_substring_dedup": _OP9_SQL, "op4_source_mix": _OP4_SQL, "op10_line_dedup": _OP10_SQL}

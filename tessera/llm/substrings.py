@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, bounded_batches, column_batches, release
@@ -46,12 +47,29 @@ def word_codes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
 
 
-def stretches(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each stretch: the anchor's hash and place, the first window's place and the number of windows. Fewer words than a window: none."""
+def chunks(rows: Iterable[tuple], text: int, most: int = 1 << 20) -> Iterator[list[tuple]]:
+    """Rows in lists whose texts have about ``most`` code points together; a longer text comes alone."""
+    held, size = [], 0
+    for row in rows:
+        if held and size + len(row[text]) > most:
+            yield held
+            held, size = [], 0
+        held.append(row)
+        size += len(row[text])
+    if held:
+        yield held
+
+
+def stretches(codes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of texts whose words' codes lie one text behind the other, from ``starts``.
+
+    For each: the anchor's hash and place, the first window's place, the number of windows and the text's number. No window reaches
+    over a text's end; fewer words than a window: none.
+    """
     n, grams = len(codes) - window + 1, window - GRAM + 1
+    none = np.empty(0, np.int64)
     if n < 1:
-        none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     h = np.zeros(len(codes) - GRAM + 1, np.uint64)
     for j in range(GRAM):
         h = h * np.uint64(0x9FB21C651E98DF25) + codes[j : j + len(h)]
@@ -68,36 +86,59 @@ def stretches(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, n
             key = np.minimum(key[:-rest], key[rest:])
         places.append((key & np.uint64(0xFFFF)).astype(np.int64) + at)
     place = np.concatenate(places)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return h[place[first]], place[first], first, np.diff(np.append(first, n))
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(codes))))
+    inside = np.flatnonzero(owner[:n] == owner[window - 1 :])
+    if not len(inside):
+        return none.astype(np.uint64), none, none, none, none
+    place = place[inside]
+    head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return h[place[head]], place[head], inside[head], np.diff(np.append(head, len(place))), owner[inside[head]]
 
 
 def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
-    """doc (the smallest long for null), v (tells rows of one key with other texts apart) and text."""
+    """doc (the smallest long for null), v (a hash of the text, which tells rows of one key apart) and text."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.pmod(F.xxhash64(whole), F.lit(32749)).cast("short").alias("v"), whole.alias("text"))
+    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(whole).alias("v"), whole.alias("text"))
+
+
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all words of the texts, and where each text's begin."""
+    words = [_words(t) for t in texts]
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    return word_codes(list(chain.from_iterable(words))), np.cumsum(n) - n
 
 
 def _shared_anchors(docs: DataFrame, window: int, most: int, scratch: Scratch) -> DataFrame:
-    """doc -> at: the places of anchors that another document has too; -1 - place for anchors with more than ``most`` stretches."""
+    """doc, part -> at: the places of anchors that another document has too; -1 - place for anchors with more than ``most`` stretches.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, texts in column_batches(batches, "doc", "text"):
-            found = [stretches(word_codes(_words(t)), window)[:2] for t in texts]
-            n = [len(a) for a, _ in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _ in found]).view(np.int64)), pa.array(np.repeat(np.array(doc, np.int64), n)), pa.array(np.concatenate([p for _, p in found]).astype(np.int32))], names=["anchor", "doc", "place"])
+    ``part`` is some bits of the text's hash, which deal out the rows of a frequent key; rows it doesn't tell apart share their places.
+    """
 
-    rows = scratch.save(docs.select("doc", "text").mapInArrow(run, "anchor long, doc long, place int"), "anchors")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in column_batches(batches, "doc", "part", "text"):
+            for rows in chunks(zip(*columns), 2):
+                doc, part, texts = zip(*rows)
+                codes, starts = _flat(texts)
+                anchor, place, _, _, owner = stretches(codes, starts, window)
+                out = (anchor.view(np.int64), np.array(doc, np.int64)[owner], np.array(part, np.int16)[owner], (place - starts[owner]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["anchor", "doc", "part", "place"])
+
+    found = docs.select("doc", _part(), "text").mapInArrow(run, "anchor long, doc long, part short, place int")
+    rows = scratch.save(found, "anchors")
     shared = rows.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     shared = scratch.save(shared.select("anchor", (F.col("n") > most).alias("many")), "shared")
     place = F.when(F.col("many"), -1 - F.col("place")).otherwise(F.col("place"))
-    out = scratch.save(rows.join(shared, "anchor").select("doc", place.alias("p")).groupBy("doc").agg(F.collect_set("p").alias("at")), "places")
+    out = scratch.save(rows.join(shared, "anchor").select("doc", "part", place.alias("p")).groupBy("doc", "part").agg(F.collect_set("p").alias("at")), "places")
     scratch.drop(rows, shared)
     return out
 
 
-_MADE = "content boolean, anchor long, hash long, doc long, top long, v short, first int, n short, words binary"
-_MADE_TYPES = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int16(), pa.binary())
+def _part() -> Column:
+    return F.pmod("v", F.lit(32749)).cast("short").alias("part")
+
+
+_MADE = "content boolean, anchor long, low int, hash long, doc long, top long, v long, first int, n short, words binary"
+_MADE_TYPES = (pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
 _BASE = 0x9E3779B97F4A7C15
 _HELD = 150_000  # stretches of a task that are gathered before equal ones become one
 
@@ -114,7 +155,10 @@ def _content_hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> n
 
 
 def _stretch_rows(docs: DataFrame, window: int) -> DataFrame:
-    """Rows of two sorts from documents with ``at``: every stretch (content false), and distinct stretches with their words and least and largest documents."""
+    """Rows of two sorts from documents with ``at``: every stretch (content false), and distinct stretches with their words and least and largest documents.
+
+    A stretch's words are told by a 64-bit hash of them and by their anchor, of which every stretch holds the lower half.
+    """
 
     def batch(count: int, **columns: np.ndarray | pa.Array) -> pa.RecordBatch:
         names = [f.split()[0] for f in _MADE.split(", ")]
@@ -127,7 +171,7 @@ def _stretch_rows(docs: DataFrame, window: int) -> DataFrame:
         h = _content_hashes(flat, start, size)
         anchor = np.where(many, h, anchor).view(np.int64)
         h = h.view(np.int64)
-        yield batch(len(h), content=np.zeros(len(h), bool), anchor=anchor, hash=h, doc=doc, v=v, first=first, n=n)
+        yield batch(len(h), content=np.zeros(len(h), bool), low=anchor.astype(np.int32), hash=h, doc=doc, v=v, first=first, n=n)
         order = np.lexsort((h, anchor))
         head = np.flatnonzero(np.concatenate([[True], (anchor[order][1:] != anchor[order][:-1]) | (h[order][1:] != h[order][:-1])]))
         low, top = np.minimum.reduceat(doc[order], head), np.maximum.reduceat(doc[order], head)
@@ -140,20 +184,22 @@ def _stretch_rows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, codes, rows, words = [], [], 0, 0
-        for doc_ids, vs, texts, ats in column_batches(batches, "doc", "v", "text", "at"):
-            for doc, v, text, at in zip(doc_ids, vs, texts, ats):
-                own = word_codes(_words(text))
-                anchor, place, first, n = stretches(own, window)
-                at = np.array(at)
-                many = np.isin(place, -1 - at[at < 0])
-                pick = np.isin(place, at) | many
-                anchor, first, n, many = anchor[pick], first[pick], n[pick], many[pick]
+        for columns in column_batches(batches, "doc", "v", "text", "at"):
+            for part in chunks(zip(*columns), 2):
+                doc, v, texts, ats = zip(*part)
+                own, starts = _flat(texts)
+                anchor, place, first, n, owner = stretches(own, starts, window)
+                at, whose = np.array(list(chain.from_iterable(ats)), np.int64), np.repeat(np.arange(len(ats)), list(map(len, ats)))
+                at, frequent = np.where(at < 0, -1 - at, at) + starts[whose], at < 0
+                many = np.isin(place, at[frequent])
+                pick = np.isin(place, at[~frequent]) | many
+                anchor, first, n, owner, many = anchor[pick], first[pick], n[pick], owner[pick], many[pick]
                 if many.any():  # each of their windows by itself
                     each = np.where(many, n, 1)
                     step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    anchor, first, n, many = np.repeat(anchor, each), np.repeat(first, each) + step, np.repeat(np.where(many, 1, n), each), np.repeat(many, each)
+                    anchor, first, n, owner, many = np.repeat(anchor, each), np.repeat(first, each) + step, np.repeat(np.where(many, 1, n), each), np.repeat(owner, each), np.repeat(many, each)
                 if len(anchor):
-                    held.append((anchor, first + words, first, n, np.full(len(anchor), doc, np.int64), np.full(len(anchor), v, np.int16), many))
+                    held.append((anchor, first + words, first - starts[owner], n, np.array(doc, np.int64)[owner], np.array(v, np.int64)[owner], many))
                     codes.append(own)
                     rows, words = rows + len(anchor), words + len(own)
                 if rows >= _HELD:
@@ -232,7 +278,8 @@ def substring_dedup(df: DataFrame, window: int = 13, most: int = 20_000, text: s
     A word goes if a window of ``window`` consecutive words over it also starts in a document with a smaller key; windows are judged on the
     input. A null or empty text, or one shorter than a window, loses nothing. Rows that repeat a key are one document, each with its own text; a null
     key is the smallest. An empty table gives an empty result; other columns are not read. ``most`` says when an anchor's group is split by
-    longer prefixes; it changes no result. Words are compared by 64-bit codes for anchors and 32-bit codes within a group.
+    longer prefixes; it changes no result. Words are compared by 64-bit codes for anchors and 32-bit codes within a group, rows of one
+    key by 64-bit hashes of their texts.
     """
     if not GRAM < window <= GRAM + 60:
         raise ValueError(f"a window has {GRAM + 1} to {GRAM + 60} words")
@@ -242,12 +289,15 @@ def substring_dedup(df: DataFrame, window: int = 13, most: int = 20_000, text: s
     docs = _rows(df, text, key)
     places = _shared_anchors(docs, window, most, scratch)
     release(spark)
-    made = scratch.save(_stretch_rows(docs.join(places, "doc"), window), "stretches", partition_by="content")
+    dealt = docs.withColumn("part", _part()).join(places, ["doc", "part"])
+    made = scratch.save(_stretch_rows(dealt, window), "stretches", partition_by="content")
     scratch.drop(places)
     release(spark)
     nodes = scratch.save(_trees(made.where("content"), window, int(spark.conf.get("spark.sql.shuffle.partitions"))), "nodes")
     release(spark)
-    where = made.where("not content").select("anchor", "hash", "doc", "v", "first", "n").join(nodes, ["anchor", "hash"])
+    nodes_of = nodes.select(F.col("anchor").bitwiseAND(F.lit(0xFFFFFFFF)).alias("low"), "hash", "lo", "mask")
+    where = made.where("not content").select((F.col("low").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), "hash", "doc", "v", "first", "n")
+    where = where.join(nodes_of, ["low", "hash"])
     every = F.expr("shiftleft(1L, cast(n as int)) - 1")
     where = where.withColumn("bits", F.when(F.col("doc") > F.col("lo"), every).otherwise(F.col("mask"))).where("bits <> 0")
     gone = scratch.save(where.groupBy("doc", "v").agg(F.collect_set(F.struct("first", "bits")).alias("gone")), "gone")
@@ -262,13 +312,10 @@ def substring_dedup(df: DataFrame, window: int = 13, most: int = 20_000, text: s
                 keep = words
                 if g:
                     first, bits = np.array([(s["first"], s["bits"]) for s in g]).T
-                    marks = np.zeros(len(words) + 1, np.int64)
-                    for j in range(int(bits.max()).bit_length()):
-                        start = first[bits >> j & 1 == 1] + j
-                        np.add.at(marks, start, 1)
-                        np.add.at(marks, start + window, -1)
-                    stay = np.cumsum(marks)[:-1] == 0
-                    keep = [w for w, s in zip(words, stay) if s]
+                    step = np.arange(int(bits.max()).bit_length())
+                    start = (first[:, None] + step)[(bits[:, None] >> step & 1) == 1]
+                    marks = np.bincount(start, minlength=len(words) + 1) - np.bincount(start + window, minlength=len(words) + 1)
+                    keep = list(compress(words, (np.cumsum(marks)[:-1] == 0).tolist()))
                 kept = " ".join(keep)
                 out.append((len(words), len(words) - len(keep), kept))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string())))], names=["doc", "n_words", "n_removed", "kept"])

@@ -398,6 +398,15 @@ def test_substrings(spark, window, most):
     assert substrings.substring_dedup(frame(spark, []), window=window).count() == 0
 
 
+def test_rows_of_one_key_are_told_apart(spark):
+    """Hundreds of texts under a null key and under one other: what one of them loses, no other does."""
+    draw = random.Random(11)
+    shared = " ".join(f"s{i}" for i in range(13))
+    rows = [(1, shared)] + [(k, " ".join(f"{draw.random()}" for _ in range(20))) for k in [None] * 400 + [7] * 400] + [(7, f"a b {shared} c"), (None, f"d {shared}")]
+    got = substrings.substring_dedup(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in got if r.n_removed) == [("1", 13), ("7", 13)] and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("batches", [1, 9])
 def test_lines(spark, texts, batches):
     rows = [*texts, (300, "a line THAT many documents hold, in full, each time.\t")]  # a key that comes twice
