@@ -33,7 +33,7 @@ class _WordCodes(dict):
     most = 300_000
 
     def __missing__(self, word: str) -> int:
-        shape = word[:40]
+        shape = word
         for pattern, put in _SHAPES:
             shape = pattern.sub(put, shape)
         code = xxhash.xxh32_intdigest(shape) << 32 | xxhash.xxh32_intdigest(word.lower())
@@ -85,21 +85,29 @@ class Model:
 
 def log_ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) with p and q the smoothed counts of each n-gram in the classes."""
-    p, q = (np.bincount(np.concatenate([r for r, t in zip(rows, y) if t == c] or [np.empty(0, np.int64)]), minlength=BUCKETS) + smooth for c in (1, 0))
-    return np.log((p / p.sum()) / (q / q.sum())).astype(np.float64)
+    counts = np.full((2, BUCKETS), smooth)
+    for r, t in zip(rows, y):
+        counts[t, r] += 1  # a row's buckets are distinct
+    return np.log((counts[1] / counts[1].sum()) / (counts[0] / counts[0].sum()))
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss; both classes weigh the same. Returns weights times ratios, and the bias."""
+    """Dual coordinate descent for the hinge loss; both classes weigh the same. Returns weights times ratios, and the bias.
+
+    A row's scaled vector is made anew each time it is visited, so that the driver holds the buckets alone.
+    """
     sign = np.where(y == 1, 1.0, -1.0)
     most = np.where(y == 1, cost * len(y) / max(1, 2 * (y == 1).sum()), cost * len(y) / max(1, 2 * (y == 0).sum()))
-    vectors = [ratio[r] / np.sqrt(max(1, len(r))) for r in rows]
-    norm = np.array([v @ v + 1.0 for v in vectors])
+
+    def vector(i: int) -> np.ndarray:
+        return ratio[rows[i]] / np.sqrt(max(1, len(rows[i])))
+
+    norm = np.array([v @ v + 1.0 for v in map(vector, range(len(y)))])
     w, bias, alpha, order = np.zeros(BUCKETS), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(rounds):
         change = 0.0
         for i in order.permutation(len(y)):
-            r, v = rows[i], vectors[i]
+            r, v = rows[i], vector(i)
             g = sign[i] * (w[r] @ v + bias) - 1.0
             new = min(max(alpha[i] - g / norm[i], 0.0), most[i])
             if step := (new - alpha[i]) * sign[i]:
@@ -145,7 +153,8 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, label: str = "quality",
     """Learns from documents of ``df`` whose label is 0 or 1 and whose key satisfies ``train`` (an expression over ``key``).
 
     ``most`` bounds the labelled rows that it learns from, the ones whose keys hash lowest; their n-gram buckets, not their texts, reach the driver.
-    Keys with contradicting labels, or null ones, are left out. Without both classes every score is the smoothed share of ones.
+    Of rows that repeat a key one teaches, by the text that hashes lowest. Keys with contradicting labels, or null ones, are left out.
+    Without both classes every score is the smoothed share of ones.
     """
     bounded_batches(df.sparkSession)
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z")
@@ -156,14 +165,15 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, label: str = "quality",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["k", "y", "at"])
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(known), "k").select("k", "y", "text")  # most rows at most
-    table = rows.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, y int, at array<int>").toArrow().combine_chunks()
-    y, at = table["y"].to_numpy(), table["at"].combine_chunks() if table.num_rows else None
-    if at is None:
-        return fit_rows([], np.empty(0, np.int64))
-    flat, ends = at.values.to_numpy(), at.offsets.to_numpy()
-    order = np.argsort(table["k"].to_numpy(), kind="stable")
-    return fit_rows([flat[ends[i] : ends[i + 1]] for i in order], y[order])
+    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(known), "k")  # ``most`` rows at most
+    rows = rows.groupBy("k", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    table = rows.mapInArrow(run, f"k {df.schema[key].dataType.simpleString()}, y int, at array<int>").toArrow()
+    buckets = [c.values.to_numpy()[x:y] for c in table["at"].chunks for x, y in zip(c.offsets.to_numpy()[:-1], c.offsets.to_numpy()[1:])]
+    y, order = table["y"].to_numpy(), np.argsort(table["k"].to_numpy(), kind="stable")
+    model = fit_rows([buckets[i] for i in order], y[order])
+    del table, buckets
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def quality_scores(df: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:

@@ -315,6 +315,26 @@ def test_quality(spark):
     assert quality.quality_scores(frame(spark, []), model).count() == 0
 
 
+def test_quality_of_held_out_labels(spark):
+    """The query's own fold on real tables: labels it hasn't seen, by their ranks and at its threshold."""
+    from tessera.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op7_quality(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("score", "predicted", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    above = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(rows) > 500 and above > 0.98 and sum(r.predicted == r.quality for r in rows) > 0.95 * len(rows)
+
+
+def test_a_repeated_key_teaches_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda rows, y: seen.append(len(rows)))
+    df = frame(spark, [(1, f"text {i}") for i in range(50)] + [(2, "other"), (2, None)])
+    quality.fit(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), train=F.lit(True))
+    quality.fit(df.limit(0), spark.createDataFrame([(1, 1)], "doc_id long, quality int"), train=F.lit(True))
+    assert seen == [2, 0]
+
+
 def test_descent_reaches_the_optimum():
     """Small separable rows: the dual solution's margins are all at least one."""
     rows, y = [np.array([i % 4, 10 + i % 3]) for i in range(40)], np.array([int(i % 4 > 1) for i in range(40)])
