@@ -1,14 +1,15 @@
 """Personal data by candidate gradient boosting, in built-in functions only.
 
 Generators of high recall propose spans, overlapping ones too: the base patterns, and wider ones for addresses spelt out, bracketed or
-separated otherwise. Boosted trees, written out as one SQL expression, score each candidate by its form and its surroundings, and per-kind
-thresholds, calibrated on examples kept out of the boosting, select. Valid matches of the base patterns always stay.
+separated otherwise, and for cards and phones inside longer runs of digits, which no base match can be. Boosted trees, written out as one SQL
+expression, score each candidate by its form and its surroundings, and per-kind thresholds select. There are no labels of personal data, so
+the trees learn from sentences put together from contexts and formats; contexts that they never saw set the thresholds, and further
+ones measure precision and recall. Valid matches of the base patterns always stay.
 """
 
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -31,14 +32,26 @@ GENERATORS = (
     ("wide", 1, r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\x20\.\x20|\[dot\])[0-9]{1,3}){3}(?![0-9])", ("[.]", "(.)", " . ", "[dot]")),
     ("wide", 2, r"(?<![0-9])[0-9]{4}(?:[./_–][0-9]{4}){2}[./_–][0-9]{1,7}(?![0-9])", (".", "/", "_", "–")),
     ("wide", 3, r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])", ()),
+    ("wide", 2, r"(?<![0-9])(?:[0-9]{4}[\x20-]){3}[0-9]{4}(?![0-9])", ()),
+    ("wide", 2, r"(?<![0-9])[0-9]{13,19}(?![0-9])", ()),
+    ("wide", 3, r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", ("+",)),
 )
 
-#: Words that speak for personal data of some kind before a candidate, and words that speak against any.
-FOR = r"(?i)(?:mail|contact|write|reach|server|host|address|login|card|visa|credit|pay|phone|call|tel|mobile|fax|dial)[^0-9]{0,20}$"
-AGAINST = r"(?i)(?:version|release|isbn|order|section|chapter|figure|part|look|arrive|serial|invoice)[^0-9]{0,12}$"
+#: Words before a candidate that speak for personal data of some kind, and words that speak against any.
+FOR = (
+    r"(?i)(?:mail|contact|write|reach|server|host|address|login|logged|client|peer|card|visa|credit|charge|pay|paid|phone|call|tel|mobile|fax|dial|ring|text|whatsapp|cell)"
+    r"[^0-9]{0,20}$"
+)
+AGAINST = (
+    r"(?i)(?:version|release|build|isbn|order|section|chapter|figure|table|part|item|look|arrive|stay|serial|invoice|ticket|sku|model|total|count|page|year|batch|article|measured)"
+    r"[^0-9]{0,12}$"
+)
+#: Words after a candidate that make it a quantity, and endings of host names.
+UNITS = r"(?i)^\x20?(?:pieces|units|items|euro|dollars|meters|pages|votes|copies|times|kg|km)"
+ENDINGS = r"(?i)(?:\.|dot\x20|dot[\])}]\x20?)(?:com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$"
 
 #: Candidate features, all small integers.
-FEATURES = ("kind", "wide", "valid", "digits", "marks", "wordy", "for", "against", "tight")
+FEATURES = ("kind", "gen", "valid", "digits", "groups", "marks", "wordy", "ending", "for", "against", "units", "tight")
 
 
 def _digits(text: Column) -> Column:
@@ -85,7 +98,7 @@ def candidates(texts: DataFrame) -> DataFrame:
         zipped = F.arrays_zip(matches.alias("m"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
         own = F.transform(
             F.filter(zipped, lambda z: z["m"].isNotNull()),
-            lambda z, i: F.struct(i.alias("i"), F.char_length(z["gap"]).alias("skip"), z["m"].alias("match"), F.right(z["gap"], F.lit(40)).alias("before"), F.left(z["next"], F.lit(1)).alias("after")),
+            lambda z, i: F.struct(i.alias("i"), F.char_length(z["gap"]).alias("skip"), z["m"].alias("match"), F.right(z["gap"], F.lit(40)).alias("before"), F.left(z["next"], F.lit(12)).alias("after")),
         )
         own = F.transform(own, _tag(g))
         there = reduce(lambda a, b: a | b, [F.contains("text", F.lit(s)) for s in signs]) if signs else F.col("text").rlike("[0-9]")
@@ -100,40 +113,56 @@ def candidates(texts: DataFrame) -> DataFrame:
 def _described(rows: DataFrame) -> DataFrame:
     """Candidates with FEATURES, ``base`` (a valid match of a base pattern) and ``clear`` (no such match of its kind overlaps it)."""
     by = F.array(*[F.lit(k) for _, k, _, _ in GENERATORS])
-    wide = F.array(*[F.lit(int(n == "wide")) for n, _, _, _ in GENERATORS])
+    wide = F.array(*[F.lit(n == "wide") for n, _, _, _ in GENERATORS])
+    match, before, after = F.col("match"), F.col("before"), F.coalesce("after", F.lit(""))
     rows = rows.withColumn("kind", F.get(by, F.col("gen"))).withColumn("wide", F.get(wide, F.col("gen")))
-    rows = rows.withColumn("valid", _valid(F.col("kind"), F.col("match")).cast("int"))
-    rows = rows.withColumn("digits", F.char_length(_digits(F.col("match")))).withColumn("marks", F.char_length(F.regexp_replace("match", "[A-Za-z0-9]", "")))
-    rows = rows.withColumn("wordy", F.col("match").rlike(r"(?i)[a-z0-9]\x20at\x20").cast("int") + F.col("match").rlike(r"(?i)\x20dot\x20").cast("int"))
-    rows = rows.withColumn("for", F.col("before").rlike(FOR).cast("int")).withColumn("against", F.col("before").rlike(AGAINST).cast("int"))
-    rows = rows.withColumn("tight", (F.col("before").rlike(r"[\p{L}0-9]$")).cast("int") + F.coalesce(F.col("after").rlike(r"^[\p{L}0-9]"), F.lit(False)).cast("int"))
-    rows = rows.withColumn("base", (F.col("wide") == 0) & (F.col("valid") == 1))
-    # a base match that fails is a candidate only if it is about as long as what it would have to be
-    rows = rows.where(F.col("base") | (F.col("wide") == 1) | (F.col("digits") >= F.get(F.array(F.lit(0), F.lit(4), F.lit(12), F.lit(7)), F.col("kind"))))
+    rows = rows.withColumn("valid", _valid(F.col("kind"), match).cast("int"))
+    rows = rows.withColumn("digits", F.char_length(_digits(match))).withColumn("groups", F.regexp_count(match, F.lit("[0-9]+")))
+    rows = rows.withColumn("marks", F.char_length(F.regexp_replace(match, "[A-Za-z0-9]", "")))
+    rows = rows.withColumn("wordy", match.rlike(r"(?i)[a-z0-9]\x20at\x20").cast("int") + match.rlike(r"(?i)\x20dot\x20").cast("int"))
+    rows = rows.withColumn("ending", match.rlike(ENDINGS).cast("int"))
+    rows = rows.withColumn("for", before.rlike(FOR).cast("int")).withColumn("against", before.rlike(AGAINST).cast("int"))
+    rows = rows.withColumn("units", after.rlike(UNITS).cast("int"))
+    rows = rows.withColumn("tight", before.rlike(r"[\p{L}0-9]$").cast("int") + after.rlike(r"^[\p{L}0-9]").cast("int"))
+    rows = rows.withColumn("base", ~F.col("wide") & (F.col("valid") == 1))
     own = Window.partitionBy("k", "t", "kind")
     ends = F.max(F.when(F.col("base"), F.col("end"))).over(own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
     starts = F.min(F.when(F.col("base"), F.col("start"))).over(own.orderBy("start").rangeBetween(0, Window.unboundedFollowing))
     return rows.withColumn("clear", ~F.coalesce(ends > F.col("start"), F.lit(False)) & ~F.coalesce(starts < F.col("end"), F.lit(False)))
 
 
-#: Examples to learn from: text with {n}ame, {h}ost, {a}-{d} numbers up to 255, {x} to {z} of three digits, {w} of four, {v}alid and {f}alse cards in fours; the kind that counts; whether it is personal.
-EXAMPLES = (
-    ("write to {n} [at] {h} [dot] com soon", 0, 1), ("contact {n}(at){h}.org today", 0, 1), ("reach me: {n} at {h} dot com", 0, 1), ("mail {n} (at) {h} (dot) net", 0, 1), ("{n} [at] {h}.com", 0, 1),
-    ("we look at {h} dot matrix prints", 0, 0), ("they arrive at {h} dot the is", 0, 0), ("we met at {h} dot but not then", 0, 0), ("she was at {h} dot by dot", 0, 0), ("it (at) {h}.they", 0, 0),
-    ("server {a}[.]{b}[.]{c}[.]{d} is down", 1, 1), ("host {a}(.){b}(.){c}(.){d}", 1, 1), ("login from {a}[dot]{b}[dot]{c}[dot]{d} twice", 1, 1), ("seen {a}[.]{b}[.]{c}[.]{d} there", 1, 1),
-    ("section {x} . {y} . {z} . {x}", 1, 0), ("figure {a} . {b} . {c} . {d}", 1, 0), ("version {x}9.{y}8.{z}7.{x}6", 1, 0), ("part {a} . {b} . {x} . {y}", 1, 0),
-    ("card {v.} expires soon", 2, 1), ("visa {v/} please", 2, 1), ("pay with {v_}", 2, 1), ("it is {v.} and", 2, 1),
-    ("serial {f.} on the back", 2, 0), ("invoice {f/} was sent", 2, 0), ("order {f_} came", 2, 0), ("and {f.} of them", 2, 0), ("card no {f}", 2, 0), ("pay {f-} to", 2, 0), ("the {f-} ones", 2, 0), ("the {f} ones", 2, 0),
-    ("call ({x}) {y}-{w} now", 3, 1), ("phone {x}-{y}-{w}", 3, 1), ("tel. {x}.{y}.{w} today", 3, 1), ("my mobile is {x} {y} {w}", 3, 1), ("({x}) {y}-{w}", 3, 1),
-    ("part {x} {y} {w} in stock", 3, 0), ("order {x}-{y}-{w}", 3, 0), ("isbn {x}-{y}-{w}", 3, 0), ("figures {x} {y} {w} and", 3, 0), ("release {x}.{y}.{w}", 3, 0), ("count {x} {y} {w}", 3, 0), ("+{x}", 3, 0),
+#: Surroundings of examples: what stands before and after, and whether it speaks for (1) or against (-1) personal data. The first third of each
+#: class is for fitting, the second for thresholds, the last for measuring.
+CONTEXTS = (
+    ("please contact ", " about it", 1), ("call ", " now", 1), ("the card ", " was charged", 1), ("server ", " is down", 1), ("my address is ", " these days", 1), ("pay with ", " only", 1), ("login from ", " twice", 1), ("fax: ", ".", 1),
+    ("write to ", " soon", 1), ("phone ", " tonight", 1), ("credit card no ", ", thanks", 1), ("host ", " answered", 1), ("mail ", " again", 1), ("dial ", "", 1), ("visa ", " please", 1), ("peer ", " left", 1),
+    ("you reach them at ", " any time", 1), ("tel. ", ", evenings", 1), ("we paid by ", " then", 1), ("client ", " connected", 1), ("e-mail: ", "", 1), ("my mobile is ", ",", 1), ("text me, ", ", today", 1), ("ring ", " first", 1),
+    ("and ", " it was", 0), ("seen ", " there", 0), ("", "", 0), ("the other, ", ", came up", 0), ("yes: ", "!", 0), ("near ", " or so", 0),
+    ("| ", " | x |", 0), ("then ", " too", 0), ("about ", " again", 0), ("so ", " and", 0), ("\"", "\" he said", 0), ("it read ", " in full", 0),
+    ("here, ", " at last", 0), ("not ", " but", 0), ("(", ")", 0), ("with ", " at hand", 0), ("found ", " below", 0), ("- ", "", 0),
+    ("order ", " came", -1), ("isbn ", " in print", -1), ("version ", " is out", -1), ("serial ", " on the back", -1), ("section ", " says so", -1), ("invoice ", " was sent", -1), ("a total of ", " units", -1), ("part ", " in stock", -1),
+    ("release ", " fixes it", -1), ("figure ", " shows", -1), ("ticket ", " is closed", -1), ("chapter ", " ends", -1), ("item no. ", " sold", -1), ("build ", " failed", -1), ("we counted ", " votes", -1), ("sku ", " again", -1),
+    ("page ", " of it", -1), ("model ", " works", -1), ("batch ", " is done", -1), ("article ", " holds", -1), ("table ", " lists", -1), ("they measured ", " meters", -1), ("in the year ", " or so", -1), ("look at ", " once", -1),
 )
+#: Formats of examples: {n}ame, {h}ost, {a}-{d} up to 255, {x} to {z} of three digits, {w} of four, {v}alid and {f}alse cards in fours; the kind; personal
+#: unless the surroundings speak against it (1), only if they speak for it (2), or never (0).
+FORMATS = (
+    ("{n} [at] {h} [dot] com", 0, 1), ("{n}(at){h}.org", 0, 1), ("{n} at {h} dot net", 0, 1), ("{n} [at] {h}.de", 0, 1), ("{n} (at) {h} (dot) info", 0, 1), ("{n} at {h} dot {n}", 0, 2),
+    ("we at {h} dot the is", 0, 0), ("they at noon dot but not", 0, 0), ("one at {h} dot by dot", 0, 0), ("it (at) {h}.they", 0, 0),
+    ("{a}[.]{b}[.]{c}[.]{d}", 1, 1), ("{a}(.){b}(.){c}(.){d}", 1, 1), ("{a}[dot]{b}[dot]{c}[dot]{d}", 1, 1), ("{a} . {b} . {c} . {d}", 1, 2), ("{x} . {y} . {z} . {x}", 1, 0), ("{x}9.{y}8.{z}7.{x}6", 1, 0),
+    ("{v.}", 2, 1), ("{v/}", 2, 1), ("{v_}", 2, 1), ("{v} {v}", 2, 1), ("{v-} {v-}", 2, 1), ("{w} {v }", 2, 1), ("{v} {w}{w}", 2, 1),
+    ("{f.}", 2, 0), ("{f/}", 2, 0), ("{f}", 2, 0), ("{f-}", 2, 0), ("{f} {f}", 2, 0), ("{w}", 2, 0), ("{x} {y}", 2, 0), ("{w}-{w}", 2, 0), ("{a}", 2, 0), ("{w}{w}{y}", 2, 0),
+    ("({x}) {y}-{w}", 3, 1), ("{x}-{y}-{w}", 3, 2), ("{x}.{y}.{w}", 3, 2), ("{x} {y} {w}", 3, 2), ("+1 ({x}) {y}-{w} {v}", 3, 1), ("+44 {x} {y} {w} {w}{w}{w}", 3, 1), ("+{x}", 3, 0), ("+{a} {b}", 3, 0),
+)
+#: The parts that contexts are dealt to.
+FIT, THRESHOLDS, MEASURE = range(3)
 
 
-def _examples(spark: SparkSession, n: int) -> DataFrame:
-    """n example texts, drawn from EXAMPLES by hashes of their numbers."""
+def examples(spark: SparkSession, draws: int = 6) -> DataFrame:
+    """Example texts: k, t, text, ``part`` (0 to 2, by context), ``about`` (a kind) and ``label``; every format in every context, drawn several times."""
 
     def pick(salt: str, low: int, high: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low + 1)) + low
+        return F.pmod(F.xxhash64("k", F.lit(salt)), F.lit(high - low + 1)) + low
 
     def card(valid: bool, mark: str) -> Column:
         first = F.concat(F.lit("4"), *[pick(f"card{i}", 0, 9).cast("string") for i in range(14)])
@@ -141,17 +170,37 @@ def _examples(spark: SparkSession, n: int) -> DataFrame:
         last = check if valid else (check + pick("off", 1, 9)) % 10
         return F.regexp_replace(F.concat(first, last.cast("string")), "([0-9]{4})(?=[0-9])", "$1" + mark)
 
-    which = F.pmod(F.col("id"), F.lit(len(EXAMPLES))).cast("int")
-    text = F.get(F.array(*[F.lit(t) for t, _, _ in EXAMPLES]), which)
-    name = F.concat(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("n"))), 1, 5), F.lit("x"))
+    of = [c for _, _, c in CONTEXTS]
+    parts = [3 * (of[:i].count(c)) // of.count(c) for i, c in enumerate(of)]
+    contexts = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a"), F.lit(c).alias("c"), F.lit(p).alias("p")) for (b, a, c), p in zip(CONTEXTS, parts)])
+    formats = F.array(*[F.struct(F.lit(f).alias("f"), F.lit(k).alias("k"), F.lit(y).alias("y")) for f, k, y in FORMATS])
+    rows = spark.range(draws).select("id", F.posexplode(contexts).alias("i", "x")).select("id", "i", "x", F.posexplode(formats).alias("j", "z"))
+    rows = rows.select(((F.col("id") * len(CONTEXTS) + F.col("i")) * len(FORMATS) + F.col("j")).alias("k"), "x", "z")
+    name = F.concat(F.substring(F.md5(F.concat(F.col("k").cast("string"), F.lit("n"))), 1, 5), F.lit("x"))
     host = F.get(F.array(*[F.lit(h) for h in ("example", "home", "mail7", "night", "work-site", "acme")]), pick("h", 0, 5).cast("int"))
     fill = {"n": name, "h": host, "w": pick("w", 1000, 9999)} | {c: pick(c, 0, 255) for c in "abcd"} | {c: pick(c, 200, 989) for c in "xyz"}
-    fill |= {f"{k}{m}": card(k == "v", m) for k in "vf" for m in ("", ".", "/", "_", "-")}
+    fill |= {f"{k}{m}": card(k == "v", m) for k in "vf" for m in ("", ".", "/", "_", "-", " ")}
+    text = F.concat(F.col("x.b"), F.col("z.f"), F.col("x.a"))
     for k, v in fill.items():
         text = F.replace(text, F.lit("{" + k + "}"), v.cast("string"))
-    label = F.get(F.array(*[F.lit(y) for _, _, y in EXAMPLES]), which)
-    kind = F.get(F.array(*[F.lit(k) for _, k, _ in EXAMPLES]), which)
-    return spark.range(n).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("t"), text.alias("text"), kind.alias("about"), label.alias("label"))
+    label = F.when(F.col("z.y") == 0, 0).when(F.col("z.y") == 1, (F.col("x.c") >= 0).cast("int")).otherwise((F.col("x.c") > 0).cast("int"))
+    return rows.select("k", F.lit(0).cast("long").alias("t"), text.alias("text"), F.col("x.p").alias("part"), F.col("z.k").alias("about"), label.alias("label"))
+
+
+def example_candidates(spark: SparkSession, draws: int = 6) -> DataFrame:
+    """The examples' candidates of the kind they are about that no valid base match overlaps: k, part, FEATURES, start, end and label.
+
+    Of a personal example the widest candidate is personal. A valid card within a longer run of digits always is, as the base pattern has it for one
+    that stands alone.
+    """
+    texts = examples(spark, draws)
+    rows = _described(candidates(texts.select("k", "t", "text"))).where(~F.col("base") & F.col("clear")).join(texts.select("k", "part", "about", "label"), "k").where("kind = about")
+    long = F.col("end") - F.col("start")
+    card = F.col("gen").isin(8, 9) & (F.col("valid") == 1)
+    widest = F.max(F.when(F.col("wide"), long)).over(Window.partitionBy("k"))
+    right = (F.col("label") == 1) & F.col("wide") & (long == widest) & ((F.col("kind") != 2) | (F.col("valid") == 1))
+    label = F.when(card | right, 1).otherwise(0)
+    return rows.select("k", "part", *[F.col(f"`{f}`").cast("int") for f in FEATURES], "start", "end", label.alias("label"))
 
 
 def _grow(rows: list[tuple[tuple[int, ...], float, float]], depth: int, least: int = 8) -> float | tuple:
@@ -189,12 +238,9 @@ def _sql(tree: float | tuple) -> str:
 
 
 class Booster:
-    """The trees, and for each kind the lowest score at which at least ``precision`` of the examples kept out were personal."""
+    """The trees, fitted to ``fit`` rows (features, label), and for each kind the lowest score at which at least ``precision`` of the ``kept`` ones were personal."""
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], int]], rounds: int = 40, depth: int = 3, rate: float = 0.3, precision: float = 0.98):
-        draw = random.Random(7)
-        aside = [draw.random() < 1 / 3 for _ in rows]
-        fit, kept = ([r for r, a in zip(rows, aside) if a is out] for out in (False, True))
+    def __init__(self, fit: list[tuple[tuple[int, ...], int]], kept: list[tuple[tuple[int, ...], int]], rounds: int = 60, depth: int = 4, rate: float = 0.3, precision: float = 0.97):
         counts: dict[tuple[tuple[int, ...], int], int] = {}
         for x, y in fit:  # equal rows are one row that weighs more
             counts[x, y] = counts.get((x, y), 0) + 1
@@ -207,7 +253,7 @@ class Booster:
         self.thresholds = []
         for kind in range(len(KINDS)):
             scored = sorted(((self.score(x), y) for x, y in kept if x[0] == kind), reverse=True)
-            at, right = 0.5, 0
+            at, right = 1.0, 0
             for n, (s, y) in enumerate(scored, 1):
                 right += y
                 last_of_ties = n == len(scored) or scored[n][0] < s
@@ -228,18 +274,16 @@ class Booster:
 _trained: dict[int, Booster] = {}
 
 
-def train(spark: SparkSession, n: int = 1200) -> Booster:
-    """Trees from n made-up examples, whose candidates go through the same expressions as those of documents. Their few features reach the driver.
+def train(spark: SparkSession, draws: int = 6) -> Booster:
+    """Trees from made-up examples, whose candidates go through the same expressions as those of documents. Their few features reach the driver.
 
     The examples are the same every time, so the trees are kept for the process.
     """
-    if n in _trained:
-        return _trained[n]
-    texts = _examples(spark, n)
-    rows = _described(candidates(texts.select("k", "t", "text"))).where(~F.col("base") & F.col("clear")).join(texts.select("k", "about", "label"), "k").where("kind = about")
-    rows = rows.withColumn("widest", F.max(F.col("end") - F.col("start")).over(Window.partitionBy("k"))).where(F.col("end") - F.col("start") == F.col("widest"))
-    got = rows.orderBy("k", "start", "gen").select(*[F.col(f"`{f}`").cast("int") for f in FEATURES], "label").collect()
-    return _trained.setdefault(n, Booster([(tuple(r)[:-1], r[-1]) for r in got]))
+    if draws in _trained:
+        return _trained[draws]
+    got = example_candidates(spark, draws).where(F.col("part") != MEASURE).groupBy("part", *FEATURES, "label").agg(F.count("*").alias("n")).collect()
+    rows = {part: sorted((tuple(r[f] for f in FEATURES), r["label"]) for r in got if r["part"] == part for _ in range(r["n"])) for part in (FIT, THRESHOLDS)}
+    return _trained.setdefault(draws, Booster(rows[FIT], rows[THRESHOLDS]))
 
 
 def pii_spans(df: DataFrame, text: str = "text", key: str = "doc_id", booster: Booster | None = None) -> DataFrame:

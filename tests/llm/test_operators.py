@@ -298,6 +298,19 @@ def test_pii(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_beyond_the_base(spark):
+    """What the trees add, in contexts that neither they nor the thresholds have seen; base spans overlap none of it."""
+    booster = pii.train(spark)
+    rows = pii.example_candidates(spark).where(F.col("part") == pii.MEASURE).collect()
+    for kind in range(4):
+        own = [(booster.score(tuple(r[f] for f in pii.FEATURES)) >= booster.thresholds[kind], r.label) for r in rows if r.kind == kind]
+        right = sum(a and y for a, y in own)
+        assert right >= 0.9 * sum(a for a, _ in own) > 0 and right >= 0.75 * sum(y for _, y in own), (kind, right, sum(a for a, _ in own), sum(y for _, y in own))
+    said = "cards 4111111111111111 5500005555555559 and +1 (555) 123-4567 4111111111111112 then 12 and 2024"
+    got = pii.pii_spans(spark.createDataFrame([(1, said)], "doc_id long, text string")).collect()
+    assert {r.match for r in got} >= {"4111111111111111", "5500005555555559", "+1 (555) 123-4567"} and not {r.match for r in got} & {"12", "2024"}
+
+
 def test_quality(spark):
     draw = random.Random(6)
     words = [f"w{i}" for i in range(400)]
