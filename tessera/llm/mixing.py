@@ -107,8 +107,9 @@ RESULT = ("size", "source_size", "target", "copies", "taken")
 
 def _mixed(rows: DataFrame, plan: DataFrame, source: str, text: str, key: str, seed: str) -> DataFrame:
     """The rows beside their results, under names that begin with _mix_."""
-    rows = rows.join(plan, F.col(source).eqNullSafe(F.col("_mix_src"))).withColumn("_mix_size", n_words(text))
-    rows = rows.withColumn("_mix_rank", _rank(unit_hash(key, salt=seed), F.col("_mix_p"), F.col("_mix_size"), F.col("_mix_mean")))
+    # sizes and draws below the join, so that they aren't worked out again wherever the rank is named
+    rows = rows.withColumns({"_mix_size": n_words(text), "_mix_u": unit_hash(key, salt=seed)}).join(plan, F.col(source).eqNullSafe(F.col("_mix_src")))
+    rows = rows.withColumn("_mix_rank", _rank(F.col("_mix_u"), F.col("_mix_p"), F.col("_mix_size"), F.col("_mix_mean")))
     rows = rows.withColumn("_mix_bin", F.floor(F.col("_mix_rank") / (1 + F.col("_mix_rank")) * BINS))
     here = F.struct(F.col("_mix_rank").alias("rank"), F.col(key).alias("k"), F.col("_mix_size").alias("size"))
     sampled = F.when(F.col("_mix_rank").isNull() | (F.col("_mix_rest") <= 0), False).when(F.col("_mix_cut_bin").isNull() | (F.col("_mix_bin") < F.col("_mix_cut_bin")), True)
