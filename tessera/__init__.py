@@ -13,7 +13,7 @@ from .functions.codecs import Codec, Dec, Float, Int, Json, Short, Text, Url
 from .operators import ddl
 from .operators.mutations import Delete, Insert, Update, Upsert, excluded
 from .plans.expr import approx_distinct_of, avg_of, count_all, count_distinct_of, count_of, exists, max_of, min_of, outer, raw, sum_of
-from .plans.query import query, row_number
+from .plans.query import over, query, row_number, scalar
 from .plans.schema import Table, column, foreign_key, index, unique
 from .sources.store import Store
 from .sources.tables import Catalog, Files, Frames, Jdbc, Stream

@@ -15,13 +15,14 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import DecodingFailure, ReturnedNothing, StatementTimeout, Unsupported, classify, is_retryable
+from .errors import DecodingFailure, InvalidStatement, ReturnedNothing, StatementTimeout, Unsupported, classify, is_retryable
 from .operators.mutations import Delete, Insert, Update
+from .operators.rawdml import RawChange, is_change
 from .plans.query import Query, query
 from .plans.schema import Table
 from .sources.store import Store
 from .sources.tables import Source
-from .sqltext import literal
+from .sqltext import Fragment, literal
 from .streaming.results import Page, Rows, pages
 
 log = logging.getLogger("tessera")
@@ -68,9 +69,13 @@ class Database:
 
     # results
 
-    def all(self, statement: Any, into: type[Table] | None = None) -> list[Any]:
+    def rows(self, statement: Any) -> list[Any]:
+        """All rows as Spark gives them."""
         df = self.df(statement)
-        return [self._decoded(r, into) for r in self._run(df.collect, statement)]
+        return self._run(df.collect, statement)
+
+    def all(self, statement: Any, into: type[Table] | None = None) -> list[Any]:
+        return [self._decoded(r, into) for r in self.rows(statement)]
 
     def one(self, statement: Any, into: type[Table] | None = None) -> Any | None:
         """The first row or None; further rows are no fault."""
@@ -90,9 +95,11 @@ class Database:
         return [tuple(r) for r in self._run(df.collect, statement)]
 
     def stream(self, statement: Any, into: type[Table] | None = None) -> Rows:
-        """Rows as they are asked for; Spark keeps one partition at a time on the driver."""
-        df = self.df(statement)
-        return Rows(df.toLocalIterator(prefetchPartitions=False), lambda r: self._decoded(r, into))
+        """Rows as they are asked for; Spark keeps one partition at a time on the driver.
+
+        From the first row to the last, or until it is closed, a stream is one statement: its time counts, and it takes up a permit.
+        """
+        return Rows(self._pulled(self.df(statement), statement), lambda r: self._decoded(r, into))
 
     def pages(self, q: Query, key: Any, size: int, after: Any = None, into: type[Table] | None = None) -> Iterator[Page]:
         return pages(self, q, key, size, after, into)
@@ -134,7 +141,11 @@ class Database:
         return rows[0]
 
     def _changed(self, change: Any) -> DataFrame:
-        """A statement of several tables' changes (foreign keys) takes effect whole or not at all."""
+        """A statement of several tables' changes (foreign keys) takes effect whole or not at all. Raw statements are changes too."""
+        if isinstance(change, Fragment):
+            if not is_change(change):
+                raise InvalidStatement(["raw SQL that changes a table begins with insert, update, delete, truncate, create table or drop table"])
+            change = RawChange(change)
         if self.store.staged is not None:
             return change.run(self)
         with self.transaction():
@@ -172,27 +183,50 @@ class Database:
             _limit.reset(token)
 
     def _run(self, action: Callable[[], Any], statement: Any) -> Any:
+        with self._limited(statement) as own, own():
+            return action()
+
+    def _pulled(self, df: DataFrame, statement: Any) -> Iterator[Any]:
+        with self._limited(statement) as own:
+            with own():  # the thread that serves the rows takes over the tag
+                rows = df.toLocalIterator(prefetchPartitions=False)
+            yield from rows
+
+    @contextlib.contextmanager
+    def _limited(self, statement: Any) -> Iterator[Callable[[], Any]]:
+        """A permit and the time limit for a block, and its failures as typed ones. Jobs that may be stopped start in the context that it gives."""
         limit = _limit.get() if _limit.get() is not None else self.timeout
         limit = None if limit is None or math.isinf(limit) else max(1, math.ceil(limit))
-        tag, sc, late = f"tessera-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
+        tag, sc, late, done = f"tessera-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event(), threading.Event()
 
         def stop() -> None:
             late.set()
+            sc.cancelJobsWithTag(tag)
             while not done.wait(0.2):  # a job may start between two calls
                 sc.cancelJobsWithTag(tag)
 
-        done, old = threading.Event(), {}
-        timer = threading.Timer(limit, lambda: (sc.cancelJobsWithTag(tag), stop())) if limit else None
+        @contextlib.contextmanager
+        def own() -> Iterator[None]:
+            old = {k: self.spark.conf.get(k, None) for k in self.conf}
+            if limit:
+                sc.addJobTag(tag)
+            try:
+                for k, v in self.conf.items():
+                    self.spark.conf.set(k, v)
+                yield
+            finally:
+                if limit:
+                    sc.removeJobTag(tag)
+                for k, v in old.items():
+                    self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
+
+        timer = threading.Timer(limit, stop) if limit else None
         with self._permits:
-            for k, v in self.conf.items():
-                old[k] = self.spark.conf.get(k, None)
-                self.spark.conf.set(k, v)
             try:
                 if timer:
                     timer.daemon = True
-                    sc.addJobTag(tag)
                     timer.start()
-                return action()
+                yield own
             except Exception as e:
                 if late.is_set():
                     raise StatementTimeout(f"took more than {limit} s", repr(statement), "57014", e) from e
@@ -201,9 +235,6 @@ class Database:
                 done.set()
                 if timer:
                     timer.cancel()
-                    sc.removeJobTag(tag)
-                for k, v in old.items():
-                    self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
 
     def retrying(self, action: Callable[[], Any], times: int = 3, wait: float = 0.2) -> Any:
         """Tries an action again, after growing waits, as long as its failure is a retryable one."""

@@ -79,17 +79,20 @@ class Insert:
 
     def run(self, db: Any) -> DataFrame:
         v = db.store.need(self.table._name)
-        rows = _incoming(db, self.table, v, self.rows, self.query)
-        files = db.store.write(self.table._name, rows, v.schema)
+        files = _incoming(db, self.table, v, self.rows, self.query)
         new = db.store.frame(v, files)
         check_rows(db, self.table, new, db.store.frame(v))
         db.store.publish(self.table._name, v.schema, v.files + files, v.rules)
         return new
 
 
-def _incoming(db: Any, table: type[Table], v: Version, rows: tuple[dict[str, Any], ...], query: Any) -> DataFrame:
-    """The rows with stored values, defaults and generated numbers."""
-    fields = list(table._fields.values())
+def _incoming(db: Any, table: type[Table], v: Version, rows: tuple[dict[str, Any], ...], query: Any) -> list[str]:
+    """New files of the rows with stored values, defaults and generated numbers.
+
+    Numbers go on from the largest there is. A row's place among the new ones is its place in its file after the rows of the files before,
+    so numbers have no gaps but for rows that bring their own.
+    """
+    fields, name = list(table._fields.values()), table._name
     if query is not None:
         df = query.lower(db, None)
         have = {c.lower() for c in df.columns}
@@ -104,17 +107,35 @@ def _incoming(db: Any, table: type[Table], v: Version, rows: tuple[dict[str, Any
             made.append(tuple(out))
         nullable = type(v.schema)([type(x)(x.name, x.dataType, True) for x in table.spark_schema()])
         df = db.spark.createDataFrame(made, nullable).coalesce(1)
-    for f in fields:
-        if f.generated:
-            last = db.store.frame(v).agg(F.max(f"`{f.label}`")).first()[0] or 0
-            df = df.withColumn(f.label, F.coalesce(F.col(f"`{f.label}`"), (F.monotonically_increasing_id() + last + 1).cast(f.codec.stored)))
-    return df
+    generated = [f for f in fields if f.generated]
+    files = db.store.write(name, df, v.schema)
+    if not generated or not files:
+        return files
+    last = db.store.frame(v).agg(*[F.max(f"`{f.label}`").alias(f.label) for f in generated]).first()
+    staged = db.store.frame(v, files).select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = sorted(tuple(r) for r in staged.groupBy("_file").count().collect())  # a row per file
+    before = [(n, sum(c for _, c in counts[:i])) for i, (n, _) in enumerate(counts)]
+    if len(before) == 1:  # rows from the driver keep their order
+        placed = staged.withColumn("_before", F.lit(0))
+    else:
+        placed = staged.join(db.spark.createDataFrame(before, "_file string, _before long"), "_file")
+    for f in generated:
+        number = F.col("_before") + F.col("_row") + (last[f.label] or 0) + 1
+        placed = placed.withColumn(f.label, F.coalesce(F.col(f"`{f.label}`"), number.cast(f.codec.stored)))
+    return db.store.write(name, placed, v.schema)
 
 
 def _default(f: Any) -> Column:
     return F.lit(None if f.default is MISSING else f.codec.put(f.default))
 
 
+def _steady(rows: DataFrame) -> DataFrame:
+    """The rows a change is about, which it must find again whenever it asks for them."""
+    if not rows._jdf.queryExecution().analyzed().deterministic():
+        raise InvalidStatement(["a change's condition gives a row the same answer each time; random values don't"])
+    return rows
+
+
 class _Filtered:
     """Statements that must say which rows they mean: by ``where`` (all conditions hold) or by ``all()``."""
 
@@ -156,7 +177,7 @@ class Update(_Filtered):
             raise InvalidStatement(["an update sets at least one field"])
         v = db.store.need(self.table._name)
         hit = self._predicate(db)
-        old = db.store.frame(v).where(hit)
+        old = _steady(db.store.frame(v).where(hit))
         touched = db.store.touched(v, old)
         env = _Env(db)
         new = {}
@@ -189,7 +210,7 @@ class Delete(_Filtered):
     def run(self, db: Any) -> DataFrame:
         v = db.store.need(self.table._name)
         hit = self._predicate(db)
-        gone = db.store.frame(v).where(hit)
+        gone = _steady(db.store.frame(v).where(hit))
         touched = db.store.touched(v, gone)
         if touched:
             files = db.store.write(self.table._name, db.store.frame(v, touched).where(~hit), v.schema)
@@ -244,7 +265,7 @@ class Upsert:
         _issues(self.condition)
         v, name = db.store.need(self.table._name), self.table._name
         raw = tuple({f.name: getattr(r, f.name) for f in self.table._fields.values()} for r in self.rows)
-        arrived = db.store.frame(v, db.store.write(name, _incoming(db, self.table, v, raw, self.query), v.schema))
+        arrived = db.store.frame(v, _incoming(db, self.table, v, raw, self.query))
         keys = [F.col(f"`{k}`") for k in self.keys]
         twice = arrived.where(reduce(lambda a, b: a & b, [k.isNotNull() for k in keys])).groupBy(*keys).count().where("count > 1")
         if not twice.isEmpty():
@@ -294,11 +315,15 @@ def check_rows(db: Any, table: type[Table], new: DataFrame, others: DataFrame) -
     found = new.agg(*nulls).first() if nulls else None
     if found and (bad := [c for c in required if found[c]]):
         raise ConstraintViolation(f"{table._name}: null in {', '.join(bad)}", state="23502")
-    for labels, among, name in uniques(table):
+    sets = [(labels, None if among is None else among.build(_Env(db)), name) for labels, among, name in uniques(table)]
+    known = {name for _, _, name in sets}
+    made = [i for i in db.store.need(table._name).rules["indexes"] if i["unique"] and i["name"] not in known]  # by create_index
+    sets += [(tuple(i["columns"]), F.expr(i["where"]) if i["where"] else None, i["name"]) for i in made]
+    for labels, among, name in sets:
         cols = [F.col(f"`{c}`") for c in labels]
         held = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
         if among is not None:
-            held = held & F.coalesce(among.build(_Env(db)), F.lit(False))
+            held = held & F.coalesce(among, F.lit(False))
         mine, theirs = new.where(held).select(*cols), others.where(held).select(*cols)
         if not mine.groupBy(*cols).count().where("count > 1").isEmpty() or not mine.join(theirs, list(labels), "left_semi").isEmpty():
             raise ConstraintViolation(f"{table._name}: {name} is not unique", state="23505")

@@ -87,8 +87,43 @@ class Scope:
         return self.db.literal(value)
 
 
+class _Outputs:
+    """Gives the columns of a distinct query's result, which its sorts are made of."""
+
+    def __init__(self, scope: Scope, names: dict[tuple[str, str], str]):
+        self.scope, self.names = scope, names
+
+    def __call__(self, source: Any, label: str) -> Column:
+        if (name := self.names.get((self.scope.alias(source), label))) is None:
+            raise InvalidStatement([f"a distinct query is sorted by what it selects, not by {label}"])
+        return F.col(f"`{name}`")
+
+
+def _unambiguous(columns: list[tuple[str, str]]) -> list[str]:
+    seen: dict[str, int] = {}
+    for _, label in columns:
+        seen[label.lower()] = seen.get(label.lower(), 0) + 1
+    return [c if seen[c.lower()] == 1 else f"{a}__{c}" for a, c in columns]
+
+
+class _SetOperations:
+    """Queries of equally many columns put together; what comes out is named as the first."""
+
+    def union(self, other: Any) -> Combined:
+        return Combined(self, other, "union")
+
+    def union_all(self, other: Any) -> Combined:
+        return Combined(self, other, "unionAll")
+
+    def intersect(self, other: Any) -> Combined:
+        return Combined(self, other, "intersect")
+
+    def except_(self, other: Any) -> Combined:
+        return Combined(self, other, "exceptDistinct")
+
+
 @dataclasses.dataclass(frozen=True, eq=False)
-class Query:
+class Query(_SetOperations):
     source: Any
     joins: tuple[Join, ...] = ()
     predicates: tuple[Predicate, ...] = ()
@@ -229,9 +264,10 @@ class Query:
         self.validate()
         df, scope, columns = self._rows(db, around)
         outputs = self._outputs(scope, columns)
-        sorts = [s.column(scope) for s in (*self.sorts, *(s.order() for s in self.seeks))]
+        sorts = [] if self.unique else [s.column(scope) for s in (*self.sorts, *(s.order() for s in self.seeks))]
         if self.unique:
-            df, sorts = df.select(*outputs).distinct(), [F.col(f"`{s.ref.label}`") if not s.descending else F.col(f"`{s.ref.label}`").desc_nulls_first() for s in self.sorts]
+            out = _Outputs(scope, self._output_names(scope, columns))
+            df, sorts = df.select(*outputs).distinct(), [s.column(out) for s in (*self.sorts, *(s.order() for s in self.seeks))]
         if sorts:
             df = df.orderBy(*sorts)
         if self.skip:
@@ -240,6 +276,20 @@ class Query:
             df = df.limit(self.most)
         return df if self.unique else df.select(*outputs)
 
+    def _output_names(self, scope: Scope, columns: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+        """What each source's columns are called in the result, as far as they are in it."""
+        if self.result is not None:
+            labels = {f.label.lower(): f.label for f in self.result._fields.values()}
+            return {(a, c): labels[c.lower()] for a, c in reversed(columns) if c.lower() in labels}
+        if self.columns is None:
+            return {(a, c): out for (a, c), out in zip(columns, _unambiguous(columns))}
+        out = {}
+        for c in map(_named, self.columns):
+            of = c.what if isinstance(c, _Named) else c
+            if hasattr(of, "occurrence"):
+                out[scope.alias(of.occurrence), of.label] = c.label
+        return out
+
     def _outputs(self, scope: Scope, columns: list[tuple[str, str]]) -> list[Column]:
         if self.result is not None:
             have = {label.lower(): (alias, label) for alias, label in reversed(columns)}
@@ -248,11 +298,8 @@ class Query:
                 raise TypeError(f"the query has no {', '.join(missing)}")
             return [F.col("`{}`.`{}`".format(*have[f.label.lower()])).alias(f.label) for f in self.result._fields.values()]
         if self.columns is None:
-            seen: dict[str, int] = {}
-            for _, label in columns:
-                seen[label.lower()] = seen.get(label.lower(), 0) + 1
-            return [F.col(f"`{a}`.`{c}`").alias(c if seen[c.lower()] == 1 else f"{a}__{c}") for a, c in columns]
-        return [c.column(scope).alias(c.label) if isinstance(c, Operand) and not isinstance(c, _Named) else c.column(scope).alias(c.label) for c in map(_named, self.columns)]
+            return [F.col(f"`{a}`.`{c}`").alias(out) for (a, c), out in zip(columns, _unambiguous(columns))]
+        return [c.column(scope).alias(c.label) for c in map(_named, self.columns)]
 
     # aggregates: conditions and joins count, sorts don't, limits and seeks are refused
 
@@ -280,13 +327,51 @@ def _named(c: Any) -> Any:
     return c if isinstance(c, Operand) else _Named("value", c)
 
 
+@dataclasses.dataclass(frozen=True, eq=False)
+class Combined(_SetOperations):
+    left: Any
+    right: Any
+    how: str
+
+    def all_issues(self) -> tuple[str, ...]:
+        return self.left.all_issues() + self.right.all_issues()
+
+    def validate(self) -> None:
+        if issues := self.all_issues():
+            raise InvalidStatement(list(issues), repr(self))
+
+    def lower(self, db: Any, around: Scope | None = None) -> DataFrame:
+        self.validate()
+        a, b = self.left.lower(db, around), self.right.lower(db, around)
+        if len(a.columns) != len(b.columns):
+            raise InvalidStatement([f"{len(a.columns)} columns against {len(b.columns)}"])
+        if self.how == "exceptDistinct":
+            return a.subtract(b)
+        return a.intersect(b) if self.how == "intersect" else a.unionAll(b) if self.how == "unionAll" else a.unionAll(b).distinct()
+
+    def single_type(self) -> DataType | None:
+        return self.left.single_type()
+
+    def as_table(self, alias: str) -> Derived:
+        return Derived(self, identifier(alias))
+
+
 @dataclasses.dataclass(frozen=True, eq=False)
 class Grouping:
+    """Groups by fields; ``rollup`` and ``cube`` add the totals of fewer of them, in which the others are null."""
+
     query: Query
     by: tuple[Operand, ...]
+    how: str = "groupBy"
+
+    def rollup(self) -> Grouping:
+        return dataclasses.replace(self, how="rollup")
+
+    def cube(self) -> Grouping:
+        return dataclasses.replace(self, how="cube")
 
     def agg(self, **named: Aggregate) -> Grouped:
-        return Grouped(self.query, self.by, named)
+        return Grouped(self.query, self.by, named, how=self.how)
 
 
 @dataclasses.dataclass(frozen=True, eq=False)
@@ -297,6 +382,7 @@ class Grouped:
     by: tuple[Operand, ...]
     named: dict[str, Aggregate]
     having_: Callable[[DataFrame], Column] | None = None
+    how: str = "groupBy"
 
     def having(self, condition: Callable[[DataFrame], Column]) -> Grouped:
         """A condition on the result's columns."""
@@ -315,7 +401,7 @@ class Grouped:
         self.validate()
         df, scope, _ = self.query._rows(db, around)
         made = [a.make(scope).alias(k) for k, a in self.named.items()]
-        out = df.groupBy(*[b.column(scope).alias(b.label) for b in self.by]).agg(*made) if self.by else df.agg(*made)
+        out = getattr(df, self.how)(*[b.column(scope).alias(b.label) for b in self.by]).agg(*made) if self.by else df.agg(*made)
         return out.where(self.having_(out)) if self.having_ else out
 
     def single_type(self) -> None:
@@ -326,9 +412,32 @@ class Grouped:
         return Derived(self, identifier(alias))
 
 
+def over(function: Column | Callable[[Scope], Column], partition_by: list[Operand], order_by: list[Sort]) -> Callable[[Scope], Column]:
+    """A value for ``select``: a window function (``F.rank()``, or of fields: ``lambda env: F.lag(T.x.column(env))``) over partitions in an order."""
+
+    def make(env: Scope) -> Column:
+        window = Window.partitionBy(*[p.column(env) for p in partition_by]).orderBy(*[s.column(env) for s in order_by])
+        return (function if isinstance(function, Column) else function(env)).over(window)
+
+    return make
+
+
 def row_number(partition_by: list[Operand], order_by: list[Sort]) -> Callable[[Scope], Column]:
     """A value for ``select``: the rows of each partition numbered in order, from 1."""
-    return lambda env: F.row_number().over(Window.partitionBy(*[p.column(env) for p in partition_by]).orderBy(*[s.column(env) for s in order_by]))
+    return over(lambda env: F.row_number(), partition_by, order_by)
+
+
+class _Scalar(Operand):
+    def __init__(self, query: Any):
+        self.query, self.dtype = query, query.single_type()
+
+    def column(self, env: Scope) -> Column:
+        return env.subquery(self.query).scalar()
+
+
+def scalar(query: Any) -> Operand:
+    """The one value of a query with one column, to be compared or selected; null if it has no row, an error if it has several."""
+    return _Scalar(query)
 
 
 def _source(source: Any) -> Any:

@@ -59,7 +59,7 @@ def pages(db: Any, query: Query, key: Operand, size: int, after: Any = None, int
     label, number = getattr(key, "label"), 0
     while True:
         part = query.seek_after(key, after) if after is not None else query.order_by(key.asc())
-        rows = db.df(part.limit(size)).collect()
+        rows = db.rows(part.limit(size))
         if not rows:
             return
         after = rows[-1][label]

@@ -6,8 +6,8 @@ from typing import Annotated
 
 import pytest
 
-from tessera import Database, Dec, Frames, Int, Json, Table, avg_of, column, count_all, exists, items, max_of, min_of, outer, query, raw, sum_of
-from tessera.errors import InvalidStatement
+from tessera import Database, Dec, Frames, Int, Json, Table, avg_of, column, count_all, exists, items, max_of, min_of, outer, query, raw, scalar, sum_of
+from tessera.errors import DataFailure, InvalidStatement
 from tessera.functions.text import similar_to_regex
 
 
@@ -115,6 +115,53 @@ def test_sort_limit_offset(db):
     assert names(query(Users).seek_before(Users.id, 3).limit(5)) == ["Bob", "Alice"]
 
 
+def test_distinct_keeps_its_sorts(db):
+    ages = lambda q: [r["age"] for r in db.all(q.select(Users.age).distinct())]
+    assert ages(query(Users).order_by(Users.age).all()) == [25, 28, 30, None] and ages(query(Users).order_by(Users.age.desc(nulls_first=False)).all()) == [30, 28, 25, None]
+    assert ages(query(Users).seek_before(Users.age, 30).limit(5)) == [28, 25]
+    named = query(Users).order_by(Users.age.asc(nulls_first=True)).all().select(years=Users.age).distinct()
+    assert [r["years"] for r in db.all(named)] == [None, 25, 28, 30]
+    with pytest.raises(InvalidStatement):
+        db.all(query(Users).order_by(Users.name).all().select(Users.age).distinct())
+    joined = query(Users).join(Orders, Users.id == Orders.user_id).order_by(Orders.id.desc()).all().distinct()
+    assert [r["orders_ref_1__id"] for r in db.all(joined)] == [3, 2, 1]
+
+
+def test_sets_scalars_and_totals(db):
+    a, b = query(Users).where(Users.id < 3).select(Users.id), query(Users).where(Users.id > 1).select(Users.id)
+    assert ids(db, a.union(b)) == [1, 2, 3, 4] and ids(db, a.union_all(b)) == [1, 2, 2, 3, 4] and ids(db, a.intersect(b)) == [2] and ids(db, a.except_(b)) == [1]
+    both = a.union(b).as_table("u")
+    assert ids(db, query(both).where(both.id > 2)) == [3, 4] and ids(db, query(Users).where(Users.id.in_query(a.intersect(b)))) == [2]
+    with pytest.raises(InvalidStatement):
+        db.all(a.union(query(Users).all()))
+    with pytest.raises(InvalidStatement):
+        db.all(a.union(query(Users).where(Users.id.in_([])).select(Users.id)))
+    assert ids(db, query(Users).where(Users.age == scalar(query(Users).all().aggregate(v=max_of(Users.age))))) == [1]
+    totals = db.all(query(Orders).all().group_by(Orders.status).rollup().agg(n=count_all))
+    assert {tuple(r) for r in totals} == {("paid", 2), ("open", 2), (None, 4)}
+
+
+def test_limits_hold_for_pages_and_streams(spark):
+    """A stream takes up its permit until it ends or is closed; faults come out typed."""
+    import threading
+
+    own = Database(spark, Frames({"users": spark.createDataFrame([(i, f"u{i}", i, None) for i in range(9)], Users.spark_schema())}), most_at_once=1)
+    rows = own.stream(query(Users).all())
+    next(rows)
+    got = []
+    other = threading.Thread(target=lambda: got.extend(own.all(query(Users).all())))
+    other.start()
+    other.join(1.5)
+    assert not got
+    rows.close()
+    other.join(30)
+    assert len(got) == 9
+    broken = query(Users).where(raw("cast(name as int) > 0"))
+    for pull in (lambda: list(own.stream(broken)), lambda: list(own.pages(broken, Users.id, 2))):
+        with pytest.raises(DataFailure):
+            pull()
+
+
 def test_builders_are_not_ready(db):
     for q in (query(Users), query(Users).order_by(Users.id), query(Users).offset(1), query(Users).join(Orders, Users.id == Orders.user_id)):
         with pytest.raises(TypeError):
