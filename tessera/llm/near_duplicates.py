@@ -2,8 +2,10 @@
 
 The SimHash search of ``simhash`` brings near texts together by the generalised pigeonhole principle. A fingerprint of 64 bits can't reach all
 pairs of a similarity of 0.8, whose fingerprints differ in ten bits on average, so texts that share a band of smallest shingle hashes meet as well.
-What meets is screened by sizes and by a sketch of one bit for each smallest hash. Proposed pairs are verified one by one on whole shingle
-sets, and groups are connected over verified links alone, so that chance candidates never merge anything.
+What meets is screened by sizes and by a sketch of one bit for each smallest hash; of what passes, a spanning forest is put out, likely
+links first. Its pairs are verified one by one on whole shingle sets. Where pairs that pass hold texts together that verified links don't, the
+rest of their pairs is verified as well, in cells of bounded size. Groups are connected over verified links alone, so that chance
+candidates never merge anything.
 """
 
 from __future__ import annotations
@@ -86,12 +88,12 @@ def sketch_limits(similarity: float, n: int) -> tuple[int, int]:
 
 
 def propose(table: pa.Table, similarity: float, most: int, sure: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of cells (band, i, j), rows sorted by them, as band, a, b and ``sure``.
+    """A spanning forest of the candidate pairs of each cell (band, i, j), rows sorted by them, as a and b.
 
-    Pairs of one label, of sizes too far apart, or of more than ``most`` differing sketch bits are none. Of those with at most ``sure`` a
-    spanning forest is put out, of the others all that lie between its sets. A cell with i <> j compares its shards' rows with each other only.
+    Pairs of sizes too far apart, or of more than ``most`` differing sketch bits, are no candidates; those of at most ``sure`` come first. A cell with
+    i <> j compares its shards' rows with each other only.
     """
-    band, i, j, own, node, n, label = (table[c].to_numpy() for c in ("band", "i", "j", "own", "node", "n", "label"))
+    band, i, j, own, node, n = (table[c].to_numpy() for c in ("band", "i", "j", "own", "node", "n"))
     words = [table[c].to_numpy().view(np.uint64) for c in table.column_names if re.fullmatch(r"s\d+", c)]
     fresh = np.concatenate([[True], (band[1:] != band[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
     start = np.flatnonzero(fresh)
@@ -100,65 +102,87 @@ def propose(table: pa.Table, similarity: float, most: int, sure: int) -> Iterato
 
     def far(p: np.ndarray | int, q: np.ndarray | slice) -> np.ndarray:
         """Differing bits; more than ``most`` for what is no candidate."""
-        d = np.bitwise_count(words[0][p] ^ words[0][q]).astype(np.int16)
-        for w in words[1:]:
-            d += np.bitwise_count(w[p] ^ w[q])
-        less, more = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-        bad = (label[p] == label[q]) | (node[p] == node[q]) | (less < similarity * more) | (apart[p] & (own[p] == own[q]))
-        d[bad] = most + 1
+        d = differing(words, p, q, n, similarity, most)
+        d[(node[p] == node[q]) | (apart[p] & (own[p] == own[q]))] = most + 1
         return d
 
-    def put(p: np.ndarray, q: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        columns = (band[p], np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), d <= sure)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "a", "b", "sure"])
+    def put(p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[p], node[q])), pa.array(np.maximum(node[p], node[q]))], names=["a", "b"])
 
     size = ends - start
     small = np.flatnonzero((size > 1) & (size <= 64))
     pairs = np.cumsum(size[small] * (size[small] - 1) // 2)
     blocks = np.split(small, np.searchsorted(pairs, np.arange(1_000_000, pairs[-1], 1_000_000))) if len(small) else ()
     for cells in blocks:  # all pairs of small cells at once: each row with those before it in its cell
-        rows = np.repeat(start[cells], size[cells]) + np.concatenate([np.arange(k) for k in size[cells]])
         before = np.concatenate([np.arange(k) for k in size[cells]])
-        p = np.repeat(rows, before)
+        p = np.repeat(np.repeat(start[cells], size[cells]) + before, before)
         q = p - 1 - (np.arange(len(p)) - np.repeat(np.cumsum(before) - before, before))
         d = far(p, q)
         near = np.flatnonzero(d <= most)
         near = near[np.argsort(d[near] > sure, kind="stable")]
-        p, q, d = p[near], q[near], d[near]
+        p, q = p[near], q[near]
         up: dict[int, int] = {}
         kept = []
-        for at, (x, y, z) in enumerate(zip(p.tolist(), q.tolist(), (d <= sure).tolist())):
+        for at, (x, y) in enumerate(zip(p.tolist(), q.tolist())):
             rx, ry = _root(up, x), _root(up, y)
             if rx != ry:
+                up[max(rx, ry)] = min(rx, ry)
                 kept.append(at)
-                if z:
-                    up[max(rx, ry)] = min(rx, ry)
         if kept:
-            yield put(p[kept], q[kept], d[kept])
+            yield put(p[kept], q[kept])
     for lo, hi in ((start[c], ends[c]) for c in np.flatnonzero(size > 64)):
         sets = np.arange(hi - lo)
-        for p in range(lo + 1, hi) if sure >= 0 else ():
-            at = np.flatnonzero(far(p, slice(lo, p)) <= sure)[::-1]  # the latest first, so that no row becomes a hub
-            at = at[sets[at] != sets[p - lo]]
-            if len(at) and len(tied := lo + np.array(_tied(sets, p - lo, at), np.int64)):
-                yield put(np.full(len(tied), p), tied, np.zeros(len(tied), np.int16))
-        for p in range(lo + 1, hi):
-            d = far(p, slice(lo, p))
-            at = np.flatnonzero((d > sure) & (d <= most) & (sets[: p - lo] != sets[p - lo]))
-            if len(at):
-                yield put(np.full(len(at), p), lo + at, d[at])
-
-
-def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, most: int = 20_000, text: str = "text", key: str = "doc_id") -> DataFrame:
+        for limit in (sure, most):
+            for p in range(lo + 1, hi):
+                at = np.flatnonzero(far(p, slice(lo, p)) <= limit)[::-1]  # the latest first, so that no row becomes a hub
+                at = at[sets[at] != sets[p - lo]]
+                if len(at):
+                    tied = lo + np.array(_tied(sets, p - lo, at), np.int64)
+                    yield put(np.full(len(tied), p), tied)
+
+
+def differing(words: list[np.ndarray], p: np.ndarray | int, q: np.ndarray | slice, n: np.ndarray, similarity: float, most: int) -> np.ndarray:
+    """Differing sketch bits of rows p and q; more than ``most`` where the sizes ``n`` rule the similarity out."""
+    d = np.bitwise_count(words[0][p] ^ words[0][q]).astype(np.int16)
+    for w in words[1:]:
+        d += np.bitwise_count(w[p] ^ w[q])
+    d[np.minimum(n[p], n[q]) < similarity * np.maximum(n[p], n[q])] = most + 1
+    return d
+
+
+def solve(table: pa.Table, similarity: float, most: int) -> pa.RecordBatch:
+    """Links, as a and b, that tie the labels of each cell (c, i, j) together; a label's rows are tied already.
+
+    Every pair of two labels that ``differing`` lets through is compared, unless links found before have tied them. A cell with i <> j compares its shards' rows
+    with each other only.
+    """
+    c, i, j, own, node, n, label = (table[x].to_numpy() for x in ("c", "i", "j", "own", "node", "n", "label"))
+    words = [table[x].to_numpy().view(np.uint64) for x in table.column_names if re.fullmatch(r"s\d+", x)]
+    sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+    start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+    a, b, label = [], [], label.copy()
+    for lo, hi in zip(start, np.append(start[1:], len(c))):
+        for x in range(lo, hi - 1):
+            rest = np.arange(x + 1, hi)
+            rest = rest[(label[rest] != label[x]) & ((i[lo] == j[lo]) | (own[rest] != own[x]))]
+            for y in rest[differing(words, x, rest, n, similarity, most) <= most]:
+                if label[x] != label[y] and alike(sets[x], sets[y], similarity):
+                    label[lo:hi][label[lo:hi] == label[y]] = label[x]
+                    a.append(node[x])
+                    b.append(node[y])
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, distance: int = 3, most: int = 20_000, most_sets: int = 1_000, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``k`` (the key as long), ``t`` (a hash of the text) and ``g``, its group; near duplicates share one.
 
     A link is a pair of texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similarity``; groups are connected over
     links. Pairs to verify come from SimHashes of the sets within ``distance`` bits, and from bands of smallest shingle hashes, of which there
     are so many that a pair of the wanted similarity shares none with a chance of at most 1e-5, of a higher one less, whatever the edit and
-    the text's length. Likely links of a band come as a spanning forest; where one of them turns out to be none, all pairs that its
-    band still holds apart are verified, so that no link is lost by it. Bands with more than ``most`` texts are cut into shards, any two of
-    which meet in a task of their own; this bounds a task and changes no result. Texts of equal words, letter case aside, are one
-    point whatever their number; texts without words are equal to one another. An empty table gives an empty result.
+    the text's length; a sketch rejects a link with a chance of 1e-8. Bands with more than ``most`` texts, and sets of texts yet to be told
+    apart with more than ``most_sets``, are cut into shards, any two of which meet in a task of their own; this bounds a task and
+    changes no result. Texts of equal words, letter case aside, are one point whatever their number; texts without words are equal to one
+    another. An empty table gives an empty result.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -201,61 +225,68 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
     frequent = scratch.save(met.groupBy("band").agg(F.count("*").alias("c")).where(F.col("c") > most), "frequent")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def proposed(rows: DataFrame, sure: int) -> DataFrame:
-        """band, a, b, sure from rows of ``met`` with a ``label``."""
-
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups(batches, ["band", "i", "j"], 50_000):
-                yield from propose(table, similarity, limit, sure)
-
-        shards = F.coalesce(F.ceil(F.col("c") / most), F.lit(1)).cast("int")
-        cells = rows.join(frequent, "band", "left").withColumn("own", F.pmod(F.xxhash64("node"), shards).cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), shards - 1)))
-        cells = cells.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        cells = cells.select("band", "i", "j", "own", "node", "n", "label", *sketches).repartition(tasks, "band", "i", "j")
-        return cells.sortWithinPartitions("band", "i", "j", "node").mapInArrow(run, "band long, a long, b long, sure boolean")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Distinct pairs (a, b) with ``link``, whether they are one: both sets travel to the pair."""
-
-        def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sets = [shingle_set(words_of(x), size).tobytes() for x in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["e", "set"])
-
-        def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in (2, 3))
-                links = [alike(p, q, similarity) for p, q in zip(x, y)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(links, pa.bool_())], names=["a", "b", "link"])
-
-        ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
-        wanted = points.join(ends, "e", "left_semi").select("e", F.coalesce("k", F.lit(_LEAST)).alias("wk"), F.col("k").isNull().alias("none"), F.col("t").alias("wt"))
-        same = (F.coalesce("k", F.lit(_LEAST)) == F.col("wk")) & (F.col("k").isNull() == F.col("none")) & (F.col("t") == F.col("wt"))
-        # equal rows of a table give one set
-        sets = scratch.save(texts.join(wanted, same).select("e", "text").mapInArrow(shingles, "e long, set binary").dropDuplicates(["e"]), f"sets_{name}")
-        both = pairs.join(sets.select(F.col("e").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("set").alias("y")), "b")
-        out = scratch.save(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, link boolean"), f"verified_{name}")
-        scratch.drop(sets)
-        return out
-
-    first = scratch.save(proposed(met.withColumn("label", F.col("node")), sure), "proposed")
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["band", "i", "j"], 50_000):
+            yield from propose(table, similarity, limit, sure)
+
+    shards = F.coalesce(F.ceil(F.col("c") / most), F.lit(1)).cast("int")
+    cells = met.join(frequent, "band", "left").withColumn("own", F.pmod(F.xxhash64("node"), shards).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), shards - 1)))
+    cells = cells.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    cells = cells.select("band", "i", "j", "own", "node", "n", *sketches).repartition(tasks, "band", "i", "j")
+    forest = scratch.save(cells.sortWithinPartitions("band", "i", "j", "node").mapInArrow(meet, "a long, b long").distinct(), "forest")
     release(spark)
     near = hamming_forest(points.where("n > 0").select("fp", F.col("e").alias("node")), distance)
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = scratch.save(first.select("a", "b").unionByName(near).distinct(), "pairs")
+    pairs = scratch.save(forest.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+    release(spark)
+
+    def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(words_of(x), size).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["e", "set"])
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in (2, 3))
+            yield b.select(["a", "b"]).filter(pa.array([alike(p, q, similarity) for p, q in zip(x, y)], pa.bool_()))
+
+    ends = pairs.select(F.col("a").alias("e")).unionByName(pairs.select(F.col("b").alias("e"))).distinct()
+    wanted = points.join(ends, "e", "left_semi").select("e", F.coalesce("k", F.lit(_LEAST)).alias("wk"), F.col("k").isNull().alias("none"), F.col("t").alias("wt"))
+    same = (F.coalesce("k", F.lit(_LEAST)) == F.col("wk")) & (F.col("k").isNull() == F.col("none")) & (F.col("t") == F.col("wt"))
+    sets = scratch.save(texts.join(wanted, same).select("e", "text").mapInArrow(shingles, "e long, set binary").dropDuplicates(["e"]), "sets")
     release(spark)
-    known = verified(pairs, "first")
-    links = known.where("link").select("a", "b")
-    groups = scratch.save(components(links), "groups")
+    both = pairs.join(sets.select(F.col("e").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("e").alias("b"), F.col("set").alias("y")), "b")
+    links = scratch.save(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), "links")
     release(spark)
-    wrong = scratch.save(first.where("sure").join(known.where("not link"), ["a", "b"], "left_semi").select("band").distinct(), "wrong")
-    if not wrong.isEmpty():  # what these likely links kept apart
-        labelled = met.join(wrong, "band", "left_semi").join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        more = scratch.save(proposed(labelled, -1).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "more")
-        links = links.unionByName(verified(more, "more").where("link").select("a", "b"))
-        groups = components(links)
-    return signed.join(groups, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("component", "e").alias("g"))
+    labels = scratch.save(components(links).select("node", F.col("component").alias("label")), "labels")
+
+    # what the forest connects and links don't: of three texts or more, since the one pair of two is decided
+    held = components(forest).join(labels, "node", "left").select(F.col("component").alias("c"), "node", F.coalesce("label", "node").alias("label"))
+    held = scratch.save(held, "held")
+    counted = held.groupBy("c", "label").agg(F.count("*").alias("own_n"))
+    large = F.col("own_n") > most_sets // 2
+    few = counted.groupBy("c").agg(F.sum("own_n").alias("n"), F.count("*").alias("labels"), F.sum(F.when(large, 0).otherwise(F.col("own_n"))).alias("few")).where("n > 2 and labels > 1")
+    # a large label has shards to itself, small ones share some
+    open_ = held.join(counted.join(few, "c"), ["c", "label"])
+    alone = F.concat_ws("-", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), F.ceil(F.col("own_n") / most_sets)).cast("string"))
+    open_ = open_.withColumn("shard", F.when(large, alone).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.ceil(F.col("few") / most_sets)).cast("string"))))
+    open_ = scratch.save(open_.select("c", "node", "label", "shard", F.when(large, F.col("label")).alias("whole")), "open")
+    if not open_.isEmpty():
+        parts = open_.select("c", "shard", "whole").distinct()
+        x, y = (parts.select("c", F.col("shard").alias(s), F.col("whole").alias(f"w{s}")) for s in "ij")
+        apart = x.join(y, "c").where("i <= j and not coalesce(wi = wj, false)").select("c", "i", "j")
+        cells = apart.withColumn("shard", F.explode(F.array_distinct(F.array("i", "j")))).join(open_, ["c", "shard"]).withColumnRenamed("shard", "own")
+        cells = cells.join(points.select(F.col("e").alias("node"), "n", *sketches), "node").join(sets.withColumnRenamed("e", "node"), "node")
+        cells = cells.select("c", "i", "j", "own", "node", "label", "n", *sketches, "set").repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", "node")
+
+        def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in whole_groups(batches, ["c", "i", "j"], most_sets):
+                yield solve(table, similarity, limit)
+
+        found = scratch.save(cells.mapInArrow(tell, "a long, b long"), "found")
+        labels = components(links.unionByName(found)).select("node", F.col("component").alias("label"))
+    scratch.drop(sets)
+    return signed.join(labels, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("label", "e").alias("g"))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

@@ -125,7 +125,7 @@ def test_near_duplicates(spark):
     kept = near_duplicates.drop_near_duplicates(frame(spark, rows))
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 0, 1, 2, 3, 4, 5, 50, 60]
     assert kept.columns == ["doc_id", "text", "size", "source", "copies"]
-    pairs = near_duplicates.near_duplicate_groups(frame(spark, rows), most=2)  # components cut into shards
+    pairs = near_duplicates.near_duplicate_groups(frame(spark, rows), most=2, most_sets=2)  # bands and open sets cut into shards
     whole = near_duplicates.near_duplicate_groups(frame(spark, rows))
     split = lambda df: sorted(sorted(str(r.k) for r in rs) for rs in _by(df.collect()).values())
     assert split(pairs) == split(whole)
@@ -150,6 +150,25 @@ def test_near_duplicates_of_contiguous_edits(spark):
     assert len(set(got.values())) == len(set(want.values()))
 
 
+@pytest.mark.parametrize("most, most_sets", [(20_000, 1_000), (50, 20)])
+def test_near_duplicates_of_a_template(spark, most, most_sets):
+    """Texts of one template below the similarity, all of which are candidates, with chains of links among them."""
+    draw = random.Random(12)
+    base = [f"t{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for at in draw.sample(range(60), 3):
+            w[at] = f"x{i}-{at}"
+        texts += [w, w[:-1] + [f"y{i}"]] if i % 3 == 0 else [w]
+    texts += [base[:-1] + [f"z{i}"] for i in range(90)]  # one label of many texts
+    sets = [near_duplicates.shingle_set(w, 5) for w in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if near_duplicates.alike(sets[i], sets[j], 0.8)]
+    got = {r.k: r.g for r in near_duplicates.near_duplicate_groups(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), most=most, most_sets=most_sets).collect()}
+    want = grouped(range(len(texts)), links)
+    assert 20 < len(set(want.values())) and all(got[i] == got[j] for i, j in links) and len(set(got.values())) == len(set(want.values()))
+
+
 def test_bands_meet_at_the_similarity_they_are_for():
     draw = np.random.default_rng(4)
     one = 0
