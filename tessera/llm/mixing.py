@@ -121,5 +121,7 @@ def _mixed(rows: DataFrame, plan: DataFrame, source: str, text: str, key: str, s
 def mixed_rows(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, source: str = "source", text: str = "text", key: str = "doc_id", seed: str = "mix") -> DataFrame:
     """The mix itself: each row of ``df`` as many times as it is taken, with the columns of ``df``, whatever they are called."""
     plan = _plan_columns(df, weights, cap, source, text, key, seed)
-    rows = _mixed(df, plan, source, text, key, seed).where("_mix_copies > 0")
-    return rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = _mixed(df, plan, source, text, key, seed)
+    # a filter on the number of copies would move into the join, and its expression would make the generated code too large to be compiled
+    copies = F.explode_outer(F.array_repeat(F.lit(1), F.col("_mix_copies")))
+    return rows.withColumn("_mix_copy", copies).where("_mix_copy is not null").select(*[F.col(f"`{c}`") for c in df.columns])
