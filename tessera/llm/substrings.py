@@ -1,16 +1,18 @@
 """Substring dedup by prefix-partitioned suffix trees over word sequences.
 
 The suffixes are sparse: of every ``window`` words in a row the place whose ``GRAM``-word hash is smallest is an anchor, so that equal windows
-have their anchor at the same place. An anchor with the words around it, as far as windows have it for their anchor, is a stretch. Anchors
-that only one document has are left out. The stretches are dealt out by prefix: the anchor's own words, or, for an anchor with more than
-``most`` stretches, all words of each window. So each group fits in memory, is put in order there, and neighbours in that order that share
-``window`` words stand under one deep internal node of the group's suffix tree: the node's smallest document is where the window starts first.
+have their anchor at the same place. An anchor with the words around it, as far as windows have it for their anchor, is a stretch, and a
+window's suffix ends where its stretch does. Anchors that only one document has are left out. The stretches are dealt out by prefix: the
+anchor's own words, or, for an anchor with more than ``most`` stretches, all words of each window. So each group fits in memory and is put in
+order there. The common prefixes of neighbours in that order are the depths of the tree's internal nodes: suffixes that no depth below
+``window`` words parts stand under one deep node, and the node's smallest document is where their window starts first.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain, compress
 
 import numpy as np
@@ -26,25 +28,42 @@ _BLOCK = 1 << 15  # windows handled at once; a place in a block fits 16 bits
 _words = re.compile(WORD).findall
 
 
-class _Codes(dict):
-    """64-bit codes of words; those of at most ``most`` words are remembered."""
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LONG = 64  # bytes from which a word is hashed by itself
 
-    most = 400_000
 
-    def __missing__(self, word: str) -> int:
-        code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 40:
-            self[word] = code
-        return code
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[:1] = down[:1] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-_codes = _Codes()
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_codes.__getitem__, words), np.uint64, len(words))
+def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of all words of the texts, one text behind the other, and where each text's begin.
+
+    A word's code comes from sums over powers of a base along the bytes of all texts, so that no word is looked at by itself but long ones.
+    """
+    held = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = b"\n".join(held)
+    begin = np.cumsum([0] + [len(x) + 1 for x in held[:-1]]) if held else np.empty(0, np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
+    start, end = edge[::2], edge[1::2]
+    up, down = _powers(1 << max(20, len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=sums[1:])
+    codes = _stirred((sums[end] - sums[start]) * up[end - 1] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    for i in np.flatnonzero(end - start > _LONG):
+        codes[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]])
+    return codes, np.searchsorted(start, begin)
 
 
 def chunks(rows: Iterable[tuple], text: int, most: int = 1 << 20) -> Iterator[list[tuple]]:
@@ -73,8 +92,7 @@ def stretches(codes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.nd
     h = np.zeros(len(codes) - GRAM + 1, np.uint64)
     for j in range(GRAM):
         h = h * np.uint64(0x9FB21C651E98DF25) + codes[j : j + len(h)]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
+    h = _stirred(h)
     places = []
     for at in range(0, n, _BLOCK):
         here = min(_BLOCK, n - at)
@@ -101,13 +119,6 @@ def _rows(df: DataFrame, text: str, key: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(whole).alias("v"), whole.alias("text"))
 
 
-def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of all words of the texts, and where each text's begin."""
-    words = [_words(t) for t in texts]
-    n = np.fromiter(map(len, words), np.int64, len(words))
-    return word_codes(list(chain.from_iterable(words))), np.cumsum(n) - n
-
-
 def _shared_anchors(docs: DataFrame, window: int, most: int, scratch: Scratch) -> DataFrame:
     """doc, part -> at: the places of anchors that another document has too; -1 - place for anchors with more than ``most`` stretches.
 
@@ -118,7 +129,7 @@ def _shared_anchors(docs: DataFrame, window: int, most: int, scratch: Scratch) -
         for columns in column_batches(batches, "doc", "part", "text"):
             for rows in chunks(zip(*columns), 2):
                 doc, part, texts = zip(*rows)
-                codes, starts = _flat(texts)
+                codes, starts = word_codes(texts)
                 anchor, place, _, _, owner = stretches(codes, starts, window)
                 out = (anchor.view(np.int64), np.array(doc, np.int64)[owner], np.array(part, np.int16)[owner], (place - starts[owner]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["anchor", "doc", "part", "place"])
@@ -139,19 +150,15 @@ def _part() -> Column:
 
 _MADE = "content boolean, anchor long, low int, hash long, doc long, top long, v long, first int, n short, words binary"
 _MADE_TYPES = (pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
-_BASE = 0x9E3779B97F4A7C15
 _HELD = 150_000  # stretches of a task that are gathered before equal ones become one
 
 
 def _content_hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of codes, from sums over powers of a base modulo 2**64."""
-    up, down = np.full(len(codes), _BASE, np.uint64), np.full(len(codes), pow(_BASE, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
+    up, down = _powers(1 << max(20, len(codes).bit_length()))
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * np.multiply.accumulate(down), out=sums[1:])
-    h = (sums[start + size] - sums[start]) * np.multiply.accumulate(up)[start + size - 1] + size.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
+    np.cumsum(codes * down[: len(codes)], out=sums[1:])
+    return _stirred((sums[start + size] - sums[start]) * up[start + size - 1] + size.astype(np.uint64))
 
 
 def _stretch_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -187,7 +194,7 @@ def _stretch_rows(docs: DataFrame, window: int) -> DataFrame:
         for columns in column_batches(batches, "doc", "v", "text", "at"):
             for part in chunks(zip(*columns), 2):
                 doc, v, texts, ats = zip(*part)
-                own, starts = _flat(texts)
+                own, starts = word_codes(texts)
                 anchor, place, first, n, owner = stretches(own, starts, window)
                 at, whose = np.array(list(chain.from_iterable(ats)), np.int64), np.repeat(np.arange(len(ats)), list(map(len, ats)))
                 at, frequent = np.where(at < 0, -1 - at, at) + starts[whose], at < 0
@@ -232,13 +239,17 @@ def _trees(contents: DataFrame, window: int, partitions: int) -> DataFrame:
             begin = np.cumsum(size) - size
             owner = np.repeat(np.arange(len(at)), n[at])
             offset = np.arange(len(owner)) - np.repeat(np.cumsum(n[at]) - n[at], n[at])
-            suffix = np.empty((len(owner), window + 2), ">u4")  # the prefix group first, then the words
+            left = size[owner] - offset  # words from the suffix's place to the stretch's end
+            column = np.arange(left.max())
+            suffix = np.zeros((len(owner), 2 + len(column)), ">u4")  # the prefix group first, then the words
             suffix[:, :2] = anchor[at][owner].astype(">i8").view(">u4").reshape(-1, 2)
-            suffix[:, 2:] = flat[(begin[owner] + offset)[:, None] + np.arange(window)]
-            suffix = np.ascontiguousarray(suffix).view(f"V{4 * (window + 2)}").ravel()
-            ranks = np.argsort(suffix, kind="stable")
-            inside = suffix[ranks]
-            node = np.flatnonzero(np.concatenate([[True], inside[1:] != inside[:-1]]))
+            suffix[:, 2:] = np.where(column < left[:, None], flat[np.minimum((begin[owner] + offset)[:, None] + column, len(flat) - 1)], 0)
+            ranks = np.argsort(np.ascontiguousarray(suffix).view(f"V{4 * suffix.shape[1]}").ravel(), kind="stable")
+            # neighbours' common prefixes; where they have a window's words, both stand under one internal node of at least that depth
+            common = suffix[ranks[1:]] == suffix[ranks[:-1]]
+            depth = np.where(common.all(axis=1), common.shape[1], common.argmin(axis=1)) - 2
+            depth = np.minimum(depth, np.minimum(left[ranks[1:]], left[ranks[:-1]]))
+            node = np.flatnonzero(np.concatenate([[True], depth < window]))
             least = np.minimum.reduceat(lo[at][owner][ranks], node)
             first = np.empty(len(owner), np.int64)
             first[ranks] = np.repeat(least, np.diff(np.append(node, len(ranks))))
