@@ -253,6 +253,17 @@ def test_mixing(spark, texts):
     assert mixing.mix_sources(frame(spark, [])).count() == 0
 
 
+def test_mixing_in_few_bins(spark, monkeypatch):
+    """Few bins of either kind, so that cuts fall at their edges: the same documents as with many."""
+    draw = random.Random(2)
+    df = spark.createDataFrame([(i, "w " * draw.randint(0, 40), draw.choice("abcdef")) for i in range(300)], "doc_id long, text string, source string")
+    found = []
+    for bins in (2, 7, 4096):
+        monkeypatch.setattr(mixing, "BINS", bins)
+        found.append(sorted((r.doc_id, r.copies) for r in mixing.mix_sources(df).collect()))
+    assert found[0] == found[1] == found[2]
+
+
 def test_chances_differ_within_a_source(spark):
     """Documents of one source get their extra copy with chances that fall with their sizes, and the words come out right all the same."""
     rows = [(i, "w " * (10 if i % 2 else 160), "a" if i < 2000 else "b") for i in range(4000)]
