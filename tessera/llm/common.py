@@ -91,6 +91,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def few_files(df: DataFrame, rows: int, per_file: int) -> DataFrame:
+    """For tables that are written round by round: about ``per_file`` rows a file, and no more files than shuffle partitions, of which most may be empty."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(min(most, max(8, -(-rows // per_file))))
+
+
 def n_words(text: str | Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, few_files
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -32,9 +32,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     scratch = Scratch(links.sparkSession)
     held = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    mark = None
+    mark, size = None, held.count()
     for n in range(most_rounds):
-        after = scratch.save(_star(_star(held, True), False), f"round{n}")
+        after = scratch.save(few_files(_star(_star(held, True), False), size, 50_000), f"round{n}")
         scratch.drop(held)
         held = after
         seen = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

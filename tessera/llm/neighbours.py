@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, release, whole_groups
+from .common import Scratch, bounded_batches, few_files, release, whole_groups
 
 _LIST = "node long, ids array<bigint>, ds array<double>, fresh array<boolean>"
 
@@ -188,10 +188,10 @@ def nn_descent(points: DataFrame, k: int = 32, trees: int = 8, leaf: int = 250,
             yield pa.RecordBatch.from_arrays([b.column(0), _packed(b.column(1))[1]], names=["node", "h"])
 
     packed = scratch.save(points.select("node", "v").mapInArrow(pack, "node long, h binary"), "packed")
-    graph = scratch.save(_merged(_leaves(points, n, k, trees, leaf, parts), k), "leaves")
+    graph = scratch.save(few_files(_merged(_leaves(points, n, k, trees, leaf, parts), k), n, 500), "leaves")
     for i in range(rounds):
         known = graph.select("node", "ids", "ds", F.transform("ids", lambda _: F.lit(False)).alias("fresh"))
-        after = scratch.save(_merged(known.unionByName(_round(graph, packed, _kind(points), k, parts)), k), f"round{i}")
+        after = scratch.save(few_files(_merged(known.unionByName(_round(graph, packed, _kind(points), k, parts)), k), n, 500), f"round{i}")
         scratch.drop(graph)
         graph = after
         release(spark)
@@ -259,7 +259,8 @@ def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: in
                     c.append(x)
             yield states(*out)
 
-    state = scratch.save(queries.select("q", "v").mapInArrow(enter, state_type), "start")
+    asked = queries.count()
+    state = scratch.save(few_files(queries.select("q", "v").mapInArrow(enter, state_type), asked, 50), "start")
     for i in range(rounds):
         unseen = F.slice(F.filter(F.arrays_zip("ids", "done"), lambda x: ~x["done"]), 1, step)
         ask = state.select("q", F.explode(F.transform(unseen, lambda x: x["ids"])).alias("node"))
@@ -268,7 +269,8 @@ def greedy_search(points: DataFrame, graph: DataFrame, queries: DataFrame, k: in
         met = ask.join(around, "node").select("q", F.explode("near").alias("p")).distinct()
         new = met.join(state.select("q", F.explode("ids").alias("p")), ["q", "p"], "left_anti")  # vectors travel for these alone
         told = new.join(packed, "p").groupBy("q").agg(F.collect_list(F.struct("p", "h")).alias("found"))
-        after = scratch.save(state.join(told, "q", "left").select("q", "h", "ids", "ds", "done", "found").mapInArrow(expand, state_type), f"hop{i}")
+        after = state.join(told, "q", "left").select("q", "h", "ids", "ds", "done", "found").mapInArrow(expand, state_type)
+        after = scratch.save(few_files(after, asked, 50), f"hop{i}")
         scratch.drop(state)
         state = after
     near = state.select("q", F.explode("ids").alias("node")).join(points, "node").join(queries.select(F.col("q").alias("q2"), F.col("v").alias("qv")), F.col("q") == F.col("q2"))
