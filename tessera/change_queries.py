@@ -99,22 +99,54 @@ _register(
     "select distinct o_orderpriority as p, o_orderstatus from orders order by o_orderstatus desc nulls first, p limit 7",
     lambda: query(Orders).limit(7).select(Orders.o_orderstatus, p=Orders.o_orderpriority).distinct().order_by(Orders.o_orderstatus.desc(), Orders.o_orderpriority),
 )
-_register("distinct_seek", "select distinct o_custkey from orders where o_custkey < 700 order by o_custkey desc limit 9", lambda: query(Orders).seek_before(Orders.o_custkey, 700).limit(9).select(Orders.o_custkey).distinct())
+_register(
+    "distinct_seek",
+    "select distinct o_custkey from orders where o_custkey < 700 order by o_custkey desc limit 9",
+    lambda: query(Orders).seek_before(Orders.o_custkey, 700).limit(9).select(Orders.o_custkey).distinct(),
+)
 _register("select_all_as", "select n_name from nation", lambda: query(Nation).all().select_all(Short))
-_register("prebuilt_seek", "select * from nation where n_nationkey > 7 order by n_nationkey limit 5", lambda: query(Nation).seek(Nation.n_nationkey.after(7)).limit(5))
+_register(
+    "prebuilt_seek",
+    "select * from nation where n_nationkey > 7 order by n_nationkey limit 5",
+    lambda: query(Nation).seek(Nation.n_nationkey.after(7)).limit(5),
+)
 _register("where_blank", f"{_REST} < 4", lambda: query(Nation).where(Nation.n_nationkey < 4).all())
 _register("schema_qualified", "select n_nationkey, n_name from nation", lambda: query(Qualified).all())
-_register("typed_union", "select c_nationkey from customer union select n_nationkey from nation", lambda: query(Customer).all().select(Customer.c_nationkey).union(query(Nation).all().select(Nation.n_nationkey)))
-_register("typed_union_all", "select n_nationkey from nation union all select r_regionkey from region", lambda: query(Nation).all().select(Nation.n_nationkey).union_all(query(Region).all().select(Region.r_regionkey)))
-_register("typed_intersect", "select n_nationkey from nation intersect select r_regionkey from region", lambda: query(Nation).all().select(Nation.n_nationkey).intersect(query(Region).all().select(Region.r_regionkey)))
-_register("typed_except", "select n_nationkey from nation except select r_regionkey from region", lambda: query(Nation).all().select(Nation.n_nationkey).except_(query(Region).all().select(Region.r_regionkey)))
+_register(
+    "typed_union",
+    "select c_nationkey from customer union select n_nationkey from nation",
+    lambda: query(Customer).all().select(Customer.c_nationkey).union(query(Nation).all().select(Nation.n_nationkey)),
+)
+_register(
+    "typed_union_all",
+    "select n_nationkey from nation union all select r_regionkey from region",
+    lambda: query(Nation).all().select(Nation.n_nationkey).union_all(query(Region).all().select(Region.r_regionkey)),
+)
+_register(
+    "typed_intersect",
+    "select n_nationkey from nation intersect select r_regionkey from region",
+    lambda: query(Nation).all().select(Nation.n_nationkey).intersect(query(Region).all().select(Region.r_regionkey)),
+)
+_register(
+    "typed_except",
+    "select n_nationkey from nation except select r_regionkey from region",
+    lambda: query(Nation).all().select(Nation.n_nationkey).except_(query(Region).all().select(Region.r_regionkey)),
+)
 _register(
     "typed_scalar_sub",
     "select o_orderkey from orders where o_custkey = (select max(o_custkey) from orders)",
     lambda: query(Orders).where(Orders.o_custkey == scalar(query(Orders).all().aggregate(v=max_of(Orders.o_custkey)))).select(Orders.o_orderkey),
 )
-_register("typed_rollup", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup(o_orderstatus, o_orderpriority)", lambda: query(Orders).all().group_by(Orders.o_orderstatus, Orders.o_orderpriority).rollup().agg(n=count_all))
-_register("typed_cube", "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube(o_orderstatus, o_orderpriority)", lambda: query(Orders).all().group_by(Orders.o_orderstatus, Orders.o_orderpriority).cube().agg(n=count_all))
+_register(
+    "typed_rollup",
+    "select o_orderstatus, o_orderpriority, count(*) as n from orders group by rollup(o_orderstatus, o_orderpriority)",
+    lambda: query(Orders).all().group_by(Orders.o_orderstatus, Orders.o_orderpriority).rollup().agg(n=count_all),
+)
+_register(
+    "typed_cube",
+    "select o_orderstatus, o_orderpriority, count(*) as n from orders group by cube(o_orderstatus, o_orderpriority)",
+    lambda: query(Orders).all().group_by(Orders.o_orderstatus, Orders.o_orderpriority).cube().agg(n=count_all),
+)
 _register(
     "typed_windows",
     """select o_orderkey, cast(dense_rank() over (partition by o_custkey order by o_orderpriority) as bigint) as r,
@@ -137,11 +169,31 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 # results
 
 _reads("get_by_key", f"{_REST} = 7", Nation.spark_schema(), lambda db: [tuple(db.by_key(Nation, 7).stored().values())])
-_reads("first_row", "select n_nationkey from nation order by n_name desc limit 1", "n_nationkey int", lambda db: [tuple(db.one(query(Nation).order_by(Nation.n_name.desc()).all().select(Nation.n_nationkey)))])
-_reads("scalar_value", "select max(n_nationkey) as v, cast(null as int) as none from nation", "v int, none int", lambda db: [(db.value(query(Nation).all().aggregate(v=max_of(Nation.n_nationkey))), db.value(query(Nation).where(Nation.n_nationkey < 0)))])
+_reads(
+    "first_row",
+    "select n_nationkey from nation order by n_name desc limit 1",
+    "n_nationkey int",
+    lambda db: [tuple(db.one(query(Nation).order_by(Nation.n_name.desc()).all().select(Nation.n_nationkey)))],
+)
+_reads(
+    "scalar_value",
+    "select max(n_nationkey) as v, cast(null as int) as none from nation",
+    "v int, none int",
+    lambda db: [(db.value(query(Nation).all().aggregate(v=max_of(Nation.n_nationkey))), db.value(query(Nation).where(Nation.n_nationkey < 0)))],
+)
 _reads("tuples", "select r_regionkey, r_name from region", "r_regionkey int, r_name string", lambda db: db.tuples(query(Region).all(), 2))
-_reads("row_stream", "select n_nationkey from nation order by n_nationkey limit 8", "n_nationkey int", lambda db: [(r.n_nationkey,) for _, r in zip(range(8), db.stream(query(Nation).order_by(Nation.n_nationkey).all(), Nation))])
-_reads("seeking_stream", f"{_REST} > 3", Nation.spark_schema(), lambda db: [tuple(r.stored().values()) for r in db.seeking(query(Nation).all(), Nation.n_nationkey, 4, after=3, into=Nation)])
+_reads(
+    "row_stream",
+    "select n_nationkey from nation order by n_nationkey limit 8",
+    "n_nationkey int",
+    lambda db: [(r.n_nationkey,) for _, r in zip(range(8), db.stream(query(Nation).order_by(Nation.n_nationkey).all(), Nation))],
+)
+_reads(
+    "seeking_stream",
+    f"{_REST} > 3",
+    Nation.spark_schema(),
+    lambda db: [tuple(r.stored().values()) for r in db.seeking(query(Nation).all(), Nation.n_nationkey, 4, after=3, into=Nation)],
+)
 
 
 def _checkpoints(db: Database) -> list[tuple]:
@@ -182,7 +234,11 @@ def jdbc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(db.rows(query(Nation).where(Nation.n_nationkey > 20)), Nation.spark_schema())
 
 
-@_query("jdbc_verify", "select * from (values ('extra column', 'UPDATED'), ('missing index', 'n_regionkey'), ('nullability mismatch', 'n_regionkey'), ('type mismatch', 'n_name is int, not string')) t(kind, what)")
+@_query(
+    "jdbc_verify",
+    "select * from (values ('extra column', 'UPDATED'), ('missing index', 'n_regionkey'), ('nullability mismatch', 'n_regionkey'), ('type mismatch', "
+    "'n_name is int, not string')) t(kind, what)",
+)
 def jdbc_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declaration against the database's own catalog: key, unique constraint and foreign key agree, four other things don't."""
 
@@ -210,17 +266,35 @@ def catalog_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # changes
 
-_gives("insert_returning", "select 99 as n_nationkey, 'ADD' as n_name, 2 as n_regionkey", Nation.spark_schema(), lambda db: [tuple(r.stored().values()) for r in db.insert(_ADD)])
+_gives(
+    "insert_returning",
+    "select 99 as n_nationkey, 'ADD' as n_name, 2 as n_regionkey",
+    Nation.spark_schema(),
+    lambda db: [tuple(r.stored().values()) for r in db.insert(_ADD)],
+)
 _change("update_by_key", f"{_REST} <> 3 union all select 3, 'THREE', 4", lambda db: db.update(Nation(n_nationkey=3, n_name="THREE", n_regionkey=4)))
 _change(
     "update_expression",
     "select n_nationkey, case when n_nationkey > 20 then lower(n_name) else n_name end as n_name, case when n_nationkey > 20 then n_regionkey + 10 else n_regionkey end as n_regionkey from nation",
     lambda db: db.execute(Update(Nation).set(Nation.n_name, F.lower("n_name")).set(Nation.n_regionkey, F.col("n_regionkey") + 10).where(Nation.n_nationkey > 20)),
 )
-_gives("update_returning", "select n_nationkey, 'R' as n_name, n_regionkey from nation where n_regionkey = 2", Nation.spark_schema(), lambda db: db.returning(Update(Nation).set(Nation.n_name, "R").where(Nation.n_regionkey == 2)))
-_change("update_subquery", f"select n_nationkey, case when n_nationkey in (select min(n_nationkey) from nation) then 'LEAST' else n_name end as n_name, n_regionkey from nation", lambda db: db.execute(Update(Nation).set(Nation.n_name, "LEAST").where(Nation.n_nationkey.in_query(query(Nation).all().aggregate(v=min_of(Nation.n_nationkey))))))
+_gives(
+    "update_returning",
+    "select n_nationkey, 'R' as n_name, n_regionkey from nation where n_regionkey = 2",
+    Nation.spark_schema(),
+    lambda db: db.returning(Update(Nation).set(Nation.n_name, "R").where(Nation.n_regionkey == 2)),
+)
+_change(
+    "update_subquery",
+    f"select n_nationkey, case when n_nationkey in (select min(n_nationkey) from nation) then 'LEAST' else n_name end as n_name, n_regionkey from nation",
+    lambda db: db.execute(Update(Nation).set(Nation.n_name, "LEAST").where(Nation.n_nationkey.in_query(query(Nation).all().aggregate(v=min_of(Nation.n_nationkey))))),
+)
 _change("delete_by_key", f"{_REST} <> 11", lambda db: db.delete(Nation(n_nationkey=11, n_name="", n_regionkey=0)))
-_change("delete_group", f"{_REST} between 3 and 20 or n_name = 'JAPAN'", lambda db: db.execute(Delete(Nation).where((Nation.n_nationkey < 3).or_(Nation.n_nationkey > 20).and_(Nation.n_name != "JAPAN"))))
+_change(
+    "delete_group",
+    f"{_REST} between 3 and 20 or n_name = 'JAPAN'",
+    lambda db: db.execute(Delete(Nation).where((Nation.n_nationkey < 3).or_(Nation.n_nationkey > 20).and_(Nation.n_name != "JAPAN"))),
+)
 _gives("delete_all_returning", "select * from nation", Nation.spark_schema(), lambda db: db.returning(Delete(Nation).all()))
 _change(
     "upsert_and_or",
@@ -250,7 +324,12 @@ def _affected(db: Database) -> list[tuple]:
     ]
 
 
-_gives("affected_rows", "select * from (values ('insert', 2), ('update', 7), ('upsert nothing', 0), ('delete', 7), ('delete none', 0)) t(change, n)", "change string, n long", _affected)
+_gives(
+    "affected_rows",
+    "select * from (values ('insert', 2), ('update', 7), ('upsert nothing', 0), ('delete', 7), ('delete none', 0)) t(change, n)",
+    "change string, n long",
+    _affected,
+)
 
 
 @_query("generated_ids", "select count(*) as n, 1 as low, count(*) as high, count(*) as ids from customer")
@@ -262,9 +341,21 @@ def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.df(query(Named).all()).agg(F.count("*").alias("n"), F.min("id").cast("int").alias("low"), F.max("id").cast("long").alias("high"), F.count_distinct("id").alias("ids"))
 
 
-_change("raw_insert", f"{_REST} >= 0 union all select 99, 'it''s', 2 union all select 98, 'B', 1", lambda db: db.execute(sql("insert into {n} (n_regionkey, n_nationkey, n_name) values (2, 99, {x}), (1, 98, 'B')", n=Nation, x="it's")))
-_change("raw_insert_select", f"{_REST} >= 0 union all select n_nationkey + 100, n_name, n_regionkey from nation where n_regionkey = 1", lambda db: db.execute(sql("insert into nation select n_nationkey + 100, n_name, n_regionkey from nation where n_regionkey = {r}", r=1)))
-_change("raw_update", "select n_nationkey, case when n_regionkey = 1 then n_name || ', where' else n_name end as n_name, n_regionkey from nation", lambda db: db.execute(sql("update {n} set {n.n_name} = concat({n.n_name}, ', where') where {n.n_regionkey} = {r}", n=Nation, r=1)))
+_change(
+    "raw_insert",
+    f"{_REST} >= 0 union all select 99, 'it''s', 2 union all select 98, 'B', 1",
+    lambda db: db.execute(sql("insert into {n} (n_regionkey, n_nationkey, n_name) values (2, 99, {x}), (1, 98, 'B')", n=Nation, x="it's")),
+)
+_change(
+    "raw_insert_select",
+    f"{_REST} >= 0 union all select n_nationkey + 100, n_name, n_regionkey from nation where n_regionkey = 1",
+    lambda db: db.execute(sql("insert into nation select n_nationkey + 100, n_name, n_regionkey from nation where n_regionkey = {r}", r=1)),
+)
+_change(
+    "raw_update",
+    "select n_nationkey, case when n_regionkey = 1 then n_name || ', where' else n_name end as n_name, n_regionkey from nation",
+    lambda db: db.execute(sql("update {n} set {n.n_name} = concat({n.n_name}, ', where') where {n.n_regionkey} = {r}", n=Nation, r=1)),
+)
 _change("raw_delete", f"{_REST} >= 5", lambda db: db.execute(sql("delete from nation where nation.n_nationkey < {k}", k=5)))
 
 
@@ -312,7 +403,12 @@ def _refused(action: Callable[[], Any]) -> str:
     return "taken"
 
 
-@_query("constraints", "select * from (values ('foreign key', 'ConstraintViolation'), ('key', 'ConstraintViolation'), ('key missing', 'MissingKey'), ('null', 'ConstraintViolation'), ('partial index', 'ConstraintViolation'), ('outside it', 'taken'), ('random', 'InvalidStatement'), ('unique', 'ConstraintViolation')) t(what, outcome)")
+@_query(
+    "constraints",
+    "select * from (values ('foreign key', 'ConstraintViolation'), ('key', 'ConstraintViolation'), ('key missing', 'MissingKey'), ('null', "
+    "'ConstraintViolation'), ('partial index', 'ConstraintViolation'), ('outside it', 'taken'), ('random', 'InvalidStatement'), ('unique', "
+    "'ConstraintViolation')) t(what, outcome)",
+)
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each kind of constraint against a row that breaks it; a partial unique index, made later, counts among its rows alone."""
     db = _filled(spark, sf_dir, Kept, Loose)
@@ -327,7 +423,11 @@ def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, _refused(t)) for k, t in tries.items()], "what string, outcome string")
 
 
-@_query("transaction", "select 'after failure' as moment, count(*) as nations, (select count(*) from region) as regions from nation union all select 'after commit', count(*) - 1, (select count(*) + 1 from region) from nation")
+@_query(
+    "transaction",
+    "select 'after failure' as moment, count(*) as nations, (select count(*) from region) as regions from nation union all select 'after commit', "
+    "count(*) - 1, (select count(*) + 1 from region) from nation",
+)
 def transaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of two tables: none of them after a failure, all of them after a commit."""
     db = _filled(spark, sf_dir, Kept, Loose)
@@ -380,13 +480,30 @@ def _altered(name: str, oracle: str, change: Callable[[Database], Any]) -> None:
     _query(name, oracle)(run)
 
 
-_altered("add_columns", "select *, cast(null as varchar) as note, 5 as grade from nation", lambda db: [ddl.add_column(db, Nation, Wider.field(c)) for c in ("note", "grade")])
+_altered(
+    "add_columns",
+    "select *, cast(null as varchar) as note, 5 as grade from nation",
+    lambda db: [ddl.add_column(db, Nation, Wider.field(c)) for c in ("note", "grade")],
+)
 _altered("drop_column", "select n_nationkey, n_regionkey from nation", lambda db: ddl.drop_column(db, Nation, "n_name"))
-_altered("rename_retype", "select cast(n_nationkey as bigint) as n_nationkey, n_name as title, n_regionkey from nation", lambda db: (ddl.rename_column(db, Nation, "n_name", "title"), ddl.retype_column(db, Nation, "n_nationkey", T.LongType())))
+_altered(
+    "rename_retype",
+    "select cast(n_nationkey as bigint) as n_nationkey, n_name as title, n_regionkey from nation",
+    lambda db: (ddl.rename_column(db, Nation, "n_name", "title"), ddl.retype_column(db, Nation, "n_nationkey", T.LongType())),
+)
 _altered("truncate_refill", f"{_REST} = 99 or n_nationkey < 0 union all select 99, 'ADD', 2", lambda db: (ddl.truncate(db, Nation), db.insert(_ADD)))
-_altered("drop_create", "select 99 as n_nationkey, 'ADD' as n_name, 2 as n_regionkey", lambda db: (ddl.drop(db, Nation), ddl.drop(db, Nation, if_exists=True), ddl.create(db, Nation), ddl.create(db, Nation, if_not_exists=True), db.insert(_ADD)))
+_altered(
+    "drop_create",
+    "select 99 as n_nationkey, 'ADD' as n_name, 2 as n_regionkey",
+    lambda db: (ddl.drop(db, Nation), ddl.drop(db, Nation, if_exists=True), ddl.create(db, Nation), ddl.create(db, Nation, if_not_exists=True), db.insert(_ADD)),
+)
 
-@_query("verify_presets", "select * from (values ('default', 'extra column', 1), ('default', 'missing column', 1), ('default', 'missing index', 1), ('minimal', 'missing column', 1), ('strict', 'extra column', 1), ('strict', 'index name mismatch', 1), ('strict', 'missing column', 1), ('strict', 'missing index', 1), ('strict', 'type mismatch', 1)) t(preset, kind, n)")
+@_query(
+    "verify_presets",
+    "select * from (values ('default', 'extra column', 1), ('default', 'missing column', 1), ('default', 'missing index', 1), ('minimal', 'missing "
+    "column', 1), ('strict', 'extra column', 1), ('strict', 'index name mismatch', 1), ('strict', 'missing column', 1), ('strict', 'missing index', 1), "
+    "('strict', 'type mismatch', 1)) t(preset, kind, n)",
+)
 def verify_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with a column of the same type family, a renamed one, an index under another name and none where one should be."""
 
@@ -437,22 +554,44 @@ class Spoken(Table, name="region"):
     r_name: Annotated[str, Codec("quiet", T.StringType(), decode=str.lower)]
 
 
-_reads("json_codec", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_id < 50", "event_id long, k long", lambda db: [(e.event_id, e.props.k) for e in db.all(query(Typed).where(Typed.event_id < 50), Typed)])
-_reads("own_codec", "select r_regionkey, lower(r_name) as r_name from region", "r_regionkey int, r_name string", lambda db: [(r.r_regionkey, r.r_name) for r in db.all(query(Spoken).all(), Spoken)])
+_reads(
+    "json_codec",
+    "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events where event_id < 50",
+    "event_id long, k long",
+    lambda db: [(e.event_id, e.props.k) for e in db.all(query(Typed).where(Typed.event_id < 50), Typed)],
+)
+_reads(
+    "own_codec",
+    "select r_regionkey, lower(r_name) as r_name from region",
+    "r_regionkey int, r_name string",
+    lambda db: [(r.r_regionkey, r.r_name) for r in db.all(query(Spoken).all(), Spoken)],
+)
 
 # raw SQL, errors and limits
 
-_register("raw_fragments", "select n_nationkey as \"a key\" from nation where n_name in ('CHINA', 'JAPAN') and n_regionkey > 1", lambda: sql("select {n.n_nationkey} as ", n=Nation) + ident("a key") + sql(" from {n} where ", n=Nation) + sql("{n.n_name} in ", n=Nation) + value_list(["CHINA", "JAPAN", "CHINA"]) + unsafe(" and n_regionkey > 1"))
+_register(
+    "raw_fragments",
+    "select n_nationkey as \"a key\" from nation where n_name in ('CHINA', 'JAPAN') and n_regionkey > 1",
+    lambda: sql("select {n.n_nationkey} as ", n=Nation) + ident("a key") + sql(" from {n} where ", n=Nation) + sql("{n.n_name} in ", n=Nation) + value_list(["CHINA", "JAPAN", "CHINA"]) + unsafe(" and n_regionkey > 1"),
+)
 
 
-@_query("fragment_texts", "select * from (values ('issues', '1'), ('show', 'select * from nation as nation where nation.n_name = ''it''''s'''), ('text', 'select * from nation as nation where nation.n_name = ?'), ('values', 'it''s')) t(what, got)")
+@_query(
+    "fragment_texts",
+    "select * from (values ('issues', '1'), ('show', 'select * from nation as nation where nation.n_name = ''it''''s'''), ('text', 'select * from "
+    "nation as nation where nation.n_name = ?'), ('values', 'it''s')) t(what, got)",
+)
 def fragment_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f: Fragment = sql("select * from {n} where {n.n_name} = {x}", n=Nation, x="it's")
     bad = value_list([])
     return spark.createDataFrame([("text", f.text()), ("show", f.show()), ("values", f.values()[0]), ("issues", str(len(bad.issues)))], "what string, got string")
 
 
-@_query("error_kinds", "select * from (values ('data', 'DataFailure'), ('issue', 'InvalidStatement'), ('late', 'StatementTimeout'), ('late page', 'StatementTimeout'), ('late stream', 'StatementTimeout'), ('schema', 'SchemaMismatch'), ('state 08', 'Retryable'), ('syntax', 'SyntaxFailure')) t(what, kind)")
+@_query(
+    "error_kinds",
+    "select * from (values ('data', 'DataFailure'), ('issue', 'InvalidStatement'), ('late', 'StatementTimeout'), ('late page', 'StatementTimeout'), "
+    "('late stream', 'StatementTimeout'), ('schema', 'SchemaMismatch'), ('state 08', 'Retryable'), ('syntax', 'SyntaxFailure')) t(what, kind)",
+)
 def error_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes wrong, by its type; time limits hold for pages and streams as well."""
     db, limited = _database(spark, sf_dir), Database(spark, Files(sf_dir), timeout=1, most_at_once=2)
@@ -483,6 +622,10 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_counts(_database(spark, sf_dir).table(Events), "ts", "6 hours", ["user_id"]).select("user_id", "start", "n")
 
 
-@_query("sliding_windows", "with t as (select time_bucket(interval '12 hours', ts) as b from events) select start, count(*) as n from (select b as start from t union all select b - interval '12 hours' from t) group by start")
+@_query(
+    "sliding_windows",
+    "with t as (select time_bucket(interval '12 hours', ts) as b from events) select start, count(*) as n from (select b as start from t union all "
+    "select b - interval '12 hours' from t) group by start",
+)
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(_database(spark, sf_dir).table(Events), "ts", "1 day", [], slide="12 hours").select("start", "n")

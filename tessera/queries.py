@@ -173,80 +173,295 @@ def _correlated(price: int):
 _HV = "(select * from orders where o_totalprice>450000) hv"
 _OPEN = query(Orders).where(Orders.o_orderstatus == "O")
 
-_register("flagship", "select c_custkey,c_name,o_orderkey,o_totalprice,l_linenumber,l_partkey,l_quantity from customer join orders on c_custkey=o_custkey join lineitem on o_orderkey=l_orderkey where c_mktsegment='BUILDING' and o_totalprice>400000 and l_quantity>=45 order by o_totalprice desc,o_orderkey,l_linenumber,l_partkey limit 20", flagship)
+_register(
+    "flagship",
+    "select c_custkey,c_name,o_orderkey,o_totalprice,l_linenumber,l_partkey,l_quantity from customer join orders on c_custkey=o_custkey join lineitem "
+    "on o_orderkey=l_orderkey where c_mktsegment='BUILDING' and o_totalprice>400000 and l_quantity>=45 order by o_totalprice "
+    "desc,o_orderkey,l_linenumber,l_partkey limit 20",
+    flagship,
+)
 _register("scan_all", "select * from region", lambda: query(Region).all())
 _register("select_cols", "select c_custkey,c_name from customer", lambda: query(Customer).all().select(Customer.c_custkey, Customer.c_name))
-_register("select_named", "select o_orderkey,o_totalprice*2 as twice,case when o_totalprice>100000 then 'big' else 'small' end as size from orders", lambda: query(Orders).all().select(Orders.o_orderkey, twice=lambda env: Orders.o_totalprice.column(env) * 2, size=F.when(F.col("o_totalprice") > 100000, "big").otherwise("small")))
+_register(
+    "select_named",
+    "select o_orderkey,o_totalprice*2 as twice,case when o_totalprice>100000 then 'big' else 'small' end as size from orders",
+    lambda: query(Orders).all().select(Orders.o_orderkey, twice=lambda env: Orders.o_totalprice.column(env) * 2, size=F.when(F.col("o_totalprice") > 100000, "big").otherwise("small")),
+)
 _register("select_distinct", "select distinct o_orderstatus from orders", lambda: query(Orders).all().select(Orders.o_orderstatus).distinct())
 _register("where_eq", "select * from customer where c_mktsegment='BUILDING'", lambda: query(Customer).where(Customer.c_mktsegment == "BUILDING"))
 _register("where_eq_null", "select * from customer where c_mktsegment=null", lambda: query(Customer).where(Customer.c_mktsegment == None))  # noqa: E711
-_register("where_cmp", "select * from orders where o_totalprice>=400000 and o_orderstatus<>'F'", lambda: query(Orders).where(Orders.o_totalprice >= 400000).where(Orders.o_orderstatus != "F"))
-_register("where_lt_lte", "select * from orders where o_totalprice<2000 or o_orderkey<=10", lambda: query(Orders).where((Orders.o_totalprice < 2000) | (Orders.o_orderkey <= 10)))
-_register("where_date", "select * from orders where o_orderdate>=timestamp '2001-07-01 00:00:00'", lambda: query(Orders).where(Orders.o_orderdate >= dt.datetime(2001, 7, 1)))
+_register(
+    "where_cmp",
+    "select * from orders where o_totalprice>=400000 and o_orderstatus<>'F'",
+    lambda: query(Orders).where(Orders.o_totalprice >= 400000).where(Orders.o_orderstatus != "F"),
+)
+_register(
+    "where_lt_lte",
+    "select * from orders where o_totalprice<2000 or o_orderkey<=10",
+    lambda: query(Orders).where((Orders.o_totalprice < 2000) | (Orders.o_orderkey <= 10)),
+)
+_register(
+    "where_date",
+    "select * from orders where o_orderdate>=timestamp '2001-07-01 00:00:00'",
+    lambda: query(Orders).where(Orders.o_orderdate >= dt.datetime(2001, 7, 1)),
+)
 _register("where_like", "select * from part where p_name like 'small%'", lambda: query(Part).where(Part.p_name.like("small%")))
 _register("where_not_like", "select * from part where p_name not like 'small%'", lambda: query(Part).where(Part.p_name.not_like("small%")))
 _register("where_ilike", "select * from part where p_type ilike 'economy%'", lambda: query(Part).where(Part.p_type.ilike("economy%")))
-_register("where_similar", "select * from part where regexp_full_match(p_brand,'Brand#(1|2).*')", lambda: query(Part).where(Part.p_brand.similar_to("Brand#(1|2)%")))
+_register(
+    "where_similar",
+    "select * from part where regexp_full_match(p_brand,'Brand#(1|2).*')",
+    lambda: query(Part).where(Part.p_brand.similar_to("Brand#(1|2)%")),
+)
 _register("where_regex", "select * from customer where regexp_matches(c_name,'[05]$')", lambda: query(Customer).where(Customer.c_name.matches("[05]$")))
-_register("where_regex_ci", "select * from customer where regexp_matches(c_name,'(?i)CUSTOMER#0000000.5')", lambda: query(Customer).where(Customer.c_name.imatches("CUSTOMER#0000000.5")))
+_register(
+    "where_regex_ci",
+    "select * from customer where regexp_matches(c_name,'(?i)CUSTOMER#0000000.5')",
+    lambda: query(Customer).where(Customer.c_name.imatches("CUSTOMER#0000000.5")),
+)
 _register("where_in", "select * from nation where n_nationkey in (1,2,3)", lambda: query(Nation).where(Nation.n_nationkey.in_([1, 2, 3, 2])))
 _register("where_not_in", "select * from nation where n_nationkey not in (1,2,3)", lambda: query(Nation).where(Nation.n_nationkey.not_in([1, 2, 3])))
-_register("where_between", "select * from orders where o_totalprice between 1000 and 5000", lambda: query(Orders).where(Orders.o_totalprice.between(1000, 5000)))
-_register("where_group", "select * from orders where o_orderstatus='O' and ((o_totalprice<2000 or o_totalprice>450000) and o_orderpriority='1-URGENT')", lambda: query(Orders).where(Orders.o_orderstatus == "O").where((Orders.o_totalprice < 2000).or_(Orders.o_totalprice > 450000).and_(Orders.o_orderpriority == "1-URGENT")))
-_register("where_raw", "select * from orders where o_totalprice % 7 < 0.5 and o_orderpriority = '1-URGENT'", lambda: query(Orders).where(raw("o_totalprice % 7 < 0.5 and o_orderpriority = :p", p="1-URGENT")))
+_register(
+    "where_between",
+    "select * from orders where o_totalprice between 1000 and 5000",
+    lambda: query(Orders).where(Orders.o_totalprice.between(1000, 5000)),
+)
+_register(
+    "where_group",
+    "select * from orders where o_orderstatus='O' and ((o_totalprice<2000 or o_totalprice>450000) and o_orderpriority='1-URGENT')",
+    lambda: query(Orders).where(Orders.o_orderstatus == "O").where((Orders.o_totalprice < 2000).or_(Orders.o_totalprice > 450000).and_(Orders.o_orderpriority == "1-URGENT")),
+)
+_register(
+    "where_raw",
+    "select * from orders where o_totalprice % 7 < 0.5 and o_orderpriority = '1-URGENT'",
+    lambda: query(Orders).where(raw("o_totalprice % 7 < 0.5 and o_orderpriority = :p", p="1-URGENT")),
+)
 _register("where_null", f"select c_custkey,o_orderkey from {_HV} right join customer on hv.o_custkey=c_custkey where hv.o_orderkey is null", _null_side)
-_register("where_not_null", f"select c_custkey,o_orderkey from customer left join {_HV} on hv.o_custkey=c_custkey where hv.o_orderkey is not null", lambda: (lambda q, hv: q.where(hv.o_orderkey.is_not_null()).select(Customer.c_custkey, hv.o_orderkey))(*_left_join()))
-_register("join_inner", "select * from orders join lineitem on o_orderkey=l_orderkey where o_orderkey<100", lambda: query(Orders).join(Lineitem, Orders.o_orderkey == Lineitem.l_orderkey).where(Orders.o_orderkey < 100))
+_register(
+    "where_not_null",
+    f"select c_custkey,o_orderkey from customer left join {_HV} on hv.o_custkey=c_custkey where hv.o_orderkey is not null",
+    lambda: (lambda q, hv: q.where(hv.o_orderkey.is_not_null()).select(Customer.c_custkey, hv.o_orderkey))(*_left_join()),
+)
+_register(
+    "join_inner",
+    "select * from orders join lineitem on o_orderkey=l_orderkey where o_orderkey<100",
+    lambda: query(Orders).join(Lineitem, Orders.o_orderkey == Lineitem.l_orderkey).where(Orders.o_orderkey < 100),
+)
 _register("join_left", f"select * from customer left join {_HV} on c_custkey=hv.o_custkey", lambda: _left_join()[0].all())
 _register("join_right", f"select * from {_HV} right join customer on hv.o_custkey=c_custkey", lambda: _right_join().all())
-_register("join_full", "select * from (select * from nation where n_nationkey<10) n full join (select * from region where r_regionkey<>0) r on n.n_regionkey=r.r_regionkey", _full_join)
+_register(
+    "join_full",
+    "select * from (select * from nation where n_nationkey<10) n full join (select * from region where r_regionkey<>0) r on n.n_regionkey=r.r_regionkey",
+    _full_join,
+)
 _register("join_cross", "select * from nation cross join region", lambda: query(Nation).cross_join(Region).all())
-_register("join_theta", "select * from nation join region on n_regionkey<r_regionkey", lambda: query(Nation).join(Region, Nation.n_regionkey < Region.r_regionkey).all())
-_register("join_theta_full", "select * from nation full join region on n_regionkey<r_regionkey", lambda: query(Nation).full_join(Region, Nation.n_regionkey < Region.r_regionkey).all())
-_register("join_like", "select n_name,r_name from nation join region on n_name like r_name || '%' or n_regionkey=r_regionkey", lambda: query(Nation).join(Region, Nation.n_name.satisfies(lambda n, r: F.like(n, F.concat(r, F.lit("%"))), Region.r_name) | (Nation.n_regionkey == Region.r_regionkey)).all().select(Nation.n_name, Region.r_name))
-_register("join_unary", "select n_nationkey,r_regionkey from nation join region on n_name is not null and n_regionkey=r_regionkey", lambda: query(Nation).join(Region, Nation.n_name.is_not_null() & (Nation.n_regionkey == Region.r_regionkey)).all().select(Nation.n_nationkey, Region.r_regionkey))
-_register("join_multi_on", "select * from customer join supplier on c_nationkey=s_nationkey and c_acctbal<s_acctbal where c_custkey<50", lambda: query(Customer).join(Supplier, (Customer.c_nationkey == Supplier.s_nationkey) & (Customer.c_acctbal < Supplier.s_acctbal)).where(Customer.c_custkey < 50))
-_register("join5", "select * from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join region on n_regionkey=r_regionkey where r_name='ASIA' and l_quantity>48", lambda: query(Lineitem).join(Orders, Lineitem.l_orderkey == Orders.o_orderkey).join(Customer, Orders.o_custkey == Customer.c_custkey).join(Nation, Customer.c_nationkey == Nation.n_nationkey).join(Region, Nation.n_regionkey == Region.r_regionkey).where(Region.r_name == "ASIA").where(Lineitem.l_quantity > 48))
-_register("join_self", "select a.n_nationkey as a_key,b.n_nationkey as b_key from nation a join nation b on a.n_regionkey=b.n_regionkey and a.n_nationkey<b.n_nationkey", _self_join)
-_register("join_semi", "select * from customer where c_custkey in (select o_custkey from orders)", lambda: query(Customer).join(Orders, Customer.c_custkey == Orders.o_custkey, "left_semi").all())
-_register("where_col_col", "select * from customer join supplier on c_acctbal<s_acctbal where c_nationkey=s_nationkey and c_custkey<50", lambda: query(Customer).join(Supplier, Customer.c_acctbal < Supplier.s_acctbal).where(Customer.c_nationkey == Supplier.s_nationkey).where(Customer.c_custkey < 50))
+_register(
+    "join_theta",
+    "select * from nation join region on n_regionkey<r_regionkey",
+    lambda: query(Nation).join(Region, Nation.n_regionkey < Region.r_regionkey).all(),
+)
+_register(
+    "join_theta_full",
+    "select * from nation full join region on n_regionkey<r_regionkey",
+    lambda: query(Nation).full_join(Region, Nation.n_regionkey < Region.r_regionkey).all(),
+)
+_register(
+    "join_like",
+    "select n_name,r_name from nation join region on n_name like r_name || '%' or n_regionkey=r_regionkey",
+    lambda: query(Nation).join(Region, Nation.n_name.satisfies(lambda n, r: F.like(n, F.concat(r, F.lit("%"))), Region.r_name) | (Nation.n_regionkey == Region.r_regionkey)).all().select(Nation.n_name, Region.r_name),
+)
+_register(
+    "join_unary",
+    "select n_nationkey,r_regionkey from nation join region on n_name is not null and n_regionkey=r_regionkey",
+    lambda: query(Nation).join(Region, Nation.n_name.is_not_null() & (Nation.n_regionkey == Region.r_regionkey)).all().select(Nation.n_nationkey, Region.r_regionkey),
+)
+_register(
+    "join_multi_on",
+    "select * from customer join supplier on c_nationkey=s_nationkey and c_acctbal<s_acctbal where c_custkey<50",
+    lambda: query(Customer).join(Supplier, (Customer.c_nationkey == Supplier.s_nationkey) & (Customer.c_acctbal < Supplier.s_acctbal)).where(Customer.c_custkey < 50),
+)
+_register(
+    "join5",
+    "select * from lineitem join orders on l_orderkey=o_orderkey join customer on o_custkey=c_custkey join nation on c_nationkey=n_nationkey join "
+    "region on n_regionkey=r_regionkey where r_name='ASIA' and l_quantity>48",
+    lambda: query(Lineitem).join(Orders, Lineitem.l_orderkey == Orders.o_orderkey).join(Customer, Orders.o_custkey == Customer.c_custkey).join(Nation, Customer.c_nationkey == Nation.n_nationkey).join(Region, Nation.n_regionkey == Region.r_regionkey).where(Region.r_name == "ASIA").where(Lineitem.l_quantity > 48),
+)
+_register(
+    "join_self",
+    "select a.n_nationkey as a_key,b.n_nationkey as b_key from nation a join nation b on a.n_regionkey=b.n_regionkey and a.n_nationkey<b.n_nationkey",
+    _self_join,
+)
+_register(
+    "join_semi",
+    "select * from customer where c_custkey in (select o_custkey from orders)",
+    lambda: query(Customer).join(Orders, Customer.c_custkey == Orders.o_custkey, "left_semi").all(),
+)
+_register(
+    "where_col_col",
+    "select * from customer join supplier on c_acctbal<s_acctbal where c_nationkey=s_nationkey and c_custkey<50",
+    lambda: query(Customer).join(Supplier, Customer.c_acctbal < Supplier.s_acctbal).where(Customer.c_nationkey == Supplier.s_nationkey).where(Customer.c_custkey < 50),
+)
 _register("agg_max", "select max(o_totalprice) as v from orders where o_orderstatus='O'", lambda: _OPEN.aggregate(v=max_of(Orders.o_totalprice)))
 _register("agg_min", "select min(o_totalprice) as v from orders where o_orderstatus='O'", lambda: _OPEN.aggregate(v=min_of(Orders.o_totalprice)))
 _register("agg_sum_long", "select cast(sum(o_custkey) as bigint) as v from orders where o_orderstatus='O'", lambda: _OPEN.aggregate(v=sum_of(Orders.o_custkey)))
 _register("agg_count", "select count(o_orderkey) as v from orders where o_orderstatus='O'", lambda: _OPEN.aggregate(v=count_of(Orders.o_orderkey)))
 _register("agg_count_all", "select count(*) as v from orders where o_orderstatus='O'", lambda: _OPEN.aggregate(v=count_all))
-_register("agg_coalesce", "select coalesce(max(o_orderkey),0) as v from orders where o_orderstatus='none'", lambda: query(Orders).where(Orders.o_orderstatus == "none").aggregate(v=max_of(Orders.o_orderkey).or_else(0)))
-_register("agg_count_distinct", "select count(distinct o_custkey) as v from orders", lambda: query(Orders).all().aggregate(v=count_distinct_of(Orders.o_custkey)))
-_register("agg_derived", "select count(*) as v from (select * from orders where o_totalprice>450000) hv where hv.o_orderstatus='O'", lambda: (lambda hv: query(hv).where(hv.o_orderstatus == "O").aggregate(v=count_all))(_valuable()))
-_register("group_by", "select o_orderstatus,count(*) as n from orders group by o_orderstatus having count(*)>10", lambda: query(Orders).all().group_by(Orders.o_orderstatus).agg(n=count_all).having(lambda df: df["n"] > 10))
-_register("in_sub", "select * from customer where c_custkey in (select o_custkey from orders where o_totalprice>450000)", lambda: query(Customer).where(Customer.c_custkey.in_query(_rich(450000))))
-_register("not_in_sub", "select * from customer where c_custkey not in (select o_custkey from orders where o_totalprice>300000)", lambda: query(Customer).where(Customer.c_custkey.not_in_query(_rich(300000))))
-_register("exists_corr", "select * from customer c where exists (select 1 from orders o where o.o_custkey=c.c_custkey and o.o_totalprice>450000)", lambda: query(Customer).where(_correlated(450000)))
-_register("not_exists", "select * from customer c where not exists (select 1 from orders o where o.o_custkey=c.c_custkey and o.o_totalprice>300000)", lambda: query(Customer).where(~_correlated(300000)))
-_register("nested_sub", "select * from supplier where s_suppkey in (select l_suppkey from lineitem where l_orderkey in (select o_orderkey from orders where o_totalprice>499900))", lambda: query(Supplier).where(Supplier.s_suppkey.in_query(query(Lineitem).where(Lineitem.l_orderkey.in_query(query(Orders).where(Orders.o_totalprice > 499900).select(Orders.o_orderkey))).select(Lineitem.l_suppkey))))
-_register("derived", "select * from (select * from orders where o_totalprice>450000) hv where hv.o_orderstatus='O'", lambda: (lambda hv: query(hv).where(hv.o_orderstatus == "O"))(_valuable()))
-_register("derived_join", "select * from (select o_orderkey,o_custkey,o_totalprice from orders where o_totalprice>450000) hv join customer on hv.o_custkey=c_custkey", lambda: (lambda hv: query(hv).join(Customer, hv.o_custkey == Customer.c_custkey).all())(_valuable((Orders.o_orderkey, Orders.o_custkey, Orders.o_totalprice))))
-_register("seek_after", "select * from orders where o_orderkey>500 order by o_orderkey asc nulls last limit 20", lambda: query(Orders).seek_after(Orders.o_orderkey, 500).limit(20))
-_register("seek_before", "select * from orders where o_orderkey<500 order by o_orderkey desc nulls first limit 20", lambda: query(Orders).seek_before(Orders.o_orderkey, 500).limit(20))
+_register(
+    "agg_coalesce",
+    "select coalesce(max(o_orderkey),0) as v from orders where o_orderstatus='none'",
+    lambda: query(Orders).where(Orders.o_orderstatus == "none").aggregate(v=max_of(Orders.o_orderkey).or_else(0)),
+)
+_register(
+    "agg_count_distinct",
+    "select count(distinct o_custkey) as v from orders",
+    lambda: query(Orders).all().aggregate(v=count_distinct_of(Orders.o_custkey)),
+)
+_register(
+    "agg_derived",
+    "select count(*) as v from (select * from orders where o_totalprice>450000) hv where hv.o_orderstatus='O'",
+    lambda: (lambda hv: query(hv).where(hv.o_orderstatus == "O").aggregate(v=count_all))(_valuable()),
+)
+_register(
+    "group_by",
+    "select o_orderstatus,count(*) as n from orders group by o_orderstatus having count(*)>10",
+    lambda: query(Orders).all().group_by(Orders.o_orderstatus).agg(n=count_all).having(lambda df: df["n"] > 10),
+)
+_register(
+    "in_sub",
+    "select * from customer where c_custkey in (select o_custkey from orders where o_totalprice>450000)",
+    lambda: query(Customer).where(Customer.c_custkey.in_query(_rich(450000))),
+)
+_register(
+    "not_in_sub",
+    "select * from customer where c_custkey not in (select o_custkey from orders where o_totalprice>300000)",
+    lambda: query(Customer).where(Customer.c_custkey.not_in_query(_rich(300000))),
+)
+_register(
+    "exists_corr",
+    "select * from customer c where exists (select 1 from orders o where o.o_custkey=c.c_custkey and o.o_totalprice>450000)",
+    lambda: query(Customer).where(_correlated(450000)),
+)
+_register(
+    "not_exists",
+    "select * from customer c where not exists (select 1 from orders o where o.o_custkey=c.c_custkey and o.o_totalprice>300000)",
+    lambda: query(Customer).where(~_correlated(300000)),
+)
+_register(
+    "nested_sub",
+    "select * from supplier where s_suppkey in (select l_suppkey from lineitem where l_orderkey in (select o_orderkey from orders where o_totalprice>499900))",
+    lambda: query(Supplier).where(Supplier.s_suppkey.in_query(query(Lineitem).where(Lineitem.l_orderkey.in_query(query(Orders).where(Orders.o_totalprice > 499900).select(Orders.o_orderkey))).select(Lineitem.l_suppkey))),
+)
+_register(
+    "derived",
+    "select * from (select * from orders where o_totalprice>450000) hv where hv.o_orderstatus='O'",
+    lambda: (lambda hv: query(hv).where(hv.o_orderstatus == "O"))(_valuable()),
+)
+_register(
+    "derived_join",
+    "select * from (select o_orderkey,o_custkey,o_totalprice from orders where o_totalprice>450000) hv join customer on hv.o_custkey=c_custkey",
+    lambda: (lambda hv: query(hv).join(Customer, hv.o_custkey == Customer.c_custkey).all())(_valuable((Orders.o_orderkey, Orders.o_custkey, Orders.o_totalprice))),
+)
+_register(
+    "seek_after",
+    "select * from orders where o_orderkey>500 order by o_orderkey asc nulls last limit 20",
+    lambda: query(Orders).seek_after(Orders.o_orderkey, 500).limit(20),
+)
+_register(
+    "seek_before",
+    "select * from orders where o_orderkey<500 order by o_orderkey desc nulls first limit 20",
+    lambda: query(Orders).seek_before(Orders.o_orderkey, 500).limit(20),
+)
 _register("offset_page", "select * from orders order by o_orderkey limit 10 offset 20", lambda: query(Orders).order_by(Orders.o_orderkey).limit(10).offset(20))
-_register("nulls_first", f"select c_custkey,o_orderkey from customer left join {_HV} on c_custkey=hv.o_custkey order by o_orderkey asc nulls first,c_custkey limit 50", lambda: _sorted_nulls(True))
-_register("nulls_last", f"select c_custkey,o_orderkey from customer left join {_HV} on c_custkey=hv.o_custkey order by o_orderkey desc nulls last,c_custkey limit 50", lambda: _sorted_nulls(False))
-_register("row_number", "select o_orderkey,cast(row_number() over(partition by o_custkey order by o_orderkey) as bigint) as rn from orders", lambda: query(Orders).all().select(Orders.o_orderkey, rn=lambda env: row_number([Orders.o_custkey], [Orders.o_orderkey.asc()])(env).cast("long")))
-_register("union", "select c_nationkey as k from customer union select s_nationkey from supplier", lambda: sql("select {c.c_nationkey} as k from {c} union select {s.s_nationkey} from {s}", c=Customer, s=Supplier))
-_register("union_all", "select c_nationkey as k from customer union all select s_nationkey from supplier", lambda: sql("select {c.c_nationkey} as k from {c} union all select {s.s_nationkey} from {s}", c=Customer, s=Supplier))
-_register("intersect", "select c_nationkey as k from customer intersect select s_nationkey from supplier", lambda: sql("select {c.c_nationkey} as k from {c} intersect select {s.s_nationkey} from {s}", c=Customer, s=Supplier))
-_register("except", "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal>5000", lambda: sql("select {n.n_nationkey} as k from {n} except select {s.s_nationkey} from {s} where {s.s_acctbal} > {x}", n=Nation, s=Supplier, x=5000))
-_register("cte_recursive", "with recursive r(n) as (select 1 union all select n+1 from r where n<5) select n from r", lambda: sql("with recursive r(n) as (select {one} union all select n+1 from r where n<{five}) select n from r", one=1, five=5))
-_register("raw_window", "select o_orderkey,cast(rank() over(partition by o_orderstatus order by o_totalprice desc,o_orderkey) as bigint) as r from orders", lambda: sql("select {o.o_orderkey}, cast(rank() over (partition by {o.o_orderstatus} order by {o.o_totalprice} desc, {o.o_orderkey}) as bigint) as r from {o}", o=Orders))
-_register("raw_rollup", "select o_orderstatus,o_orderpriority,count(*) as n from orders group by rollup(o_orderstatus,o_orderpriority)", lambda: sql("select {o.o_orderstatus}, {o.o_orderpriority}, count(*) as n from {o} group by rollup({o.o_orderstatus}, {o.o_orderpriority})", o=Orders))
-_register("raw_scalar_sub", "select count(*) as n from orders where o_totalprice>(select avg(o_totalprice) from orders)", lambda: sql("select count(*) as n from {o} where {o.o_totalprice} > (select avg({i.o_totalprice}) from {i})", o=Orders, i=Orders.as_("inner_orders")))
-_register("json_extract", "select event_id,json_extract_string(props,'$.k') as k from events", lambda: query(Events).all().select(Events.event_id, k=Events.props.json("k")))
-_register("json_path", "select event_id from events where json_extract_string(props,'$.k')='69'", lambda: query(Events).where(Events.props.json("k") == "69").select(Events.event_id))
-_register("json_has", "select event_id from events where json_exists(props,'$.k')", lambda: query(Events).where(Events.props.json_has("k")).select(Events.event_id))
-_register("json_any_key", "select event_id from events where json_exists(props,'$.k') or json_exists(props,'$.z')", lambda: query(Events).where(Events.props.json_has_any("k", "z")).select(Events.event_id))
-_register("json_all_keys", "select event_id from events where json_exists(props,'$.k') and json_exists(props,'$.z')", lambda: query(Events).where(Events.props.json_has_all("k", "z")).select(Events.event_id))
-_register("json_contains", "select event_id from events where json_contains(props,'{\"k\": 69}')", lambda: query(Events).where(Events.props.json_contains({"k": 69})).select(Events.event_id))
-_register("array_contains", "select vec_id,list_contains(embedding,embedding[1]) as h from embeddings", lambda: query(Embeddings).all().select(Embeddings.vec_id, h=lambda env: F.array_contains(Embeddings.embedding.column(env), Embeddings.embedding.column(env)[0])))
+_register(
+    "nulls_first",
+    f"select c_custkey,o_orderkey from customer left join {_HV} on c_custkey=hv.o_custkey order by o_orderkey asc nulls first,c_custkey limit 50",
+    lambda: _sorted_nulls(True),
+)
+_register(
+    "nulls_last",
+    f"select c_custkey,o_orderkey from customer left join {_HV} on c_custkey=hv.o_custkey order by o_orderkey desc nulls last,c_custkey limit 50",
+    lambda: _sorted_nulls(False),
+)
+_register(
+    "row_number",
+    "select o_orderkey,cast(row_number() over(partition by o_custkey order by o_orderkey) as bigint) as rn from orders",
+    lambda: query(Orders).all().select(Orders.o_orderkey, rn=lambda env: row_number([Orders.o_custkey], [Orders.o_orderkey.asc()])(env).cast("long")),
+)
+_register(
+    "union",
+    "select c_nationkey as k from customer union select s_nationkey from supplier",
+    lambda: sql("select {c.c_nationkey} as k from {c} union select {s.s_nationkey} from {s}", c=Customer, s=Supplier),
+)
+_register(
+    "union_all",
+    "select c_nationkey as k from customer union all select s_nationkey from supplier",
+    lambda: sql("select {c.c_nationkey} as k from {c} union all select {s.s_nationkey} from {s}", c=Customer, s=Supplier),
+)
+_register(
+    "intersect",
+    "select c_nationkey as k from customer intersect select s_nationkey from supplier",
+    lambda: sql("select {c.c_nationkey} as k from {c} intersect select {s.s_nationkey} from {s}", c=Customer, s=Supplier),
+)
+_register(
+    "except",
+    "select n_nationkey as k from nation except select s_nationkey from supplier where s_acctbal>5000",
+    lambda: sql("select {n.n_nationkey} as k from {n} except select {s.s_nationkey} from {s} where {s.s_acctbal} > {x}", n=Nation, s=Supplier, x=5000),
+)
+_register(
+    "cte_recursive",
+    "with recursive r(n) as (select 1 union all select n+1 from r where n<5) select n from r",
+    lambda: sql("with recursive r(n) as (select {one} union all select n+1 from r where n<{five}) select n from r", one=1, five=5),
+)
+_register(
+    "raw_window",
+    "select o_orderkey,cast(rank() over(partition by o_orderstatus order by o_totalprice desc,o_orderkey) as bigint) as r from orders",
+    lambda: sql("select {o.o_orderkey}, cast(rank() over (partition by {o.o_orderstatus} order by {o.o_totalprice} desc, {o.o_orderkey}) as bigint) as r from {o}", o=Orders),
+)
+_register(
+    "raw_rollup",
+    "select o_orderstatus,o_orderpriority,count(*) as n from orders group by rollup(o_orderstatus,o_orderpriority)",
+    lambda: sql("select {o.o_orderstatus}, {o.o_orderpriority}, count(*) as n from {o} group by rollup({o.o_orderstatus}, {o.o_orderpriority})", o=Orders),
+)
+_register(
+    "raw_scalar_sub",
+    "select count(*) as n from orders where o_totalprice>(select avg(o_totalprice) from orders)",
+    lambda: sql("select count(*) as n from {o} where {o.o_totalprice} > (select avg({i.o_totalprice}) from {i})", o=Orders, i=Orders.as_("inner_orders")),
+)
+_register(
+    "json_extract",
+    "select event_id,json_extract_string(props,'$.k') as k from events",
+    lambda: query(Events).all().select(Events.event_id, k=Events.props.json("k")),
+)
+_register(
+    "json_path",
+    "select event_id from events where json_extract_string(props,'$.k')='69'",
+    lambda: query(Events).where(Events.props.json("k") == "69").select(Events.event_id),
+)
+_register(
+    "json_has",
+    "select event_id from events where json_exists(props,'$.k')",
+    lambda: query(Events).where(Events.props.json_has("k")).select(Events.event_id),
+)
+_register(
+    "json_any_key",
+    "select event_id from events where json_exists(props,'$.k') or json_exists(props,'$.z')",
+    lambda: query(Events).where(Events.props.json_has_any("k", "z")).select(Events.event_id),
+)
+_register(
+    "json_all_keys",
+    "select event_id from events where json_exists(props,'$.k') and json_exists(props,'$.z')",
+    lambda: query(Events).where(Events.props.json_has_all("k", "z")).select(Events.event_id),
+)
+_register(
+    "json_contains",
+    "select event_id from events where json_contains(props,'{\"k\": 69}')",
+    lambda: query(Events).where(Events.props.json_contains({"k": 69})).select(Events.event_id),
+)
+_register(
+    "array_contains",
+    "select vec_id,list_contains(embedding,embedding[1]) as h from embeddings",
+    lambda: query(Embeddings).all().select(Embeddings.vec_id, h=lambda env: F.array_contains(Embeddings.embedding.column(env), Embeddings.embedding.column(env)[0])),
+)
 
 
 def _query(name: str, oracle: str | None = None):
