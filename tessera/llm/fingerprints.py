@@ -116,40 +116,43 @@ def _in_turn(df: DataFrame, text: str, key: str) -> DataFrame:
     """``k``, ``text`` and ``ghost``, sorted within ``deal``: the rows of a range of keys, and behind them (ghost) the first
     rows of the next range, so that each row has its successor in its own task. The last range ends with the first.
 
-    Ranges are cut at approximate quantiles of the key, one for each shuffle partition; only these cuts and the
-    first key of each range reach the driver. Each text is shuffled once.
+    Ranges are cut at approximate quantiles of the key, four for each shuffle partition. A key that fills several ranges is dealt to them by the hashes of its
+    texts. Only the cuts and each range's first key and hash reach the driver. Each text is shuffled once.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * tasks
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = df.select(F.col(key).alias("k"), order.alias("o"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("o", [i / n for i in range(1, n)] or [0.5], 10_000).alias("c")).first()["c"]
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).alias("k"), order.alias("o"), F.xxhash64(whole).alias("h"), whole.alias("text"))
+    cuts = rows.agg(F.percentile_approx("o", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"]
+    cuts = np.sort(np.array(cuts or [], np.int64))
+
+    def range_of(o: np.ndarray, h: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(cuts, o, side="left"), np.searchsorted(cuts, o, side="right")
+        share = (h.astype(np.float64) + float(1 << 63)) / float(1 << 64)
+        return np.where(high - low > 1, np.minimum(low + 1 + (share * (high - low)).astype(np.int64), high), high)
 
     @F.pandas_udf("int")
-    def place(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, o.to_numpy(), side="right").astype(np.int32))
+    def place(o: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(range_of(o.to_numpy(), h.to_numpy()).astype(np.int32))
 
-    ranges = sorted(tuple(r) for r in rows.select(place("o").alias("b"), "o").groupBy("b").agg(F.min("o")).collect())
-    first = np.array([o for _, o in ranges], np.int64)
-    behind = np.array([ranges[i - 1][0] for i in range(len(ranges))], np.int32)  # the range before, around the end
+    ranges = sorted(tuple(r) for r in rows.select(place("o", "h").alias("b"), "o", "h").groupBy("b").agg(F.min(F.struct("o", "h")).alias("m")).select("b", "m.o", "m.h").collect())
+    first = {(o, h): ranges[i - 1][0] for i, (_, o, h) in enumerate(ranges)}  # the range before, around the end
 
     @F.pandas_udf("array<int>")
-    def places(o: pd.Series) -> pd.Series:
-        o = o.to_numpy()
-        at = np.searchsorted(cuts, o, side="right")
-        i = np.minimum(np.searchsorted(first, o), max(len(first) - 1, 0))
-        is_first = first[i] == o if len(first) else np.zeros(len(o), bool)
-        return pd.Series([[int(b), -1 - int(behind[j])] if f else [int(b)] for b, f, j in zip(at, is_first, i)])
+    def places(o: pd.Series, h: pd.Series) -> pd.Series:
+        at = range_of(o.to_numpy(), h.to_numpy()).tolist()
+        return pd.Series([[b] if (before := first.get(x)) is None else [b, -1 - before] for b, x in zip(at, zip(o.tolist(), h.tolist()))])
 
-    dealt = rows.withColumn("d", F.explode(places("o"))).withColumn("ghost", F.col("d") < 0).withColumn("deal", F.when(F.col("ghost"), -1 - F.col("d")).otherwise(F.col("d")))
-    return dealt.repartition(n, "deal").sortWithinPartitions("deal", "ghost", "o", "text").select("deal", "ghost", "k", "text")
+    dealt = rows.withColumn("d", F.explode(places("o", "h"))).withColumn("ghost", F.col("d") < 0).withColumn("deal", F.when(F.col("ghost"), -1 - F.col("d")).otherwise(F.col("d")))
+    return dealt.repartitionById(tasks, F.col("deal") % tasks).sortWithinPartitions("deal", "ghost", "o", "h", "text").select("deal", "ghost", "k", "text")
 
 
 def edited_fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", part: int = 4, k: int = K, w: int = W) -> DataFrame:
     """Each row's fingerprint beside that of an edited text and that of the next document.
 
-    The next document is the one with the next key, after the last the first; rows with one key follow each other by text.
+    The next document is the one with the next key, after the last the first; rows with one key follow each other by their texts' hashes.
     A null key comes before all others, a null text is empty. In the edited text the last floor(n_chars / ``part``) code
     points give way to as many from the next text's start. Columns: key, ``n_chars``, ``edited_sha256``, ``fingerprint``,
     ``edited_fingerprint`` (hex), ``near_edited``, ``near_next``. An empty table gives an empty result.

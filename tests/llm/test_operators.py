@@ -224,6 +224,22 @@ def test_winnowing(spark, texts):
     assert fingerprints.fingerprints(frame(spark, texts)).count() == len(texts)
 
 
+def test_successors_of_a_frequent_key(spark):
+    """A third of the rows have one key: they follow each other by hash, in ranges of their own, and every row has one successor."""
+    rows = [(i, f"text {i}") for i in range(300)] + [(150, f"again {i}") for i in range(150)] + [(None, None), (None, "nobody's")]
+    df = frame(spark, rows)
+    hashes = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    turn = sorted(((i is not None, i or 0, hashes[t or ""], t or "") for i, t in rows))
+    want = []
+    for n, (known, i, _, t) in enumerate(turn):
+        cut, after = len(t) // 4, turn[(n + 1) % len(turn)][3]
+        want.append((i if known else None, hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in fingerprints.edited_fingerprints(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    sizes = [r["count"] for r in fingerprints._in_turn(df, "text", "doc_id").where("not ghost").groupBy("deal").count().collect()]
+    assert max(sizes) < 100
+
+
 def test_short_texts_and_stretches_keep_a_likeness():
     draw = random.Random(3)
     word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
