@@ -84,8 +84,12 @@ def _lists(node: list, ids: list, ds: list, fresh: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((node, ids, ds, fresh), kinds)], names=["node", "ids", "ds", "fresh"])
 
 
-def _leaves(points: DataFrame, n: int, k: int, trees: int, leaf: int, parts: int) -> DataFrame:
-    """Lists of each point's nearest within its leaf of each tree; leaves of over twice ``leaf`` points are halved further, each tree's its own way."""
+def _leaves(points: DataFrame, n: int, k: int, trees: int, leaf: int, parts: int, most: int) -> DataFrame:
+    """Lists of each point's nearest within its leaf of each tree; leaves of over twice ``leaf`` points are halved further, each tree's its own way.
+
+    A leaf of more than ``most`` points, as a tight group makes, is first dealt out by hash to leaves that one task can hold; the rounds bring
+    its points together again.
+    """
     kind, planes = _kind(points), max(0, math.ceil(math.log2(max(n / leaf, 1))))
     sample = np.array([r.v for r in points.select("v").orderBy(F.xxhash64("node")).limit(2000).collect()])
     turn = np.random.default_rng(11).standard_normal((trees, sample.shape[1], planes))
@@ -99,9 +103,9 @@ def _leaves(points: DataFrame, n: int, k: int, trees: int, leaf: int, parts: int
                 yield pa.RecordBatch.from_arrays([pa.array(code + (t << 40)), b.column(0), h], names=["leaf", "node", "h"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["leaf"], 2000):
-            code, node, m = table["leaf"].to_numpy(), table["node"].to_numpy(), _matrix(table["h"], kind)
-            start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        for table in whole_groups(batches, ["leaf", "share"], 2000):
+            code, share, node, m = table["leaf"].to_numpy(), table["share"].to_numpy(), table["node"].to_numpy(), _matrix(table["h"], kind)
+            start = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (share[1:] != share[:-1])]))
             for lo, hi in zip(start, np.append(start[1:], len(code))):
                 for at in _blocks(m[lo:hi], 2 * leaf, np.random.default_rng(int(code[lo]))):
                     at = lo + at
@@ -113,7 +117,10 @@ def _leaves(points: DataFrame, n: int, k: int, trees: int, leaf: int, parts: int
                     yield _lists(node[at].tolist(), list(node[at][near]), list(np.take_along_axis(d, near, 1)), list(np.ones(near.shape, bool)))
 
     dealt = points.select("node", "v").mapInArrow(deal, "leaf long, node long, h binary")
-    return dealt.repartition(parts, "leaf").sortWithinPartitions("leaf", F.xxhash64("node")).mapInArrow(meet, _LIST)
+    large = dealt.groupBy("leaf").agg(F.count("*").alias("c")).where(F.col("c") > most).select("leaf", F.ceil(F.col("c") / most).alias("shares"))
+    share = F.pmod(F.xxhash64("node", "leaf"), F.coalesce("shares", F.lit(1))).alias("share")
+    dealt = dealt.join(large, "leaf", "left").select("leaf", share, "node", "h").repartition(parts, "leaf", "share")
+    return dealt.sortWithinPartitions("leaf", "share", F.xxhash64("node")).mapInArrow(meet, _LIST)
 
 
 def _merged(lists: DataFrame, k: int) -> DataFrame:
@@ -171,11 +178,11 @@ def _round(graph: DataFrame, packed: DataFrame, kind: type, k: int, parts: int)
     return told.select("center", "member", "fresh", "worst", "h").repartition(parts, "center").sortWithinPartitions("center").mapInArrow(meet, _LIST)
 
 
-def nn_descent(points: DataFrame, k: int = 32, trees: int = 8, leaf: int = 250, rounds: int = 10, enough: float = 0.005) -> DataFrame:
+def nn_descent(points: DataFrame, k: int = 32, trees: int = 8, leaf: int = 250, rounds: int = 10, enough: float = 0.005, most: int = 4_000) -> DataFrame:
     """``points`` (node: distinct long, v: distinct arrays of double) -> node, ids, ds, fresh: the k nearest found, nearest first.
 
     Ends after ``rounds``, or when a round renews less than the share ``enough`` of all entries. Reverse neighbours are taken up to a
-    bound, as NN-descent has it. Every round is written to the shared folder.
+    bound, as NN-descent has it. Every round is written to the shared folder. ``most``: the points of a leaf that one task holds.
     """
     spark = points.sparkSession
     bounded_batches(spark)
@@ -188,7 +195,7 @@ def nn_descent(points: DataFrame, k: int = 32, trees: int = 8, leaf: int = 250,
             yield pa.RecordBatch.from_arrays([b.column(0), _packed(b.column(1))[1]], names=["node", "h"])
 
     packed = scratch.save(points.select("node", "v").mapInArrow(pack, "node long, h binary"), "packed")
-    graph = scratch.save(few_files(_merged(_leaves(points, n, k, trees, leaf, parts), k), n, 500), "leaves")
+    graph = scratch.save(few_files(_merged(_leaves(points, n, k, trees, leaf, parts, most), k), n, 500), "leaves")
     for i in range(rounds):
         known = graph.select("node", "ids", "ds", F.transform("ids", lambda _: F.lit(False)).alias("fresh"))
         after = scratch.save(few_files(_merged(known.unionByName(_round(graph, packed, _kind(points), k, parts)), k), n, 500), f"round{i}")
