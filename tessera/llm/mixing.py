@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, n_words, unit_hash
 
-#: Bins of the ranking variable, and of the one bin in which a target falls, by which a source's words are summed before any are put in order.
+#: Bins of the ranking variable, by which each source's words are summed before any are put in order.
 BINS = 4096
 
 
@@ -51,9 +51,9 @@ def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     """One row per source: ``src``, ``source_size``, ``target``, ``whole`` (certain copies), ``p``, ``mean`` (words of a document) and
     ``cut``, the last document (rank, key, size) that the sample takes; null where it takes none.
 
-    Words are first summed by source and bin of the ranking variable, and in the bin in which the target falls again by finer bins; only the
-    documents of the one of these in which it falls are put in order, so a source with a third of all rows is never sorted in one task. The sources
-    themselves are put in order in one: their number is taken to be small beside that of documents.
+    Words are first summed by source and bin of the ranking variable; only the documents of each source's bin in which the target falls are put in
+    order, one in ``BINS`` of its documents, so a source with a third of all rows is never sorted in one task. The sources themselves are put in order
+    in one: their number is taken to be small beside that of documents.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -69,24 +69,16 @@ def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
         ranked = part.join(own, F.col("src").eqNullSafe(F.col("s"))).withColumn("rank", _rank(F.col("u"), F.col("p"), F.col("size"), F.col("mean")))
         return ranked.where("rank is not null").withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS))
 
-    def crossed(part: DataFrame, bin: str) -> DataFrame:
-        """The rows of each source up to the bin in which its rest falls, ``c_`` and its name; ``before``: the words before that bin."""
-        sums = part.groupBy("src", bin, "rest", "before").agg(F.sum("size").alias("words"))
-        upto = F.col("before") + F.sum("words").over(Window.partitionBy("src").orderBy(bin))
-        here = sums.withColumn("upto", upto).withColumn("b", F.col("upto") - F.col("words")).where("b <= rest and rest < upto")
-        here = here.select(F.col("src").alias("c_src"), F.col(bin).alias(f"c_{bin}"), "b")
-        return part.drop("before").join(here, F.col("src").eqNullSafe(F.col("c_src")) & (F.col(bin) <= F.col(f"c_{bin}"))).withColumnRenamed("b", "before").drop("c_src")
-
+    bins = with_plan(rows).groupBy("src", "bin", "rest").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("src").orderBy("bin"))
+    crossed = bins.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("words")).where("before <= rest and rest < upto")
+    crossed = crossed.select(F.col("src").alias("c_src"), F.col("bin").alias("c_bin"), "before")
     # a source whose sample needs no cut inside a bin takes all its documents once more
-    within = F.floor((F.col("rank") / (1 + F.col("rank")) * BINS - F.col("bin")) * BINS)
-    coarse = crossed(with_plan(rows).withColumn("before", F.lit(0).cast("long")), "bin").where("bin = c_bin")
-    near = crossed(coarse.withColumn("fine", within), "fine")
-    last, order = F.max(F.struct("rank", "k", "size")).alias("cut"), Window.partitionBy("src").orderBy("rank", "k", "size")
+    near = with_plan(rows).join(crossed, F.col("src").eqNullSafe(F.col("c_src")) & (F.col("bin") == F.col("c_bin")))
+    order = Window.partitionBy("src").orderBy("rank", "k", "size")
     filled = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
-    inside = near.where("fine = c_fine").withColumn("filled", filled).where("filled <= rest").groupBy("src", "c_bin").agg(last)
-    cut = near.where("fine < c_fine").groupBy("src", "c_bin").agg(last).unionByName(inside).groupBy("src", "c_bin").agg(F.max("cut").alias("cut"))
-    cut = coarse.select("src", "c_bin").distinct().withColumnsRenamed({"src": "s", "c_bin": "b"}).join(cut, F.col("src").eqNullSafe(F.col("s")), "left")
-    cut = cut.select(F.col("s").alias("c_src"), F.col("b").alias("cut_bin"), "cut")
+    cut = near.withColumn("in", filled <= F.col("rest")).groupBy("src", "c_bin").agg(F.max(F.when(F.col("in"), F.struct("rank", "k", "size"))).alias("cut"))
+    cut = cut.select(F.col("src").alias("c_src"), F.col("c_bin").alias("cut_bin"), "cut")
     return scratch.save(plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").drop("c_src"), "cuts")
 
 

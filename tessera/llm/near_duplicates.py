@@ -151,16 +151,16 @@ def differing(words: list[np.ndarray], p: np.ndarray | int, q: np.ndarray | slic
 
 
 def solve(table: pa.Table, similarity: float, most: int) -> pa.RecordBatch:
-    """Links, as a and b, that tie the labels of each cell (c, i, j) together; a label's rows are tied already.
+    """Labels, as a and b, that links tie together in each cell (c, i, j); a label's rows are tied already.
 
-    Every pair of two labels that ``differing`` lets through is compared, unless links found before have tied them. A cell with i <> j compares its shards' rows
+    Every pair of rows of two labels that ``differing`` lets through is compared, unless links found before have tied them. A cell with i <> j compares its shards' rows
     with each other only.
     """
-    c, i, j, own, node, n, label = (table[x].to_numpy() for x in ("c", "i", "j", "own", "node", "n", "label"))
+    c, i, j, own, n, named = (table[x].to_numpy() for x in ("c", "i", "j", "own", "n", "label"))
     words = [table[x].to_numpy().view(np.uint64) for x in table.column_names if re.fullmatch(r"s\d+", x)]
     sets = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
     start = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-    a, b, label = [], [], label.copy()
+    a, b, label = [], [], named.copy()
     for lo, hi in zip(start, np.append(start[1:], len(c))):
         for x in range(lo, hi - 1):
             rest = np.arange(x + 1, hi)
@@ -168,8 +168,8 @@ def solve(table: pa.Table, similarity: float, most: int) -> pa.RecordBatch:
             for y in rest[differing(words, x, rest, n, similarity, most) <= most]:
                 if label[x] != label[y] and alike(sets[x], sets[y], similarity):
                     label[lo:hi][label[lo:hi] == label[y]] = label[x]
-                    a.append(node[x])
-                    b.append(node[y])
+                    a.append(named[x])
+                    b.append(named[y])
     return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (a, b)], names=["a", "b"])
 
 
@@ -260,33 +260,42 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
     release(spark)
     labels = scratch.save(components(links).select("node", F.col("component").alias("label")), "labels")
 
-    # what the forest connects and links don't: of three texts or more, since the one pair of two is decided
-    held = components(forest).join(labels, "node", "left").select(F.col("component").alias("c"), "node", F.coalesce("label", "node").alias("label"))
-    held = scratch.save(held, "held")
+    # what the forest connects and links don't: its other pairs as edges between labels
+    other = forest.join(links, ["a", "b"], "left_anti")
+    for end in "ab":
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        other = other.join(own, end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    edges = other.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b")
+    apart = scratch.save(components(edges).select(F.col("node").alias("label"), F.col("component").alias("c")), "apart")
+    release(spark)
+    alone = apart.join(labels, "label", "left_anti").select("label", "c", F.col("label").alias("node"))
+    held = scratch.save(labels.join(apart, "label").select("label", "c", "node").unionByName(alone), "held")
     counted = held.groupBy("c", "label").agg(F.count("*").alias("own_n"))
     large = F.col("own_n") > most_sets // 2
-    few = counted.groupBy("c").agg(F.sum("own_n").alias("n"), F.count("*").alias("labels"), F.sum(F.when(large, 0).otherwise(F.col("own_n"))).alias("few")).where("n > 2 and labels > 1")
+    few = counted.groupBy("c").agg(F.sum("own_n").alias("n"), F.sum(F.when(large, 0).otherwise(F.col("own_n"))).alias("few")).where("n > 2")  # the one pair of two is decided
     # a large label has shards to itself, small ones share some
     open_ = held.join(counted.join(few, "c"), ["c", "label"])
-    alone = F.concat_ws("-", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), F.ceil(F.col("own_n") / most_sets)).cast("string"))
-    open_ = open_.withColumn("shard", F.when(large, alone).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.ceil(F.col("few") / most_sets)).cast("string"))))
-    open_ = scratch.save(open_.select("c", "node", "label", "shard", F.when(large, F.col("label")).alias("whole")), "open")
+    own = F.concat_ws("-", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), F.ceil(F.col("own_n") / most_sets)).cast("string"))
+    shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.ceil(F.col("few") / most_sets)).cast("string"))
+    open_ = open_.select("c", "node", "label", F.when(large, own).otherwise(shared).alias("shard"), F.when(large, F.col("label")).alias("whole"))
+    open_ = scratch.save(open_, "open")
+    out = signed.join(labels, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("label", "e").alias("g"))
     if not open_.isEmpty():
         parts = open_.select("c", "shard", "whole").distinct()
         x, y = (parts.select("c", F.col("shard").alias(s), F.col("whole").alias(f"w{s}")) for s in "ij")
-        apart = x.join(y, "c").where("i <= j and not coalesce(wi = wj, false)").select("c", "i", "j")
-        cells = apart.withColumn("shard", F.explode(F.array_distinct(F.array("i", "j")))).join(open_, ["c", "shard"]).withColumnRenamed("shard", "own")
+        meeting = x.join(y, "c").where("i <= j and not coalesce(wi = wj, false)").select("c", "i", "j")
+        cells = meeting.withColumn("shard", F.explode(F.array_distinct(F.array("i", "j")))).join(open_, ["c", "shard"]).withColumnRenamed("shard", "own")
         cells = cells.join(points.select(F.col("e").alias("node"), "n", *sketches), "node").join(sets.withColumnRenamed("e", "node"), "node")
-        cells = cells.select("c", "i", "j", "own", "node", "label", "n", *sketches, "set").repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", "node")
+        cells = cells.select("c", "i", "j", "own", "label", "n", *sketches, "set").repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", "label")
 
         def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for table in whole_groups(batches, ["c", "i", "j"], most_sets):
                 yield solve(table, similarity, limit)
 
-        found = scratch.save(cells.mapInArrow(tell, "a long, b long"), "found")
-        labels = components(links.unionByName(found)).select("node", F.col("component").alias("label"))
+        found = components(scratch.save(cells.mapInArrow(tell, "a long, b long"), "found"))
+        out = out.join(found, F.col("g") == F.col("node"), "left").select("k", "t", F.coalesce("component", "g").alias("g"))
     scratch.drop(sets)
-    return signed.join(labels, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("label", "e").alias("g"))
+    return out
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
