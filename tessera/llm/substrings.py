@@ -269,7 +269,7 @@ def _trees(contents: DataFrame, window: int, partitions: int) -> DataFrame:
         for b in batches:
             held.append(b)
             rows += b.num_rows
-            if rows >= 40_000:
+            if rows >= 12_000:
                 table = pa.Table.from_batches(held)
                 anchor = table["anchor"].to_numpy()
                 cut = int(np.searchsorted(anchor, anchor[-1]))  # the last group may go on
