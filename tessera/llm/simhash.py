@@ -205,12 +205,6 @@ class Search:
         self.thresholds.learn(_corpus_counts(points, "values", self.thresholds.flat))
         self.held = [np.uint64(sum(1 << b for b in p)) for p in self.parts]
 
-    def frequent(self, most: int) -> DataFrame:
-        """part, value, ``n``: the partition values that more than ``most`` points have."""
-        masks = [int(x.view(np.int64)) for x in self.held]
-        values = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("part", "value")
-        return self.points.select(values).groupBy(F.col("part").cast("tinyint").alias("part"), "value").agg(F.count("*").alias("n")).where(F.col("n") > most)
-
     def signatures(self) -> DataFrame:
         """Index rows (each partition's value of each point) and probe rows (what lies within the point's own thresholds)."""
         return _signatures(self.points, self.n, self.parts, self.held, self.thresholds, self.distance)
@@ -282,7 +276,7 @@ def hamming_forest(points: DataFrame, distance: int, most: int = 20_000) -> Data
     """As hamming_links, but of the links under each partition value only a spanning forest: the same components from fewer rows.
 
     Rows meet by partition value; the fingerprints of a value are compared in blocks, and what ties no further sets together isn't put out.
-    A value that more than ``most`` points have is cut into shards, and each shard of its points meets each shard of its probes in a
+    A value that more than ``most`` points have or probe is cut into shards, and each shard of its points meets each shard of its probes in a
     cell of its own, so that no task holds an unbounded group.
     """
     spark = points.sparkSession
@@ -330,9 +324,10 @@ def hamming_forest(points: DataFrame, distance: int, most: int = 20_000) -> Data
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], names=["a", "b"])
 
-    frequent = scratch.save(search.frequent(most), "frequent")
+    made = scratch.save(search.signatures(), "signatures")
+    frequent = scratch.save(made.groupBy("part", "value").agg(F.count("*").alias("n")).where(F.col("n") > most), "frequent")
     shards = F.coalesce(F.ceil(F.col("n") / most), F.lit(1)).cast("int")
-    met = search.signatures().join(frequent, ["part", "value"], "left").withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")))
+    met = made.join(frequent, ["part", "value"], "left").withColumn("shards", shards).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     cell = F.when(F.col("probe"), F.col("other") * F.col("shards") + F.col("own")).otherwise(F.col("own") * F.col("shards") + F.col("other"))
     met = met.select("part", "value", cell.cast("long").alias("cell"), "probe", "fp", "node")

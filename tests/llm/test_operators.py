@@ -82,6 +82,27 @@ def test_simhash_groups(spark, texts):
     assert [r.component_id for r in simhash.simhash_groups(frame(spark, [(None, "one")])).collect()] == [None]
 
 
+def test_simhash_groups_of_null_keys(spark):
+    """Rows without a key are told apart by their fingerprints: one near a document, one equal to it, others near each other or nothing."""
+    draw = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    one, two, three = (draw.choices(vocabulary, k=900) for _ in range(3))
+    rows = [(5, " ".join(one)), (None, " ".join([*one[:-1], "x"])), (None, " ".join(one)), (None, " ".join(two)), (None, " ".join([*three, "y"])), (None, " ".join([*three, "z"])), (9, " ".join(three))]
+    fps = [slow_simhash(t) for _, t in rows]
+    sets = grouped(range(len(rows)), [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    want = []
+    for i, (k, _) in enumerate(rows):
+        keys = [rows[j][0] for j in range(len(rows)) if sets[j] == sets[i] and rows[j][0] is not None]
+        want.append((str(k), f"{fps[i]:016x}", min(keys) if keys else None))
+    got = [(str(r.doc_id), r.fingerprint, r.component_id) for r in simhash.simhash_groups(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {w[2] for w in want if w[0] == "None"} >= {None, 5}
+
+
+def test_a_key_ties_its_texts(spark):
+    rows = [(1, "a b c d"), (1, "quite other words here"), (7, "quite other words here"), (8, "and more of another kind")]
+    assert {r.doc_id: r.component_id for r in simhash.simhash_groups(frame(spark, rows)).collect()} == {1: 1, 7: 1, 8: 8}
+
+
 @pytest.mark.parametrize("distance", [0, 2, 6])
 def test_hamming_links_lose_none(spark, distance):
     draw = np.random.default_rng(5)
