@@ -180,7 +180,7 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
     links. Pairs to verify come from SimHashes of the sets within ``distance`` bits, and from bands of smallest shingle hashes, of which there
     are so many that a pair of the wanted similarity shares none with a chance of at most 1e-5, of a higher one less, whatever the edit and
     the text's length; a sketch rejects a link with a chance of 1e-8. Bands with more than ``most`` texts, and sets of texts yet to be told
-    apart with more than ``most_sets``, are cut into shards, any two of which meet in a task of their own; this bounds a task and
+    apart with more than ``most_sets`` (a thousand shingles of a long text count as one), are cut into shards, any two of which meet in a task of their own; this bounds a task and
     changes no result. Texts of equal words, letter case aside, are one point whatever their number; texts without words are equal to one
     another. An empty table gives an empty result.
     """
@@ -269,15 +269,17 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
     apart = scratch.save(components(edges).select(F.col("node").alias("label"), F.col("component").alias("c")), "apart")
     release(spark)
     alone = apart.join(labels, "label", "left_anti").select("label", "c", F.col("label").alias("node"))
-    held = scratch.save(labels.join(apart, "label").select("label", "c", "node").unionByName(alone), "held")
-    counted = held.groupBy("c", "label").agg(F.count("*").alias("own_n"))
-    large = F.col("own_n") > most_sets // 2
-    few = counted.groupBy("c").agg(F.sum("own_n").alias("n"), F.sum(F.when(large, 0).otherwise(F.col("own_n"))).alias("few")).where("n > 2")  # the one pair of two is decided
+    held = labels.join(apart, "label").select("label", "c", "node").unionByName(alone)
+    held = scratch.save(held.join(points.select(F.col("e").alias("node"), "n"), "node"), "held")
+    # a long text counts for several
+    counted = held.groupBy("c", "label").agg(F.count("*").alias("texts"), F.sum(F.ceil(F.col("n") / 1000)).alias("size"))
+    large = F.col("size") > most_sets // 2
+    few = counted.groupBy("c").agg(F.sum("texts").alias("all"), F.sum(F.when(large, 0).otherwise(F.col("size"))).alias("few")).where(F.col("all") > 2)  # the one pair of two is decided
     # a large label has shards to itself, small ones share some
     open_ = held.join(counted.join(few, "c"), ["c", "label"])
-    own = F.concat_ws("-", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), F.ceil(F.col("own_n") / most_sets)).cast("string"))
+    own = F.concat_ws("-", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / most_sets)).cast("string"))
     shared = F.concat(F.lit("s"), F.pmod(F.xxhash64("label"), F.ceil(F.col("few") / most_sets)).cast("string"))
-    open_ = open_.select("c", "node", "label", F.when(large, own).otherwise(shared).alias("shard"), F.when(large, F.col("label")).alias("whole"))
+    open_ = open_.select("c", "node", "label", "n", F.when(large, own).otherwise(shared).alias("shard"), F.when(large, F.col("label")).alias("whole"))
     open_ = scratch.save(open_, "open")
     out = signed.join(labels, F.col("e") == F.col("node"), "left").select("k", "t", F.coalesce("label", "e").alias("g"))
     if not open_.isEmpty():
@@ -285,11 +287,11 @@ def near_duplicate_groups(df: DataFrame, size: int = 5, similarity: float = 0.8,
         x, y = (parts.select("c", F.col("shard").alias(s), F.col("whole").alias(f"w{s}")) for s in "ij")
         meeting = x.join(y, "c").where("i <= j and not coalesce(wi = wj, false)").select("c", "i", "j")
         cells = meeting.withColumn("shard", F.explode(F.array_distinct(F.array("i", "j")))).join(open_, ["c", "shard"]).withColumnRenamed("shard", "own")
-        cells = cells.join(points.select(F.col("e").alias("node"), "n", *sketches), "node").join(sets.withColumnRenamed("e", "node"), "node")
+        cells = cells.join(points.select(F.col("e").alias("node"), *sketches), "node").join(sets.withColumnRenamed("e", "node"), "node")
         cells = cells.select("c", "i", "j", "own", "label", "n", *sketches, "set").repartition(tasks, "c", "i", "j").sortWithinPartitions("c", "i", "j", "label")
 
         def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups(batches, ["c", "i", "j"], most_sets):
+            for table in whole_groups(batches, ["c", "i", "j"], 200):
                 yield solve(table, similarity, limit)
 
         found = components(scratch.save(cells.mapInArrow(tell, "a long, b long"), "found"))
