@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable
 from typing import Annotated, Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from . import (
 )
 from .errors import QueryFailure, classify
 from .functions.codecs import Codec
+from .plans.expr import Aggregate
 from .queries import Customer, Events, Lineitem, Nation, Orders, Region, _changed, _database, _FromFrame, _query, _register, shared_root
 from .streaming.events import session_counts, windowed_counts
 
@@ -629,3 +631,48 @@ def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(_database(spark, sf_dir).table(Events), "ts", "1 day", [], slide="12 hours").select("start", "n")
+
+
+# functions and joins of one's own
+
+
+@F.pandas_udf(T.LongType())
+def _doubled(x: pd.Series) -> pd.Series:
+    return x * 2
+
+
+@F.pandas_udf(T.LongType())
+def _squares(x: pd.Series) -> int:
+    return int((x * x).sum())
+
+
+_register("user_function", "select n_name, n_nationkey * 2 as twice from nation", lambda: query(Nation).all().select(Nation.n_name, twice=lambda env: _doubled(Nation.n_nationkey.column(env).cast("long"))))
+_register(
+    "user_aggregate",
+    "select n_regionkey, cast(sum(n_nationkey * n_nationkey) as bigint) as squares from nation group by n_regionkey",
+    lambda: query(Nation).all().group_by(Nation.n_regionkey).agg(squares=Aggregate(lambda env: _squares(Nation.n_nationkey.column(env).cast("long")))),
+)
+
+
+def _as_of() -> Any:
+    """Each event of a customer beside the last order before it: of the orders that an inequality admits the first by time."""
+    nearest = over(lambda env: F.row_number(), [Events.event_id], [Orders.o_orderdate.desc(), Orders.o_orderkey.desc()])
+    met = query(Events).left_join(Orders, (Events.user_id == Orders.o_custkey) & (Orders.o_orderdate <= Events.ts)).all()
+    ranked = met.select(Events.event_id, Orders.o_orderkey, r=nearest).as_table("ranked")
+    return query(ranked).where(ranked.r == 1).select(ranked.event_id, ranked.o_orderkey)
+
+
+_register(
+    "asof_join",
+    """select event_id, o_orderkey from (
+         select event_id, o_orderkey, row_number() over (partition by event_id order by o_orderdate desc nulls last, o_orderkey desc) as r
+         from events left join orders on user_id = o_custkey and o_orderdate <= ts) where r = 1""",
+    _as_of,
+)
+_register(
+    "interval_join",
+    "select event_id, o_orderkey from events join orders on user_id = o_custkey and o_orderdate between ts - interval '9000 days' and ts - interval '8970 days'",
+    lambda: query(Events).join(
+        Orders, (Events.user_id == Orders.o_custkey) & Orders.o_orderdate.satisfies(lambda o, t: o.between(t - F.expr("interval 9000 days"), t - F.expr("interval 8970 days")), Events.ts)
+    ).all().select(Events.event_id, Orders.o_orderkey),
+)
