@@ -134,26 +134,33 @@ def _described(rows: DataFrame) -> DataFrame:
 #: Surroundings of examples: what stands before and after, and whether it speaks for (1) or against (-1) personal data. The first third of each
 #: class is for fitting, the second for thresholds, the last for measuring.
 CONTEXTS = (
-    ("please contact ", " about it", 1), ("call ", " now", 1), ("the card ", " was charged", 1), ("server ", " is down", 1), ("my address is ", " these days", 1), ("pay with ", " only", 1), ("login from ", " twice", 1), ("fax: ", ".", 1),
-    ("write to ", " soon", 1), ("phone ", " tonight", 1), ("credit card no ", ", thanks", 1), ("host ", " answered", 1), ("mail ", " again", 1), ("dial ", "", 1), ("visa ", " please", 1), ("peer ", " left", 1),
-    ("you reach them at ", " any time", 1), ("tel. ", ", evenings", 1), ("we paid by ", " then", 1), ("client ", " connected", 1), ("e-mail: ", "", 1), ("my mobile is ", ",", 1), ("text me, ", ", today", 1), ("ring ", " first", 1),
+    ("please contact ", " about it", 1), ("call ", " now", 1), ("the card ", " was charged", 1), ("server ", " is down", 1),
+    ("my address is ", " these days", 1), ("pay with ", " only", 1), ("login from ", " twice", 1), ("fax: ", ".", 1), ("write to ", " soon", 1),
+    ("phone ", " tonight", 1), ("credit card no ", ", thanks", 1), ("host ", " answered", 1), ("mail ", " again", 1), ("dial ", "", 1),
+    ("visa ", " please", 1), ("peer ", " left", 1), ("you reach them at ", " any time", 1), ("tel. ", ", evenings", 1), ("we paid by ", " then", 1),
+    ("client ", " connected", 1), ("e-mail: ", "", 1), ("my mobile is ", ",", 1), ("text me, ", ", today", 1), ("ring ", " first", 1),
     ("and ", " it was", 0), ("seen ", " there", 0), ("", "", 0), ("the other, ", ", came up", 0), ("yes: ", "!", 0), ("near ", " or so", 0),
     ("| ", " | x |", 0), ("then ", " too", 0), ("about ", " again", 0), ("so ", " and", 0), ("\"", "\" he said", 0), ("it read ", " in full", 0),
     ("here, ", " at last", 0), ("not ", " but", 0), ("(", ")", 0), ("with ", " at hand", 0), ("found ", " below", 0), ("- ", "", 0),
-    ("order ", " came", -1), ("isbn ", " in print", -1), ("version ", " is out", -1), ("serial ", " on the back", -1), ("section ", " says so", -1), ("invoice ", " was sent", -1), ("a total of ", " units", -1), ("part ", " in stock", -1),
-    ("release ", " fixes it", -1), ("figure ", " shows", -1), ("ticket ", " is closed", -1), ("chapter ", " ends", -1), ("item no. ", " sold", -1), ("build ", " failed", -1), ("we counted ", " votes", -1), ("sku ", " again", -1),
-    ("page ", " of it", -1), ("model ", " works", -1), ("batch ", " is done", -1), ("article ", " holds", -1), ("table ", " lists", -1), ("they measured ", " meters", -1), ("in the year ", " or so", -1), ("look at ", " once", -1),
-)
+    ("order ", " came", -1), ("isbn ", " in print", -1), ("version ", " is out", -1), ("serial ", " on the back", -1), ("section ", " says so", -1),
+    ("invoice ", " was sent", -1), ("a total of ", " units", -1), ("part ", " in stock", -1), ("release ", " fixes it", -1),
+    ("figure ", " shows", -1), ("ticket ", " is closed", -1), ("chapter ", " ends", -1), ("item no. ", " sold", -1), ("build ", " failed", -1),
+    ("we counted ", " votes", -1), ("sku ", " again", -1), ("page ", " of it", -1), ("model ", " works", -1), ("batch ", " is done", -1),
+    ("article ", " holds", -1), ("table ", " lists", -1), ("they measured ", " meters", -1), ("in the year ", " or so", -1),
+    ("look at ", " once", -1),
+)
 #: Formats of examples: {n}ame, {h}ost, {a}-{d} up to 255, {x} to {z} of three digits, {w} of four, {v}alid and {f}alse cards in fours; the kind; personal
 #: unless the surroundings speak against it (1), only if they speak for it (2), or never (0).
 FORMATS = (
-    ("{n} [at] {h} [dot] com", 0, 1), ("{n}(at){h}.org", 0, 1), ("{n} at {h} dot net", 0, 1), ("{n} [at] {h}.de", 0, 1), ("{n} (at) {h} (dot) info", 0, 1), ("{n} at {h} dot {n}", 0, 2),
-    ("we at {h} dot the is", 0, 0), ("they at noon dot but not", 0, 0), ("one at {h} dot by dot", 0, 0), ("it (at) {h}.they", 0, 0),
-    ("{a}[.]{b}[.]{c}[.]{d}", 1, 1), ("{a}(.){b}(.){c}(.){d}", 1, 1), ("{a}[dot]{b}[dot]{c}[dot]{d}", 1, 1), ("{a} . {b} . {c} . {d}", 1, 2), ("{x} . {y} . {z} . {x}", 1, 0), ("{x}9.{y}8.{z}7.{x}6", 1, 0),
-    ("{v.}", 2, 1), ("{v/}", 2, 1), ("{v_}", 2, 1), ("{v} {v}", 2, 1), ("{v-} {v-}", 2, 1), ("{w} {v }", 2, 1), ("{v} {w}{w}", 2, 1),
-    ("{f.}", 2, 0), ("{f/}", 2, 0), ("{f}", 2, 0), ("{f-}", 2, 0), ("{f} {f}", 2, 0), ("{w}", 2, 0), ("{x} {y}", 2, 0), ("{w}-{w}", 2, 0), ("{a}", 2, 0), ("{w}{w}{y}", 2, 0),
-    ("({x}) {y}-{w}", 3, 1), ("{x}-{y}-{w}", 3, 2), ("{x}.{y}.{w}", 3, 2), ("{x} {y} {w}", 3, 2), ("+1 ({x}) {y}-{w} {v}", 3, 1), ("+44 {x} {y} {w} {w}{w}{w}", 3, 1), ("+{x}", 3, 0), ("+{a} {b}", 3, 0),
-)
+    ("{n} [at] {h} [dot] com", 0, 1), ("{n}(at){h}.org", 0, 1), ("{n} at {h} dot net", 0, 1), ("{n} [at] {h}.de", 0, 1),
+    ("{n} (at) {h} (dot) info", 0, 1), ("{n} at {h} dot {n}", 0, 2), ("we at {h} dot the is", 0, 0), ("they at noon dot but not", 0, 0),
+    ("one at {h} dot by dot", 0, 0), ("it (at) {h}.they", 0, 0), ("{a}[.]{b}[.]{c}[.]{d}", 1, 1), ("{a}(.){b}(.){c}(.){d}", 1, 1),
+    ("{a}[dot]{b}[dot]{c}[dot]{d}", 1, 1), ("{a} . {b} . {c} . {d}", 1, 2), ("{x} . {y} . {z} . {x}", 1, 0), ("{x}9.{y}8.{z}7.{x}6", 1, 0),
+    ("{v.}", 2, 1), ("{v/}", 2, 1), ("{v_}", 2, 1), ("{v} {v}", 2, 1), ("{v-} {v-}", 2, 1), ("{w} {v }", 2, 1), ("{v} {w}{w}", 2, 1), ("{f.}", 2, 0),
+    ("{f/}", 2, 0), ("{f}", 2, 0), ("{f-}", 2, 0), ("{f} {f}", 2, 0), ("{w}", 2, 0), ("{x} {y}", 2, 0), ("{w}-{w}", 2, 0), ("{a}", 2, 0),
+    ("{w}{w}{y}", 2, 0), ("({x}) {y}-{w}", 3, 1), ("{x}-{y}-{w}", 3, 2), ("{x}.{y}.{w}", 3, 2), ("{x} {y} {w}", 3, 2), ("+1 ({x}) {y}-{w} {v}", 3, 1),
+    ("+44 {x} {y} {w} {w}{w}{w}", 3, 1), ("+{x}", 3, 0), ("+{a} {b}", 3, 0),
+)
 #: The parts that contexts are dealt to.
 FIT, THRESHOLDS, MEASURE = range(3)
 
