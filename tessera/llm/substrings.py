@@ -57,7 +57,7 @@ def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(20, len(raw).bit_length()))
+    up, down = _powers(1 << max(18, len(raw).bit_length()))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], out=sums[1:])
     codes = _stirred((sums[end] - sums[start]) * up[end - 1] + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -66,7 +66,7 @@ def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, np.searchsorted(start, begin)
 
 
-def chunks(rows: Iterable[tuple], text: int, most: int = 1 << 20) -> Iterator[list[tuple]]:
+def chunks(rows: Iterable[tuple], text: int, most: int = 1 << 18) -> Iterator[list[tuple]]:
     """Rows in lists whose texts have about ``most`` code points together; a longer text comes alone."""
     held, size = [], 0
     for row in rows:
@@ -155,7 +155,7 @@ _HELD = 150_000  # stretches of a task that are gathered before equal ones becom
 
 def _content_hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of codes, from sums over powers of a base modulo 2**64."""
-    up, down = _powers(1 << max(20, len(codes).bit_length()))
+    up, down = _powers(1 << max(18, len(codes).bit_length()))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * down[: len(codes)], out=sums[1:])
     return _stirred((sums[start + size] - sums[start]) * up[start + size - 1] + size.astype(np.uint64))
