@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, few_files, release
 
 #: The characters stripped from a line, and the letters lower-cased in it.
 BLANK, UPPER, LOWER = " \t\n\x0b\x0c\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,15 +27,21 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. ``add`` takes a batch of (h1, h2, doc) rows, with repeats; each batch's documents are smaller than those before."""
+    """The levelled runs. ``add`` takes a batch of (h1, h2, doc) rows, with repeats; each batch's documents are smaller than those before.
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
-        self.min_docs, self.fanout, self.scratch = min_docs, fanout, Scratch(spark)
+    Where ``batch_rows``, the most rows of a batch, is given, a run has files by its rows rather than one for each shuffle partition: each file
+    of each run is a task of every later batch.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4, batch_rows: int | None = None):
+        self.min_docs, self.fanout, self.batch_rows, self.scratch = min_docs, fanout, batch_rows, Scratch(spark)
         self.levels: list[list[DataFrame]] = []
 
     def _put(self, level: int, rows: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
+        if self.batch_rows is not None:
+            rows = few_files(rows, self.batch_rows * self.fanout**level, 50_000)
         self.levels[level].append(self.scratch.save(rows.sortWithinPartitions(*HASH), f"level{level}"))
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
@@ -58,6 +64,7 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         self._put(0, self.fresh(batch))
+        release(self.scratch.spark)
 
     def repeated(self) -> DataFrame:
         """The hashes that at least ``min_docs`` documents hold: h1, h2 and ``keep``, the largest document."""
@@ -76,7 +83,7 @@ def line_dedup(df: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: i
     the largest document holding them. A null or empty text is one empty line and stays empty. Rows that repeat a
     ``key`` are one document; a null key is a document too, the smallest. An empty table gives an empty result.
     Columns of ``df`` that carry the result's names are replaced. Hashes have 128 bits. Batches are ranges of keys, cut at
-    approximate quantiles, largest first. Only built-in functions run; nothing but the cuts is gathered on the driver.
+    approximate quantiles, largest first. Only built-in functions run; nothing but the cuts and the rows of the largest batch, a number, is gathered on the driver.
     """
     spark = df.sparkSession
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
@@ -88,10 +95,13 @@ def line_dedup(df: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: i
     keyed = split.where(F.char_length("line") >= min_chars).withColumn("k", line_key(F.col("line"))).where(F.char_length("k") >= min_chars)
     hashes = F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2")
     lines = scratch.save(keyed.select("doc", "t", "pos", *hashes, _descending(F.col("doc"), cuts).alias("batch")), "lines", partition_by="batch")
-    runs = LineRuns(spark, min_docs)
+    largest = lines.groupBy("batch").count().agg(F.max("count")).first()[0]
+    release(spark)
+    runs = LineRuns(spark, min_docs, batch_rows=largest or 0)
     for b in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == b))
     repeated = scratch.save(runs.repeated(), "repeated")
+    release(spark)
     drops = lines.join(repeated, list(HASH)).where(F.col("doc") != F.col("keep")).groupBy("doc", "t").agg(F.collect_set("pos").alias("_ld_gone"))
     drops = drops.select(F.col("doc").alias("_ld_d"), F.col("t").alias("_ld_h"), "_ld_gone")
     rows = df.drop(*[c for c in df.columns if c in ("n_lines", "n_dropped", "kept")])

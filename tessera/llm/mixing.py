@@ -16,7 +16,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_words, unit_hash
+from .common import Scratch, n_words, release, unit_hash
 
 #: Bins of the ranking variable, by which each source's words are summed before any are put in order.
 BINS = 4096
@@ -63,6 +63,7 @@ def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     plan = _targets(sizes, weights, cap).withColumn("whole", F.least(F.floor(rate), F.lit(cap)).cast("int")).withColumn("p", rate - F.col("whole"))
     plan = plan.withColumn("mean", F.col("source_size") / F.col("docs"))
     plan = scratch.save(plan.withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")), "plan")
+    release(spark)
 
     def with_plan(part: DataFrame) -> DataFrame:
         own = spark.read.schema(plan.schema).parquet(plan.scratch_path).withColumnRenamed("src", "s")
@@ -79,7 +80,9 @@ def mix_plan(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3,
     filled = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") / 2
     cut = near.withColumn("in", filled <= F.col("rest")).groupBy("src", "c_bin").agg(F.max(F.when(F.col("in"), F.struct("rank", "k", "size"))).alias("cut"))
     cut = cut.select(F.col("src").alias("c_src"), F.col("c_bin").alias("cut_bin"), "cut")
-    return scratch.save(plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").drop("c_src"), "cuts")
+    cuts = scratch.save(plan.join(cut, F.col("src").eqNullSafe(F.col("c_src")), "left").drop("c_src"), "cuts")
+    release(spark)
+    return cuts
 
 
 def _plan_columns(df: DataFrame, *options: Any) -> DataFrame:

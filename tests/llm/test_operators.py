@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, line_dedup, mixing, near_duplicates, neighbours, pieces, pii, quality, simhash, substrings, token_counts
+from tessera.llm import common, fingerprints, line_dedup, mixing, near_duplicates, neighbours, pieces, pii, quality, simhash, substrings, token_counts
 from tessera.llm.graph import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -557,3 +557,36 @@ def test_lines_settle_on_the_way(spark, monkeypatch):
     line = "a line of more than forty characters that all documents hold"
     got = line_dedup.line_dedup(frame(spark, [(i, line) for i in range(80)]), batches=4).collect()
     assert [r.doc_id for r in got if not r.n_dropped] == [79] and sum(added) == added[0] and len(added) == 4
+
+
+def test_line_runs_have_files_by_their_rows(spark, tmp_path, monkeypatch):
+    """A run's files are no more tasks of each later batch, and of the driver's bookkeeping, than its rows are worth."""
+    files = []
+    put = line_dedup.LineRuns._put
+
+    def seen(self, level, rows):
+        put(self, level, rows)
+        files.extend(len(r.inputFiles()) for held in self.levels for r in held)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_put", seen)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        rows = [(i, "\n".join(f"a line of more than forty characters, number {j}" for j in range(i % 7, i % 7 + 60))) for i in range(40)]
+        got = line_dedup.line_dedup(frame(spark, rows), batches=4)
+        kept = [line for r in got.collect() for line in r.kept.split("\n") if line]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(files) <= 8 and len(kept) == len(set(kept)) == 66
+
+
+def test_release_trims_the_native_heap(spark, monkeypatch):
+    """The driver's JVM is asked to give freed native memory back, besides collecting its garbage; without the command nothing breaks."""
+    assert common.trim_native_heap(spark)
+    asked = []
+    monkeypatch.setattr(common, "trim_native_heap", asked.append)
+    common.release(spark)
+    assert asked == [spark]
