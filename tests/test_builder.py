@@ -6,7 +6,7 @@ from typing import Annotated
 
 import pytest
 
-from tessera import Database, Dec, Frames, Int, Json, Table, avg_of, column, count_all, exists, items, max_of, min_of, outer, query, raw, scalar, sum_of
+from tessera import Database, Dec, Files, Frames, Int, Json, Table, avg_of, column, count_all, exists, items, max_of, min_of, outer, query, raw, scalar, sum_of
 from tessera.errors import DataFailure, InvalidStatement
 from tessera.functions.text import similar_to_regex
 
@@ -228,3 +228,39 @@ def test_types_round_trip(spark):
     row = Kinds(u=uuid.UUID(int=5), t=dt.time(1, 2, 3, 4), d=[1, {"a": "é"}])
     own = Database(spark, Frames({"kinds": spark.createDataFrame([tuple(row.stored().values())], Kinds.spark_schema())}))
     assert own.one(query(Kinds).where(Kinds.u == uuid.UUID(int=5)), Kinds) == row
+
+
+def _plan(db, q):
+    return db.df(q)._jdf.queryExecution().executedPlan().toString()
+
+
+EARLIER = exists(query(Orders).where(Orders.user_id < outer(Users.id)))
+KEPT = query(Orders).where(Orders.amount > 1).as_table("kept")
+
+
+@pytest.mark.parametrize(
+    "predicate, want",
+    [
+        (EARLIER, [2, 3, 4]), (~EARLIER, [1]), (EARLIER | (Users.id == 1), [1, 2, 3, 4]), (~exists(query(Orders).where(Orders.id < outer(Users.age))), [3]),
+        (exists(query(Orders).where((Orders.user_id == outer(Users.id)) | (Orders.id > outer(Users.id)))), [1, 2, 3]),
+        (exists(query(Orders).join(Docs, Orders.id == Docs.id).where(Orders.user_id < outer(Users.id))), [2, 3, 4]), (exists(query(KEPT).where(KEPT.userId < outer(Users.id))), [2, 3, 4]),
+        (exists(query(Orders).where((Orders.user_id < outer(Users.id)) & exists(query(Docs).where(Docs.id > outer(Orders.id))))), [2, 3, 4]),
+    ],
+)
+def test_exists_without_an_equality_gathers_nothing_in_the_driver(db, predicate, want):
+    q = query(Users).where(predicate)
+    assert ids(db, q) == want
+    assert "NestedLoop" not in _plan(db, q) and "_tessera_shard" in _plan(db, q)
+
+
+def test_rows_that_are_alike_stay_through_exists(spark):
+    twice = Database(spark, Frames({"users": spark.createDataFrame(USERS * 2, Users.spark_schema()), "prd.orders": spark.createDataFrame(ORDERS * 3, Orders.spark_schema())}))
+    assert ids(twice, query(Users).where(EARLIER)) == [2, 2, 3, 3, 4, 4]
+
+
+def test_exists_with_an_equality_or_a_small_table_is_left_to_spark(db, spark, tmp_path):
+    assert "_tessera_shard" not in _plan(db, query(Users).where(exists(query(Orders).where(Orders.user_id == outer(Users.id)).where(Orders.id > outer(Users.id)))))
+    for name in ("users", "prd.orders"):
+        db.source.read(spark, name).write.parquet(f"{tmp_path}/{name.rsplit('.', 1)[-1]}.parquet")
+    small = Database(spark, Files(str(tmp_path)))
+    assert "_tessera_shard" not in _plan(small, query(Users).where(EARLIER)) and ids(small, query(Users).where(EARLIER)) == [2, 3, 4]
